@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_PARTS = ("retail",)
+_PARTS = ("retail", "primitives")
 
 
 def _merged(attribute: str) -> dict:

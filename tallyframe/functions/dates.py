@@ -28,13 +28,13 @@ def month_references(text: Column) -> Column:
     titles = F.array(*[F.lit(t) for t in _TITLES])
 
     def resolve(m: Column) -> Column:
-        digits, year = F.length(m["3"]), m["3"].cast("int")
+        digits, year = F.length(m["g3"]), m["g3"].cast("int")
         century = F.when(year <= 69, 2000 + year).otherwise(1900 + year)
-        full = F.when((digits == 4) & (year > 0), year).when((digits == 2) & m["2"].contains(","), century)
-        month = F.element_at(numbers, F.lower(m["1"]))
+        full = F.when((digits == 4) & (year > 0), year).when((digits == 2) & m["g2"].contains(","), century)
+        month = F.element_at(numbers, F.lower(m["g1"]))
         start = F.make_date(full, month, F.lit(1))
         return F.struct(
-            m["0"].alias("original"),
+            m["g0"].alias("original"),
             F.concat_ws(" ", F.element_at(titles, month), full.cast("string")).alias("normalized"),
             full.alias("year"),
             month.alias("month"),
