@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_PARTS = ("retail", "primitives")
+_PARTS = ("retail", "primitives", "text")
 
 
 def _merged(attribute: str) -> dict:

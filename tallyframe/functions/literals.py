@@ -2,33 +2,44 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def sql_text(value) -> str:
-    """SQL text of a nested constant: str, bool, int, float, list, and dict (as a struct)."""
+class Weights(dict):
+    """A constant map from text to whole number."""
+
+
+def _type(value) -> str:
     if isinstance(value, bool):
-        return "true" if value else "false"
+        return "boolean"
     if isinstance(value, int):
-        return str(value)
+        return "int"
     if isinstance(value, float):
-        return f"{value!r}D"
-    if isinstance(value, str):
-        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return "double"
+    if isinstance(value, Weights):
+        return "map<string,int>"
     if isinstance(value, dict):
-        return "named_struct(" + ", ".join(f"'{k}', {sql_text(v)}" for k, v in value.items()) + ")"
+        return "struct<" + ",".join(f"{k}:{_type(v)}" for k, v in value.items()) + ">"
     if isinstance(value, (list, tuple)):
-        return "array(" + ", ".join(sql_text(v) for v in value) + ")" if value else "cast(array() as array<string>)"
-    raise TypeError(f"no constant for {type(value).__name__}")
+        return f"array<{_type(value[0]) if value else 'string'}>"
+    return "string"
 
 
 def constant(value) -> Column:
-    """A nested constant that the optimizer folds once."""
-    return F.expr(sql_text(value))
+    """A nested constant (text, numbers, lists, dicts as structs). The optimizer folds it once."""
+    kind = _type(value)
+    if not isinstance(value, Weights) and not isinstance(value, (list, dict)):
+        return F.lit(value)
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
 
-def constant_map(values: dict[str, int]) -> str:
-    if not values:
-        return "cast(map() as map<string,int>)"
-    return "map(" + ", ".join(f"{sql_text(k)}, {v}" for k, v in values.items()) + ")"
+    A column used inside a higher-order function may be inlined there and computed again
+    for each element; a lambda variable is not.
+    """
+    return F.transform(F.array(value), body)[0]

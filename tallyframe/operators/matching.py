@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions.dates import month_references, normalize_months
-from tallyframe.functions.literals import constant, constant_map, sql_text
+from tallyframe.functions.literals import Weights, constant, let
 from tallyframe.functions.words import normalize_tokens, split_words, token_variants, variant_set
 from tallyframe.operators.paths import shortest_paths
 from tallyframe.sources.semantic import Catalogue, SemanticLayer, unique
@@ -46,77 +46,70 @@ def _tokenised(texts: tuple[str, ...]) -> dict[str, tuple[list[str], list[str],
     return {r.t: (r.w, r.k, [list(v) for v in r.v]) for r in rows}
 
 
-def _synonym_rows(synonyms: Sequence[str], lexicon: dict, alias_only: Sequence[str] = ()) -> list[dict]:
-    only = {" ".join(lexicon[a][0]) for a in alias_only}
-    words = {" ".join(lexicon[s][0]): lexicon[s][0] for s in synonyms}
-    rows = []
-    for s in synonyms:
-        w, tokens, variants = lexicon[s]
-        if not tokens:
-            continue
-        phrase = " ".join(w)
-        longer = [p for p, other in words.items() if p != phrase and len(other) > len(w) and set(w) <= set(other)]
-        rows.append({
-            "text": s, "phrase": phrase, "tokens": tokens, "variants": [v or [""] for v in variants],
-            "weight": max(1, len(tokens)), "alias_only": phrase in only, "longer": longer,
-        })
-    return rows
-
-
-def _entry_rows(entries: Sequence[tuple[str, Sequence[str], Sequence[str], Sequence[str]]], lexicon: dict) -> list[dict]:
-    """(name, synonyms, tables, alias-only synonyms) -> constants."""
-    return [
-        {"name": name, "tables": list(tables), "synonyms": rows}
-        for name, synonyms, tables, alias_only in entries
-        if (rows := _synonym_rows(synonyms, lexicon, alias_only))
-    ]
-
-
-def match_entries(tokens: Column, entries: list[dict]) -> Column:
-    """Entries with at least one matching synonym: name, tables, matched, score.
-
-    A synonym matches when all its tokens occur, or each shares an inflection with some
-    token. (A phrase that occurs word for word always satisfies the first.) An alias-only
-    hit is dropped when a longer hit of the same entry contains its words.
-    """
-    if not entries:
-        return F.expr("cast(array() as array<struct<name:string,tables:array<string>,matched:array<string>,score:int>>)")
-    synonyms = [s for e in entries for s in e["synonyms"]]
-    vocabulary = sorted({t for s in synonyms for t in s["tokens"]})
-    inflections = sorted({v for s in synonyms for vs in s["variants"] for v in vs if v})
-    present = F.array_intersect(tokens, constant(vocabulary))
-    inflected = F.array_intersect(variant_set(tokens), constant(inflections))
-
-    return F.transform(
-        F.array(F.struct(present.alias("p"), inflected.alias("i"))),
-        lambda ctx: F.filter(
-            F.transform(constant(entries), lambda e: _entry_hits(e, ctx)), lambda m: F.size(m["matched"]) > 0
-        ),
-    )[0]
-
-
-def _entry_hits(e: Column, ctx: Column) -> Column:
-    found = F.filter(
-        e["synonyms"],
-        lambda s: F.forall(s["tokens"], lambda t: F.array_contains(ctx["p"], t))
-        | F.forall(s["variants"], lambda v: F.arrays_overlap(v, ctx["i"])),
-    )
-    kept = F.transform(
-        F.array(found),
-        lambda all_hits: F.filter(
-            all_hits,
-            lambda s: ~(s["alias_only"] & F.arrays_overlap(s["longer"], F.transform(all_hits, lambda o: o["phrase"]))),
-        ),
-    )[0]
-    return F.transform(
-        F.array(kept),
-        lambda k: F.struct(
-            e["name"].alias("name"),
-            e["tables"].alias("tables"),
-            F.transform(k, lambda s: s["text"]).alias("matched"),
-            F.aggregate(k, F.lit(0), lambda a, s: a + s["weight"]).alias("score"),
-        ),
-    )[0]
+class Dictionary:
+    """Synonyms of named entries, with an index from inflection to the synonyms it may start."""
+
+    def __init__(self) -> None:
+        self.synonyms: list[dict] = []
+        self.entries: list[dict] = []
+        self.index: dict[str, list[int]] = {}
+
+    def add(self, kind: str, name: str, synonyms: Sequence[str], tables: Sequence[str], alias_only: Sequence[str], lexicon: dict) -> None:
+        only = {" ".join(lexicon[a][0]) for a in alias_only}
+        words = {" ".join(lexicon[s][0]): lexicon[s][0] for s in synonyms}
+        self.entries.append({"kind": kind, "name": name, "tables": list(tables)})
+        for s in synonyms:
+            w, tokens, variants = lexicon[s]
+            if not tokens:
+                continue
+            phrase = " ".join(w)
+            longer = [p for p, other in words.items() if p != phrase and len(other) > len(w) and set(w) <= set(other)]
+            self.synonyms.append({
+                "entry": len(self.entries), "text": s, "phrase": phrase, "weight": max(1, len(tokens)),
+                "needs": [{"token": t, "variants": v} for t, v in zip(tokens, variants)],
+                "alias_only": phrase in only, "longer": longer,
+            })
+            for key in {tokens[0], *variants[0]}:
+                self.index.setdefault(key, []).append(len(self.synonyms))
+
+    def match(self, tokens: Column) -> Column:
+        """Matched entries of a row: kind, name, tables, matched synonyms, score.
+
+        A synonym matches when each of its tokens occurs or shares an inflection with some
+        token. (A phrase that occurs word for word always satisfies this.) Only synonyms whose
+        first token may occur are looked at. An alias-only hit is dropped when a longer hit of
+        the same entry contains its words.
+        """
+        vocabulary = sorted({n["token"] for s in self.synonyms for n in s["needs"]})
+        inflections = sorted({v for s in self.synonyms for n in s["needs"] for v in n["variants"]})
+        index = F.map_from_entries(constant([{"key": k, "ids": v} for k, v in sorted(self.index.items())]))
+        synonyms, entries = constant(self.synonyms), constant(self.entries)
+        context = let(tokens, lambda t: F.struct(
+            F.array_intersect(t, constant(vocabulary)).alias("present"),
+            F.array_intersect(variant_set(t), constant(inflections)).alias("inflected")))
+
+        def hits(ctx: Column) -> Column:
+            seen = F.array_union(ctx["present"], ctx["inflected"])
+            ids = F.array_sort(F.array_distinct(F.flatten(
+                F.transform(seen, lambda k: F.coalesce(F.try_element_at(index, k), F.expr("cast(array() as array<int>)"))))))
+            return F.filter(
+                F.transform(ids, lambda i: F.element_at(synonyms, i)),
+                lambda s: F.forall(s["needs"], lambda n: F.array_contains(ctx["present"], n["token"])
+                                   | F.arrays_overlap(n["variants"], ctx["inflected"])),
+            )
+
+        def of_entry(found: Column, e: Column) -> Column:
+            own = F.filter(found, lambda s: s["entry"] == e)
+            kept = let(own, lambda every: F.filter(every, lambda s: ~(
+                s["alias_only"] & F.arrays_overlap(s["longer"], F.transform(every, lambda o: o["phrase"])))))
+            entry = F.element_at(entries, e)
+            return let(kept, lambda k: F.struct(
+                entry["kind"].alias("kind"), entry["name"].alias("name"), entry["tables"].alias("tables"),
+                F.transform(k, lambda s: s["text"]).alias("matched"),
+                F.aggregate(k, F.lit(0), lambda total, s: total + s["weight"]).alias("score")))
+
+        return let(let(context, hits), lambda found: F.transform(
+            F.array_distinct(F.transform(found, lambda s: s["entry"])), lambda e: of_entry(found, e)))
 
 
 class Matcher:
@@ -141,15 +134,17 @@ class Matcher:
                 texts |= {part for part in self._fields(t).values()}
         lex = _tokenised(tuple(sorted(texts)))
         self._lex = lex
+        self.dictionary = Dictionary()
         count = len(layer.entities)
-        self.entities, self.metrics = _entry_rows(named[:count], lex), _entry_rows(named[count:], lex)
-        self.rules = _entry_rows(rules, lex)
-        self.filters = []
+        for i, (name, synonyms, tables, _) in enumerate(named):
+            self.dictionary.add("entities" if i < count else "metrics", name, synonyms, tables, (), lex)
         for name, base, values, table in filters:
             base_phrases = {" ".join(lex[b][0]) for b in base}
             only = [v for v in values if " ".join(lex[v][0]) not in base_phrases]
-            rows = _entry_rows([(name, unique((name, *base, *values)), (table,) if table else (), only)], lex)
-            self.filters.extend(rows)
+            every = unique((name, *base, *values))
+            self.dictionary.add("filters", name, every, (table,) if table else (), only, lex)
+        for trigger, synonyms, tables, _ in rules:
+            self.dictionary.add("rules", trigger, synonyms, tables, (), lex)
 
     @staticmethod
     def _fields(t) -> dict[str, str]:
@@ -161,14 +156,9 @@ class Matcher:
     def plan(self, df: DataFrame) -> DataFrame:
         """Add matched entities, metrics, filters and rules, required tables and join hints."""
         layer = self.layer
-        tokens = F.col("tokens")
-        df = df.select(
-            "*",
-            match_entries(tokens, self.entities).alias("entities"),
-            match_entries(tokens, self.metrics).alias("metrics"),
-            match_entries(tokens, self.filters).alias("filters"),
-            match_entries(tokens, self.rules).alias("rules"),
-        )
+        df = df.withColumn("matches", self.dictionary.match(F.col("tokens")))
+        of = lambda kind: F.filter("matches", lambda m: m["kind"] == kind).alias(kind)
+        df = df.select("*", *[of(kind) for kind in ("entities", "metrics", "filters", "rules")]).drop("matches")
         if layer.line_metric and layer.general_metric:
             in_play = F.exists("entities", lambda e: e["name"].isin(*layer.product_entities)) | F.exists(
                 "filters", lambda f: F.exists(f["tables"], lambda t: t.isin(*layer.product_tables))
@@ -176,7 +166,7 @@ class Matcher:
             has = lambda n: F.exists("metrics", lambda m: m["name"] == n)
             line = next(m for m in layer.metrics if m.name == layer.line_metric)
             derived = constant([{
-                "name": line.name, "tables": list(line.tables), "matched": [_DERIVED_PHRASE],
+                "kind": "metrics", "name": line.name, "tables": list(line.tables), "matched": [_DERIVED_PHRASE],
                 "score": len(self._lex[_DERIVED_PHRASE][1]),
             }])
             extra = in_play & has(layer.general_metric) & ~has(layer.line_metric)
@@ -185,7 +175,8 @@ class Matcher:
         df = df.withColumn("required_tables", F.array_distinct(F.concat(*tables)))
         paths = [{"name": p.name, "tables": list(p.tables)} for p in layer.paths]
         hints = (
-            F.filter(constant(paths), lambda p: F.forall(p["tables"], lambda t: F.array_contains("required_tables", t)))
+            let(F.col("required_tables"), lambda r: F.filter(
+                constant(paths), lambda p: F.forall(p["tables"], lambda t: F.array_contains(r, t))))
             if paths
             else F.expr("cast(array() as array<struct<name:string,tables:array<string>>>)")
         )
@@ -193,14 +184,14 @@ class Matcher:
 
     def score_tables(self, df: DataFrame) -> DataFrame:
         """Add ``table_scores``: lexical + semantic score of every catalogue table, best first."""
-        weights = []
+        weighted = []
         for t in self.catalogue.tables:
             per: dict[str, int] = {}
             for field, text in self._fields(t).items():
                 for token in self._lex[text][1]:
                     per[token] = per.get(token, 0) + FIELD_WEIGHTS[field]
-            weights.append(f"named_struct('name', {sql_text(t.name)}, 'weights', {constant_map(per)})")
-        catalogue = F.expr("array(" + ", ".join(weights) + ")")
+            weighted.append({"name": t.name, "weights": Weights(per)})
+        catalogue = constant(weighted)
 
         def boost(column: str, kind: str) -> Column:
             base, step = BOOSTS[kind]
@@ -213,51 +204,56 @@ class Matcher:
             "boosts", F.concat(boost("entities", "entity"), boost("metrics", "metric"), boost("filters", "filter"), joins)
         )
 
-        def scored(t: Column) -> Column:
-            lexical = F.aggregate("tokens", F.lit(0), lambda a, k: a + F.coalesce(F.try_element_at(t["weights"], k), F.lit(0)))
+        def scored(t: Column, ctx: Column) -> Column:
+            lexical = F.aggregate(
+                ctx["tokens"], F.lit(0), lambda a, k: a + F.coalesce(F.try_element_at(t["weights"], k), F.lit(0))
+            )
             semantic = F.aggregate(
-                F.filter("boosts", lambda b: b["table"] == t["name"]), F.lit(0), lambda a, b: a + b["points"]
+                ctx["boosts"], F.lit(0), lambda a, b: a + F.when(b["table"] == t["name"], b["points"]).otherwise(0)
             )
-            return F.struct((-(lexical + semantic)).alias("negated"), t["name"].alias("name"),
-                            lexical.alias("lexical"), semantic.alias("semantic"))
+            return let(F.struct(lexical.alias("l"), semantic.alias("s")), lambda v: F.struct(
+                (-(v["l"] + v["s"])).alias("negated"), t["name"].alias("name"),
+                v["l"].alias("lexical"), v["s"].alias("semantic")))
 
-        return df.withColumn("table_scores", F.array_sort(F.transform(catalogue, scored)))
+        known = F.array_distinct(F.flatten(F.transform(catalogue, lambda t: F.map_keys(t["weights"]))))
+        context = F.struct(F.array_intersect("tokens", known).alias("tokens"), F.col("boosts").alias("boosts"))
+        scores = let(context, lambda ctx: F.array_sort(F.transform(catalogue, lambda t: scored(t, ctx))))
+        return df.withColumn("table_scores", scores)
 
     def retrieve(self, df: DataFrame, max_tables: int = 4, max_hops: int = 3) -> DataFrame:
         """Add ``selected`` (top tables, then required ones) and ``connectors`` between them."""
         df = self.score_tables(self.plan(question_context(df)))
-        names = lambda c: F.transform(c, lambda s: s["name"])
-        df = df.withColumn(
-            "top_tables", names(F.slice(F.filter("table_scores", lambda s: s["negated"] < 0), 1, max_tables))
-        )
-        required = F.array_except(
-            F.filter(names(F.col("table_scores")), lambda n: F.array_contains("required_tables", n)), F.col("top_tables")
-        )
-        default = constant([t.name for t in self.catalogue.tables[:max_tables]])
-        both = F.concat("top_tables", required)
-        df = df.withColumn("selected", F.when(F.size(both) > 0, both).otherwise(default))
-        return df.withColumn("connectors", self._connectors(F.col("selected"), max_hops))
+        default = [t.name for t in self.catalogue.tables[:max_tables]]
+
+        def chosen(ctx: Column) -> Column:
+            ranked = F.transform(ctx["scores"], lambda s: s["name"])
+            top = F.transform(F.slice(F.filter(ctx["scores"], lambda s: s["negated"] < 0), 1, max_tables), lambda s: s["name"])
+            required = F.filter(ranked, lambda n: F.array_contains(ctx["required"], n))
+            both = F.array_distinct(F.concat(top, required))
+            return let(both, lambda b: F.when(F.size(b) > 0, b).otherwise(constant(default)))
+
+        context = F.struct(F.col("table_scores").alias("scores"), F.col("required_tables").alias("required"))
+        df = df.withColumn("selected", let(context, chosen))
+        return df.withColumn("connectors", let(F.col("selected"), lambda s: self._connectors(s, max_hops)))
 
     def _connectors(self, selected: Column, max_hops: int) -> Column:
         """Tables on the shortest paths between selected tables that are not selected themselves."""
         between = _catalogue_paths(self.catalogue, max_hops)
         if not between:
             return F.expr("cast(array() as array<string>)")
-        known = F.expr("map(" + ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in between.items()) + ")")
-        pairs = F.flatten(
-            F.transform(selected, lambda a, i: F.transform(
-                F.filter(selected, lambda b, j: j > i), lambda b: F.concat_ws(">", a, b)))
-        )
-        inner = F.flatten(F.transform(pairs, lambda p: F.coalesce(
-            F.try_element_at(known, p), F.expr("cast(array() as array<string>)"))))
+        known = F.map_from_entries(constant([{"pair": k, "inner": v} for k, v in between.items()]))
+        none = F.expr("cast(array() as array<string>)")
+        pairs = F.flatten(F.transform(selected, lambda a, i: F.transform(
+            F.slice(selected, i + 2, F.size(selected)), lambda b: F.concat_ws(">", a, b))))
+        inner = F.flatten(F.transform(pairs, lambda p: F.coalesce(F.try_element_at(known, p), none)))
         return F.array_except(F.array_distinct(inner), selected)
 
     def examples_for(self, df: DataFrame, limit: int = 2, min_score: int = 1) -> DataFrame:
         """Add ``examples``: the stored questions that share most tokens."""
         stored = constant([{"question": q, "tokens": self._lex[q][1], "tables": list(t)} for q, t in self.examples])
-        scored = F.transform(stored, lambda e: F.struct(
-            (-F.size(F.array_intersect("tokens", e["tokens"]))).alias("negated"),
-            e["question"].alias("question"), e["tables"].alias("tables")))
+        scored = let(F.col("tokens"), lambda tokens: F.transform(stored, lambda e: F.struct(
+            (-F.size(F.array_intersect(tokens, e["tokens"]))).alias("negated"),
+            e["question"].alias("question"), e["tables"].alias("tables"))))
         kept = F.filter(F.array_sort(scored), lambda s: -s["negated"] >= min_score)
         return df.withColumn("examples", F.slice(kept, 1, limit))
 
