@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_PARTS = ("retail", "primitives", "text", "resolution", "results", "evaluation", "sqllog")
+_PARTS = ("retail", "primitives", "text", "resolution", "results", "evaluation", "sqllog", "eventlog")
 
 
 def _merged(attribute: str) -> dict:
