@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_PARTS = ("retail", "primitives", "text", "resolution", "results", "evaluation", "sqllog", "eventlog")
+_PARTS = ("retail", "primitives", "text", "resolution", "results", "evaluation", "sqllog", "eventlog", "sources")
 
 
 def _merged(attribute: str) -> dict:
