@@ -46,20 +46,32 @@ def _limiter(span: int, limit: int):
             count += int(allowed)
             out.append((key[0], int(order), int(t), allowed, limit - count, 0 if allowed else start + span - int(t)))
         state.update((start, count))
-        state.setTimeoutDuration(max(span, 1))
+        state.setTimeoutTimestamp(max(start + span, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "order_id", "t", "allowed", "remaining", "retry_after_ms"])
 
     return run
 
 
-def live_rate_limit(hits: DataFrame, key: str, at: str, order: str, span_ms: int = 60_000, limit: int = 30) -> DataFrame:
-    """Rate limit of a stream, append mode. State is one window start and one count per key, dropped when idle."""
-    timed = hits.select(F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias("order_id"), epoch_millis(at).alias("t"))
+def _timed(df: DataFrame, key: str, at: str, order: str, delay: str, *more: Column) -> DataFrame:
+    marked = df.withColumn("__at", F.col(at).cast("timestamp")).withWatermark("__at", delay)
+    return marked.select(F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias("order_id"),
+                         epoch_millis(at).alias("t"), "__at", *more)
+
+
+def live_rate_limit(
+    hits: DataFrame, key: str, at: str, order: str, span_ms: int = 60_000, limit: int = 30, delay: str = "10 minutes"
+) -> DataFrame:
+    """Rate limit of a stream, append mode.
+
+    State is one window start and one count per key, dropped once the watermark has passed
+    the window. Hits have to arrive in order between micro-batches; inside one they are sorted.
+    """
+    timed = _timed(hits, key, at, order, delay)
     if limit <= 0:
-        return timed.select("*", F.lit(True).alias("allowed"), F.lit(None).cast("bigint").alias("remaining"), F.lit(0).cast("bigint").alias("retry_after_ms"))
+        return timed.drop("__at").select("*", F.lit(True).alias("allowed"), F.lit(None).cast("bigint").alias("remaining"), F.lit(0).cast("bigint").alias("retry_after_ms"))
     return timed.groupBy("key").applyInPandasWithState(
         _limiter(span_ms, limit), "key string, order_id bigint, t bigint, allowed boolean, remaining bigint, retry_after_ms bigint",
-        "start bigint, count bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        "start bigint, count bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _cache(ttl: int):
@@ -77,16 +89,16 @@ def _cache(ttl: int):
             out.append((key[0], int(order), hit))
         if stored is not None:
             state.update((stored,))
-            state.setTimeoutDuration(ttl + 1)
+            state.setTimeoutTimestamp(max(stored + ttl, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["key", "order_id", "cache_hit"])
 
     return run
 
 
-def live_reuse(requests: DataFrame, key: str, at: str, order: str, success: Column, ttl_ms: int = 900_000) -> DataFrame:
-    """Cache hits of a stream, append mode. State is the time of the stored answer per key."""
-    timed = requests.select(
-        F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias("order_id"), epoch_millis(at).alias("t"),
-        F.coalesce(success, F.lit(False)).alias("ok"))
+def live_reuse(
+    requests: DataFrame, key: str, at: str, order: str, success: Column, ttl_ms: int = 900_000, delay: str = "10 minutes"
+) -> DataFrame:
+    """Cache hits of a stream, append mode. State is the time of the stored answer per key, dropped when it has expired."""
+    timed = _timed(requests, key, at, order, delay, F.coalesce(success, F.lit(False)).alias("ok"))
     return timed.groupBy("key").applyInPandasWithState(
-        _cache(ttl_ms), "key string, order_id bigint, cache_hit boolean", "stored bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        _cache(ttl_ms), "key string, order_id bigint, cache_hit boolean", "stored bigint", "append", GroupStateTimeout.EventTimeTimeout)
