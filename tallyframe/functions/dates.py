@@ -22,8 +22,8 @@ def month_references(text: Column) -> Column:
 
     A two-digit year counts only after a comma; up to 69 it lies in the 2000s.
     """
-    groups = [F.regexp_extract_all(text, F.lit(MONTH_PHRASE), F.lit(i)) for i in range(4)]
-    zipped = F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("g0", "g1", "g2", "g3"))])
+    phrases = F.regexp_extract_all(text, F.lit(MONTH_PHRASE), F.lit(0))
+    parts = F.transform(phrases, lambda p: F.struct(*[F.regexp_extract(p, MONTH_PHRASE, i).alias(f"g{i}") for i in range(4)]))
     numbers = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
     titles = F.array(*[F.lit(t) for t in _TITLES])
 
@@ -42,7 +42,7 @@ def month_references(text: Column) -> Column:
             F.add_months(start, 1).alias("end_exclusive"),
         )
 
-    return F.filter(F.transform(zipped, resolve), lambda r: r["year"].isNotNull())
+    return F.filter(F.transform(parts, resolve), lambda r: r["year"].isNotNull())
 
 
 def normalize_months(text: Column, references: Column) -> Column:

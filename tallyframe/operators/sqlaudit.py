@@ -38,75 +38,86 @@ def statements(log: DataFrame, sql: str = "sql") -> DataFrame:
     )
 
 
-def outside_tables(allowed: Column, used: Column, cleaned: Column | None = None, exempt_ctes: bool = False) -> Column:
+def outside_tables(allowed: Column, used: Column, exempt: Column | None = None) -> Column:
     """Used tables that are not allowed. CTE names count as tables unless they are exempt."""
     extra = F.array_except(used, allowed)
-    return F.array_except(extra, S.cte_names(S.strip_literals(cleaned))) if exempt_ctes else extra
+    return extra if exempt is None else F.array_except(extra, exempt)
 
 
-def _resolver(stripped: Column, registry: Registry) -> Column:
+def sql_facts(log: DataFrame, registry: Registry, cleaned: str = "cleaned") -> DataFrame:
+    """Add what several checks need, each computed once: stripped text, aliases, CTE and derived names."""
+    staged = log.withColumn("stripped", S.strip_literals(F.col(cleaned)))
+    text = F.col("stripped")
+    staged = staged.select(
+        "*", S.table_aliases(text).alias("named_tables"), S.cte_names(text).alias("ctes"), S.derived_aliases(text).alias("derived"))
+    return staged.select("*", _resolver(F.col("named_tables"), registry).alias("aliases"), _cte_given().alias("cte_aliases"))
+
+
+FACTS = ("stripped", "named_tables", "ctes", "derived", "aliases", "cte_aliases")
+
+
+def _resolver(named: Column, registry: Registry) -> Column:
     """Array of (alias, table) for every known table and every alias given to one."""
     own = [{"alias": t, "table": t} for t in registry.tables]
     known = constant(registry.tables)
     given = F.filter(
-        S.table_aliases(stripped),
-        lambda p: F.array_contains(known, p["table"]) & (p["alias"] != "") & ~F.upper(p["alias"]).isin(*S.NOT_AN_ALIAS)
+        named,
+        lambda p: (p["alias"] != "") & F.array_contains(known, p["table"]) & ~F.upper(p["alias"]).isin(*S.NOT_AN_ALIAS)
         & ~F.array_contains(known, p["alias"]),
     )
     return F.concat(F.transform(F.reverse(given), lambda p: F.struct(p["alias"].alias("alias"), p["table"].alias("table"))), constant(own))
 
 
+def _cte_given() -> Column:
+    """Aliases given to CTEs after FROM or JOIN."""
+    both = F.struct(F.col("named_tables").alias("named"), F.col("ctes").alias("ctes"))
+    return let(both, lambda ctx: F.transform(
+        F.filter(ctx["named"], lambda p: (p["alias"] != "") & F.array_contains(ctx["ctes"], p["table"])), lambda p: p["alias"]))
+
+
 def _table_of(aliases: Column, name: Column) -> Column:
     return F.get(F.filter(aliases, lambda a: a["alias"] == name), F.lit(0))["table"]
 
 
-def column_issues(cleaned: Column, registry: Registry) -> Column:
+def column_issues(registry: Registry) -> Column:
     """Qualified columns whose qualifier or column is unknown (derived tables are left alone).
 
     Aliases count only where they follow FROM or JOIN, so one given after a comma is unknown.
     """
     catalogue = constant([{"table": t, "columns": list(c)} for t, c in registry.columns.items()])
+    context = F.struct(
+        F.col("aliases"), F.concat("derived", "ctes", "cte_aliases").alias("derived"),
+        F.array_distinct(S.qualified_columns(F.col("stripped"))).alias("pairs"))
 
     def check(ctx: Column) -> Column:
         def issue(q: Column) -> Column:
-            table = _table_of(ctx["aliases"], q["qualifier"])
-            has = F.exists(catalogue, lambda t: (t["table"] == table) & F.array_contains(t["columns"], q["column"]))
-            return (
-                F.when(F.array_contains(ctx["derived"], q["qualifier"]), None)
-                .when(table.isNull(), F.concat(F.lit("unknown qualifier "), q["qualifier"], F.lit("."), q["column"]))
-                .when(~has, F.concat(F.lit("unknown column "), q["column"], F.lit(" on "), table))
-            )
+            def of_table(table: Column) -> Column:
+                has = F.exists(catalogue, lambda t: (t["table"] == table) & F.array_contains(t["columns"], q["column"]))
+                return (
+                    F.when(F.array_contains(ctx["derived"], q["qualifier"]), None)
+                    .when(table.isNull(), F.concat(F.lit("unknown qualifier "), q["qualifier"], F.lit("."), q["column"]))
+                    .when(~has, F.concat(F.lit("unknown column "), q["column"], F.lit(" on "), table))
+                )
 
-        return F.filter(F.transform(ctx["pairs"], issue), lambda x: x.isNotNull())
-
-    return let(S.strip_literals(cleaned), lambda s: let(
-        F.struct(
-            _resolver(s, registry).alias("aliases"),
-            F.concat(S.derived_aliases(s), S.cte_names(s), _cte_given(s)).alias("derived"),
-            S.qualified_columns(s).alias("pairs")),
-        check))
+            return let(_table_of(ctx["aliases"], q["qualifier"]), of_table)
 
+        return F.filter(F.transform(ctx["pairs"], issue), lambda x: x.isNotNull())
 
-def _cte_given(stripped: Column) -> Column:
-    """Aliases given to CTEs after FROM or JOIN."""
-    return let(S.cte_names(stripped), lambda names: F.transform(
-        F.filter(S.table_aliases(stripped), lambda p: F.array_contains(names, p["table"]) & (p["alias"] != "")), lambda p: p["alias"]))
+    return let(context, check)
 
 
-def identifier_issues(cleaned: Column, registry: Registry) -> Column:
+def identifier_issues(registry: Registry) -> Column:
     """Unqualified mixed-case names that are no keyword, table, column, alias or CTE."""
     known = constant(sorted({*registry.tables, *(c for cs in registry.columns.values() for c in cs)}))
+    mixed = F.filter(
+        F.array_distinct(S.free_identifiers(F.col("stripped"))),
+        lambda n: n.rlike("[A-Z]") & ~n.rlike("^[A-Z_]+$") & ~F.upper(n).isin(*S.KEYWORDS))
+    local = F.concat(
+        S.output_aliases(F.col("stripped")), F.col("ctes"), F.col("derived"), F.col("cte_aliases"), F.transform("aliases", lambda a: a["alias"]))
+    return F.array_except(F.array_except(mixed, known), local)
 
-    def check(s: Column) -> Column:
-        local = F.concat(
-            S.output_aliases(s), S.cte_names(s), S.derived_aliases(s), _cte_given(s), F.transform(_resolver(s, registry), lambda a: a["alias"]))
-        names = F.array_except(F.array_except(F.array_distinct(S.free_identifiers(s)), known), local)
-        return F.filter(names, lambda n: n.rlike("[A-Z]") & ~n.rlike("^[A-Z_]+$") & ~F.upper(n).isin(*S.KEYWORDS))
 
-    return let(S.strip_literals(cleaned), check)
-
-
-def join_issues(cleaned: Column, registry: Registry) -> Column:
+def join_issues(registry: Registry) -> Column:
     """Joined column pairs of two known tables that no relationship covers, in either direction."""
     allowed = constant(sorted({f"{a}.{x}->{b}.{y}" for l in registry.joins for a, x, b, y in (l, (l[2], l[3], l[0], l[1]))}))
 
@@ -118,16 +129,15 @@ def join_issues(cleaned: Column, registry: Registry) -> Column:
 
         return F.array_except(F.array_distinct(F.filter(F.transform(ctx["pairs"], key), lambda k: k.isNotNull())), allowed)
 
-    return let(S.strip_literals(cleaned), lambda s: let(
-        F.struct(_resolver(s, registry).alias("aliases"), S.join_equalities(s).alias("pairs")), check))
+    return let(F.struct(F.col("aliases"), S.join_equalities(F.col("stripped")).alias("pairs")), check)
 
 
-def metric_issues(cleaned: Column, metrics: Column, registry: Registry) -> Column:
+def metric_issues(stripped: Column, metrics: Column, registry: Registry) -> Column:
     """Matched metrics of which no preferred column is mentioned."""
     rows = constant([
         {"name": n, "columns": [c.split(".")[-1].lower() for c in cols]} for n, cols in (registry.metrics or {}).items()
     ])
-    text = F.lower(F.replace(S.strip_literals(cleaned), F.lit("`"), F.lit("")))
+    text = F.lower(F.replace(stripped, F.lit("`"), F.lit("")))
     context = F.struct(F.split(text, "[^a-z0-9_]+").alias("words"), metrics.alias("metrics"))
 
     def check(ctx: Column) -> Column:
@@ -140,9 +150,9 @@ def metric_issues(cleaned: Column, metrics: Column, registry: Registry) -> Colum
     return let(context, check)
 
 
-def candidate_id_issues(cleaned: Column, candidates: Column, registry: Registry) -> Column:
+def candidate_id_issues(stripped: Column, candidates: Column, registry: Registry) -> Column:
     """Product ids that were not among the resolved candidates; without candidates nothing is checked."""
-    ids = S.ids_compared(S.strip_literals(cleaned), sorted(registry.id_columns, key=lambda c: (-len(c), c)))
+    ids = S.ids_compared(stripped, sorted(registry.id_columns, key=lambda c: (-len(c), c)))
     return F.when(F.size(candidates) > 0, F.array_except(ids, candidates)).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
@@ -164,18 +174,18 @@ def audit(log: DataFrame, registry: Registry, sql: str = "sql", allowed: str = "
           exempt_ctes: bool = False) -> DataFrame:
     """Add every check, and the first issue in checking order (null when the query is fine)."""
     none = F.expr(_NONE)
-    out = statements(log, sql)
-    text = F.col("cleaned")
+    out = sql_facts(statements(log, sql), registry)
+    text = F.col("stripped")
     out = out.select(
         "*",
-        outside_tables(F.col(allowed), F.col("tables_used"), text, exempt_ctes).alias("outside_tables"),
-        column_issues(text, registry).alias("column_issues"),
-        identifier_issues(text, registry).alias("identifier_issues"),
-        join_issues(text, registry).alias("join_issues"),
+        outside_tables(F.col(allowed), F.col("tables_used"), F.col("ctes") if exempt_ctes else None).alias("outside_tables"),
+        column_issues(registry).alias("column_issues"),
+        identifier_issues(registry).alias("identifier_issues"),
+        join_issues(registry).alias("join_issues"),
         (metric_issues(text, F.col(metrics), registry) if metrics else none).alias("metric_issues"),
         (candidate_id_issues(text, F.col(candidates), registry) if candidates else F.expr("cast(array() as array<bigint>)")).alias("id_issues"),
         (contract_issue(F.col(declared), F.col(allowed), F.col("tables_used")) if declared else F.lit(None).cast("string")).alias("contract_issue"),
-    )
+    ).drop(*FACTS)
 
     def first(column: str, label: str) -> Column:
         return F.when(F.size(column) > 0, F.concat(F.lit(label), F.get(column, F.lit(0)).cast("string")))
