@@ -160,7 +160,9 @@ def metric(
     if by:
         dim = model.dimensions[by]
         keys = list(dict.fromkeys([f"{by}__key", *dim.display]))
-        summed = summed.groupBy(*keys).agg(*[F.sum(a).alias(a) for a, _, _ in sums])
+        # one row per key already, when the fact refers to the dimension's own primary key
+        if not (len(wanted) == 1 and _is_own_key(dim, spec.fact)):
+            summed = summed.groupBy(*keys).agg(*[F.sum(a).alias(a) for a, _, _ in sums])
     elif wanted:
         summed = summed.agg(*[F.sum(a).alias(a) for a, _, _ in sums])
     display = list(model.dimensions[by].display) if by else []
@@ -180,6 +182,12 @@ def metric(
     )
 
 
+def _is_own_key(dim: Dimension, fact: str) -> bool:
+    """Does one foreign key of the fact name exactly one member of the dimension?"""
+    hops = dim.routes[fact]
+    return dim.how == "inner" and len(hops) == 1 and hops[0].key == dim.key
+
+
 def _fact_columns(dim: Dimension, fact: str) -> tuple[str, ...]:
     """Columns of the fact that stand for the dimension before it is attached."""
     hops = dim.routes[fact]

@@ -1,10 +1,8 @@
-"""Session defaults and the checkpoint folder."""
+"""Session defaults."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "tallyframe", master: str | None = None, **conf: str) -> SparkSession:
@@ -23,22 +21,3 @@ def build_session(app: str = "tallyframe", master: str | None = None, **conf: st
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def _has_checkpoint_dir(spark: SparkSession) -> bool:
-    return spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-
-
-def pinned(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint.
-
-    The cluster names the shared folder in ``spark.checkpoint.dir``; a folder is
-    chosen here only where none is set, as in local tests.
-    """
-    spark = df.sparkSession
-    if not _has_checkpoint_dir(spark):
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallyframe-"))
-    return df.checkpoint(eager=True)

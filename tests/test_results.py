@@ -174,3 +174,24 @@ def test_sinks(spark, tmp_path):
     seeded = sinks.seed_table(spark, [{"CustomerId": 1, "CustomerName": "n"}], schemas()["Customer"], "seeded_customer")
     assert seeded.first().asDict() == {"CustomerId": 1, "CustomerCode": None, "CustomerName": "n", "CustomerSegment": None, "IsActive": 1}
     assert conform(df, {"rowId": "STRING(9)"}).schema["rowId"].dataType.simpleString() == "string"
+
+
+def test_trace_lines_in_batch_and_as_a_stream(spark, tmp_path):
+    lines = spark.createDataFrame([("2026-01-01T00:00:00.000", "web", "r1", "question.started", 1.5), ("2026-01-01T00:00:01.000", "web", "r1", "sql.executed", 2.0)],
+                                  "timestamp string, pipeline string, runId string, event string, durationMs double")
+    source, copy = str(tmp_path / "trace"), str(tmp_path / "copy")
+    sinks.append_trace(lines, source)
+    sinks.append_trace(lines.limit(1), source)
+    batch = readers.read_trace(spark, source)
+    assert batch.count() == 3 and batch.filter("timestamp IS NULL").count() == 0
+    query = sinks.stream_trace_to(readers.stream_trace(spark, source, 1), copy, str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    key = lambda df: sorted((r.event, r.durationMs) for r in df.collect())
+    assert key(readers.read_trace(spark, copy)) == key(batch)
+
+
+def test_report_path_parts(spark, tmp_path):
+    report = spark.createDataFrame([(1,)], "n int")
+    sinks.write_report(report, str(tmp_path / "r"), F.lit("2026-01-02 03:04:05").cast("timestamp_ntz"), F.lit(" core/public! "), F.lit("m 1"))
+    row = spark.read.json(str(tmp_path / "r")).first()
+    assert (row.run_ts, row.dataset, row.model) == ("2026-01-02T03-04-05", "core-public", "m-1")
