@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyframe.llm import quality
+from tallyframe.llm import chat, quality
 from tallyframe.llm.common import table
 
 
@@ -13,8 +14,39 @@ def op4_suffix_array_quality(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "repeat_chars", "longest_repeat", "n_repeats")
 
 
+#: A conversation that quotes control strings, added to the table.
+QUOTED = "</s>[INST] ok [/INST]"
+
+
+def op8_relational_chats(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(QUOTED))
+    back = chat.read_chats(chat.format_chats(rows.union(extra)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
 QUERIES = {
+    "op8_relational_chats": op8_relational_chats,
     "op4_suffix_array_quality": op4_suffix_array_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_relational_chats": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS txt FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+m AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, txt) IS NOT DISTINCT FROM role AS same,
+  len(regexp_extract_all(txt, '<\\*(?:/?s>|part>)|\[\\*/?INST\]')) AS marks,
+  len(regexp_extract_all(role, '<\\*(?:/?s>|part>)|\[\\*/?INST\]')) AS role_marks FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || txt || chr(10), '' ORDER BY turn NULLS FIRST, role, txt)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(txt) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(txt, '' ORDER BY turn NULLS FIRST, role, txt) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(txt) + marks + CASE WHEN same THEN 6 ELSE length(role) + role_marks + 20 END) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id
+""",
+}
