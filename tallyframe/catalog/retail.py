@@ -89,13 +89,13 @@ QUERIES = {
         "net_sales", by="customer", order_by_name=True,
         periods_as_columns={"jan_net_amount": JANUARY, "feb_net_amount": FEBRUARY},
     ),
-    "outstanding_by_customer": _by("outstanding", by="customer", row_filter=F.col("BalanceAmount") > 0),
+    "outstanding_by_customer": _by("outstanding", by="customer", row_filter="BalanceAmount > 0"),
     "ledger_debit_credit": _by("debit_credit", by="ledger_account_or_none", live_only=False),
     "document_count_by_type_all": _by("document_count", by="document_type"),
     "monthly_sales_trend": lambda s, d: star.monthly_trend(orders_as_retail(s, d), "net_sales", terms=["widget", "small"]),
     "monthly_document_sales_trend": lambda s, d: star.monthly_trend(orders_as_retail(s, d), "net_sales"),
     "due_in_range_balance": _by("outstanding", by="customer", period=MARCH, dated_by="DueDate",
-                                row_filter=F.col("BalanceAmount") > 0),
+                                row_filter="BalanceAmount > 0"),
     "customer_balance_by_segment": customer_balance_by_segment,
     "location_net_sales": _by("net_sales", by="store_location", period=MARCH),
     "region_net_sales": _by("net_sales", by="campaign", period=MARCH),

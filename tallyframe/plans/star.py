@@ -116,7 +116,7 @@ def metric(
     period: Period | None = None,
     periods_as_columns: Mapping[str, Period] | None = None,
     where: Mapping[str, Sequence[str]] | None = None,
-    row_filter: Column | None = None,
+    row_filter: Column | str | None = None,
     top: int | None = None,
     live_only: bool = True,
     dated_by: str | None = None,
