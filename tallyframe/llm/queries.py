@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat, quality
+from tallyframe.llm import chat, packing, quality
 from tallyframe.llm.common import table
 
 
+def op1_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
 def op4_suffix_array_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(table(spark, folder, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "repeat_chars", "longest_repeat", "n_repeats")
@@ -30,6 +34,7 @@ def op8_relational_chats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_retrieval_packing": op1_retrieval_packing,
     "op8_relational_chats": op8_relational_chats,
     "op4_suffix_array_quality": op4_suffix_array_quality,
 }
