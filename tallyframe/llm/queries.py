@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat, decontaminate, packing, quality
+from tallyframe.llm import chat, decontaminate, packing, quality, substrings
 from tallyframe.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op4_suffix_array_quality(spark: SparkSession, folder: str) -> DataFrame:
 QUOTED = "</s>[INST] ok [/INST]"
 
 
+def op5_block_anchors(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substrings.without_copies(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("removed_spans").cast("long").alias("n_spans"))
+
+
 def op8_relational_chats(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(QUOTED))
@@ -40,6 +45,7 @@ def op10_prefix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_block_anchors": op5_block_anchors,
     "op10_prefix_decontamination": op10_prefix_decontamination,
     "op1_retrieval_packing": op1_retrieval_packing,
     "op8_relational_chats": op8_relational_chats,
