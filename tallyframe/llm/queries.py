@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat, decontaminate, packing, quality, substrings
+from tallyframe.llm import chat, decontaminate, packing, private, quality, substrings
 from tallyframe.llm.common import table
 
 
@@ -38,6 +38,13 @@ def op8_relational_chats(spark: SparkSession, folder: str) -> DataFrame:
         F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op9_boosted_private_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = private.find(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", *[private.count_of("base", k).alias(f"n_{k}") for k in private.KINDS], F.sha2(private.as_text("base"), 256).alias("base_sha256"),
+        private.as_text("spans").alias("spans"))
+
+
 def op10_prefix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -45,6 +52,7 @@ def op10_prefix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op9_boosted_private_data": op9_boosted_private_data,
     "op5_block_anchors": op5_block_anchors,
     "op10_prefix_decontamination": op10_prefix_decontamination,
     "op1_retrieval_packing": op1_retrieval_packing,
