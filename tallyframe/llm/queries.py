@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat, decontaminate, packing, private, quality, substrings
+from tallyframe.llm import chat, decontaminate, extract, packing, private, quality, substrings
 from tallyframe.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op2_scoring_region_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.extract(table(spark, folder, "pages"))
+
+
 def op4_suffix_array_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(table(spark, folder, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "repeat_chars", "longest_repeat", "n_repeats")
@@ -52,6 +56,7 @@ def op10_prefix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_scoring_region_text": op2_scoring_region_text,
     "op9_boosted_private_data": op9_boosted_private_data,
     "op5_block_anchors": op5_block_anchors,
     "op10_prefix_decontamination": op10_prefix_decontamination,
@@ -61,6 +66,18 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    # The given pages mark their main text with an article element, which the operator may only use to learn from.
+    "op2_scoring_region_text": r"""
+WITH a AS (
+  SELECT page_id, url, string_split_regex(
+    regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?b>', '', 'g'), '<br>', ' ', 'g'), '</?(?:h1|p)>') AS parts
+  FROM pages),
+t AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda b: trim(regexp_replace(regexp_replace(
+    replace(replace(replace(b, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda b: b <> ''), chr(10)) AS text
+  FROM a)
+SELECT page_id, url, text, length(text) AS n_chars FROM t
+""",
     "op10_prefix_decontamination": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
