@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat, decontaminate, extract, packing, private, quality, substrings
+from tallyframe.llm import chat, decontaminate, extract, packing, private, quality, substrings, warc
 from tallyframe.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op2_scoring_region_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract.extract(table(spark, folder, "pages"))
 
 
+def op3_merged_archives(spark: SparkSession, folder: str) -> DataFrame:
+    back = warc.archive(table(spark, folder, "pages"), with_payload=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_suffix_array_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(table(spark, folder, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "repeat_chars", "longest_repeat", "n_repeats")
@@ -56,6 +61,7 @@ def op10_prefix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_merged_archives": op3_merged_archives,
     "op2_scoring_region_text": op2_scoring_region_text,
     "op9_boosted_private_data": op9_boosted_private_data,
     "op5_block_anchors": op5_block_anchors,
@@ -66,6 +72,17 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    # Base 32 from the hexadecimal digest: five bits a letter.
+    "op3_merged_archives": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+l AS (SELECT hex, strlen(html) AS n, max(page_id) AS leader FROM p GROUP BY ALL),
+b AS (SELECT page_id, hex, strlen(html) AS n, list_transform(string_split(hex, ''), lambda c: instr('0123456789abcdef', c) - 1) AS d FROM p)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+    ((d[(5 * i) // 4 + 1] * 16 + coalesce(d[(5 * i) // 4 + 2], 0)) // (8 >> ((5 * i) % 4))) % 32 AS INTEGER) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = leader THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> leader THEN leader END AS refers_to
+FROM b JOIN l USING (hex, n)
+""",
     # The given pages mark their main text with an article element, which the operator may only use to learn from.
     "op2_scoring_region_text": r"""
 WITH a AS (
