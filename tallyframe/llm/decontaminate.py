@@ -13,9 +13,23 @@ from tallyframe.llm.common import row_key, written
 BROADCAST_SHINGLES = 1_000_000
 
 
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Stands for the document itself among its shingles.
+_SELF = -1
+
+
+def _split(lower: Column) -> Column:
+    return F.coalesce(F.regexp_extract_all(lower, F.lit(_WORD), F.lit(0)), F.array().cast("array<string>"))
+
+
 def words(text: Column) -> Column:
-    lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    return F.coalesce(F.regexp_extract_all(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)), F.array().cast("array<string>"))
+    """Words with A-Z in lower case."""
+    return _split(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+
+
+def _loose(text: Column) -> Column:
+    """Every letter in lower case, which takes a fraction of the time: texts that agree by `words` agree here too, at the same words."""
+    return F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))
 
 
 def _shingle(w: Column, i: Column, size: int) -> Column:
@@ -46,15 +60,16 @@ def contamination(
     of whose shingles never occurs is out. Bounds: the window, laid out from the shingle's place, begins and ends inside the
     document. What is left is compared word by word.
 
-    Scale: each document is read twice and its text shuffled once, spread by a hash of its row. Occurrences of shingles are
-    summed before they are shuffled. Shingles of the items go to every task only up to BROADCAST_SHINGLES of them.
+    Scale: each document is split into words once, and once more if it has candidates; texts are shuffled once at most, spread by
+    a hash of the row. Occurrences of shingles are summed before they are shuffled. Shingles of the items go to every task only
+    up to BROADCAST_SHINGLES of them. Shingles ignore the case of all letters, the comparison only that of A-Z.
 
     A null or empty text has no words. Items without words match nothing, a null item_id counts as an empty one, items that
     repeat an id are one item. Equal rows get equal results, each its own row; rows that share only doc_id are told apart.
     """
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).select("doc_id", "text", *row_key("doc_id", "text"))
     items = written(item_windows(benchmark, item_id, item_text, window))
-    wins = items.select("win", "size").distinct().select("win", "size", F.split("win", " ").alias("w"))
+    wins = items.select("win", "size").distinct().select("win", "size", F.split(_loose(F.col("win")), " ").alias("w"))
     sizes = sorted({min(r.size, shingle) for r in wins.select("size").distinct().collect()})  # one to three numbers
 
     def of_size(q: int) -> DataFrame:
@@ -70,18 +85,21 @@ def contamination(
     for q in sizes[1:]:
         in_windows = in_windows.union(of_size(q))
     in_windows = written(in_windows)
-    wanted = in_windows.select("hash").distinct()
+    wanted = in_windows.select("hash").union(docs.sparkSession.range(1).select(F.lit(_SELF).cast("long"))).distinct()
     if wanted.count() <= BROADCAST_SHINGLES:
         wanted = F.broadcast(wanted)
 
-    split = keyed.select("key_a", "key_b", words(F.col("text")).alias("w")).select("key_a", "key_b", "w", F.size("w").alias("n"))
-    arrays = [_shingles(F.col("w"), F.col("n"), q) for q in sizes]
-    places = [F.posexplode(arrays[0]).alias("place", "hash")] if len(arrays) == 1 else [
-        F.explode(F.concat(*[F.transform(a, lambda h, i: F.struct(i.cast("int").alias("place"), h.alias("hash"))) for a in arrays])).alias("p")]
-    exploded = split.select("key_a", "key_b", "n", *places)
-    if len(arrays) > 1:
-        exploded = exploded.select("key_a", "key_b", "n", "p.place", "p.hash")
-    found = written(exploded.join(wanted, "hash"))
+    split = keyed.select("doc_id", "key_a", "key_b", _split(_loose(F.col("text"))).alias("w")).select("*", F.size("w").alias("n"))
+    if len(sizes) == 1:
+        own = F.array(F.lit(_SELF).cast("long"))
+        exploded = split.select("doc_id", "key_a", "key_b", "n", F.posexplode(F.concat(own, _shingles(F.col("w"), F.col("n"), sizes[0]))).alias("place", "hash"))
+    else:
+        placed = [F.transform(_shingles(F.col("w"), F.col("n"), q), lambda h, i: F.struct((i + 1).alias("place"), h.alias("hash"))) for q in sizes]
+        each = F.concat(F.array(F.struct(F.lit(0).alias("place"), F.lit(_SELF).cast("long").alias("hash"))), *placed)
+        exploded = split.select("doc_id", "key_a", "key_b", "n", F.explode(each).alias("p")).select("doc_id", "key_a", "key_b", "n", "p.place", "p.hash")
+    met = written(exploded.join(wanted, "hash"))
+    itself = met.where(F.col("place") == 0)
+    found = met.where(F.col("place") > 0).withColumn("place", F.col("place") - 1)
 
     frequency = found.groupBy("hash").agg(F.count("*").alias("seen"))
     rarest = (
@@ -95,17 +113,17 @@ def contamination(
         .where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n")))
         .groupBy("key_a", "key_b").agg(F.collect_set(F.struct("start", "size")).alias("tried")))
     tried = written(
-        keyed.join(candidates, ["key_a", "key_b"], "left").select("doc_id", "key_a", "key_b", "tried", words(F.col("text")).alias("w"))
-        .select("doc_id", "key_a", "key_b", F.size("w").cast("long").alias("n_words"), F.transform(
+        keyed.join(candidates, ["key_a", "key_b"]).select("key_a", "key_b", "tried", words(F.col("text")).alias("w"))
+        .select("key_a", "key_b", F.transform(
             "tried", lambda t: F.struct(t["start"].alias("start"), t["size"].alias("size"), F.array_join(F.slice("w", t["start"] + 1, t["size"]), " ").alias("win"))).alias("tried")))
 
-    laid = tried.where(F.size("tried") > 0).dropDuplicates(["key_a", "key_b"]).select("key_a", "key_b", F.explode("tried").alias("t")).select("key_a", "key_b", "t.*")
+    laid = tried.dropDuplicates(["key_a", "key_b"]).select("key_a", "key_b", F.explode("tried").alias("t")).select("key_a", "key_b", "t.*")
     hits = laid.join(wins.select("win"), "win", "left_semi")
     spans = hits.groupBy("key_a", "key_b").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("hit_spans"))
     names = hits.select("key_a", "key_b", "win").distinct().join(items.select("win", "item"), "win").groupBy("key_a", "key_b").agg(F.sort_array(F.collect_set("item")).alias("items"))
     n_hit = F.size(F.array_distinct(F.flatten(F.transform("hit_spans", lambda s: F.sequence(s["start"], s["end"] - 1)))))
     return (
-        tried.select("doc_id", "key_a", "key_b", "n_words").join(spans.join(names, ["key_a", "key_b"]), ["key_a", "key_b"], "left")
+        itself.select("doc_id", "key_a", "key_b", F.col("n").cast("long").alias("n_words")).join(spans.join(names, ["key_a", "key_b"]), ["key_a", "key_b"], "left")
         .select(
             "doc_id", "n_words", F.when(F.col("hit_spans").isNull(), 0).otherwise(n_hit).cast("long").alias("n_hit"),
             F.coalesce("hit_spans", F.array().cast("array<struct<start:int,end:int>>")).alias("hit_spans"),

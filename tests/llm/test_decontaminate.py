@@ -38,7 +38,7 @@ def run(spark, docs, texts, items, ids=None):
 
 def test_brute_force(spark, docs):
     rng = random.Random(4)
-    vocabulary = ["the", "of", "a", "É", "straße", "x1", "é", "zu"]
+    vocabulary = ["the", "of", "a", "É", "straße", "x1", "é", "zu", "ΟΔΟΣ", "ΟΔΟΣ'x", "οδος", "K", "İ"]
     def text(n):
         return " ".join(rng.choice(vocabulary).upper() if rng.random() < 0.2 else rng.choice(vocabulary) for _ in range(n))
     items = [(i, text(rng.randint(0, 25))) for i in range(30)] + [(100, "rare two"), (101, "Lonely"), (None, "no id here but four and more words follow now yes"), (3, text(12)), (5, None), (6, " .,! ")]
