@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat, decontaminate, extract, packing, private, quality, substrings, warc
+from tallyframe.llm import chat, decontaminate, extract, lines, packing, private, quality, substrings, warc
 from tallyframe.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op5_block_anchors(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("removed_spans").cast("long").alias("n_spans"))
 
 
+def op6_suffix_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = lines.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.size("removed_runs").cast("long").alias("n_runs"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_relational_chats(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(QUOTED))
@@ -61,6 +66,7 @@ def op10_prefix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_suffix_line_dedup": op6_suffix_line_dedup,
     "op3_merged_archives": op3_merged_archives,
     "op2_scoring_region_text": op2_scoring_region_text,
     "op9_boosted_private_data": op9_boosted_private_data,
@@ -72,6 +78,29 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_suffix_line_dedup": r"""
+WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS parts, text FROM documents WHERE text <> ''),
+l AS (
+  SELECT doc_id, i, parts[i] AS line, CAST(sum(CAST(regexp_matches(parts[i], '[^\x20\x09-\x0D]') AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS seq
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM raw)),
+s AS (SELECT doc_id, seq, line FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+w AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY seq) AS behind, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 20 AS long FROM s),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, seq) > 1 AS later,
+    behind IS NOT NULL AND row_number() OVER (PARTITION BY line, behind ORDER BY doc_id, seq) > 1 AS later_pair
+  FROM w),
+g AS (
+  SELECT doc_id, seq FROM r WHERE later AND long UNION SELECT doc_id, seq FROM r WHERE later_pair UNION SELECT doc_id, seq + 1 FROM r WHERE later_pair),
+k AS (SELECT l.*, g.seq IS NOT NULL AS gone FROM l LEFT JOIN g USING (doc_id, seq)),
+m AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM k),
+a AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_runs,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+  FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
+  CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept_sha256, sha256('')) END AS kept_sha256
+FROM documents LEFT JOIN a USING (doc_id)
+""",
     # Base 32 from the hexadecimal digest: five bits a letter.
     "op3_merged_archives": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
