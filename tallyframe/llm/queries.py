@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat, decontaminate, extract, lines, packing, private, quality, substrings, warc
+from tallyframe.llm import chat, decontaminate, extract, lines, packing, private, quality, similar, substrings, warc
 from tallyframe.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op6_suffix_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.size("removed_runs").cast("long").alias("n_runs"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_parity_sketch_join(spark: SparkSession, folder: str) -> DataFrame:
+    return similar.similar_groups(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_relational_chats(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(QUOTED))
@@ -66,6 +70,7 @@ def op10_prefix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_parity_sketch_join": op7_parity_sketch_join,
     "op6_suffix_line_dedup": op6_suffix_line_dedup,
     "op3_merged_archives": op3_merged_archives,
     "op2_scoring_region_text": op2_scoring_region_text,
