@@ -114,7 +114,7 @@ def contamination(
         .groupBy("key_a", "key_b").agg(F.collect_set(F.struct("start", "size")).alias("tried")))
     tried = written(
         keyed.join(candidates, ["key_a", "key_b"]).select("key_a", "key_b", "tried", words(F.col("text")).alias("w"))
-        .select("key_a", "key_b", F.transform(
+        .select("key_a", "key_b", F.size("w").alias("n"), F.transform(  # w is used twice, so it isn't moved into the function and split again for each place
             "tried", lambda t: F.struct(t["start"].alias("start"), t["size"].alias("size"), F.array_join(F.slice("w", t["start"] + 1, t["size"]), " ").alias("win"))).alias("tried")))
 
     laid = tried.dropDuplicates(["key_a", "key_b"]).select("key_a", "key_b", F.explode("tried").alias("t")).select("key_a", "key_b", "t.*")
