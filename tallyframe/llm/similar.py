@@ -245,7 +245,7 @@ def linked_nodes(docs: DataFrame, keys: DataFrame, nodes: DataFrame, size: int,
 def similar_groups(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, spare: int = SPARE, rounds: int = ROUNDS,
 ) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, key_a, key_b.
+    """One row per document: doc_id, n_shingles, component_id, component (a name of the group, null for an empty set), key_a, key_b.
 
     A document's set is that of its distinct `size`-word shingles (all words as one if there are fewer), A-Z in lower case. Two
     documents link when 100 * intersection >= percent * union. component_id is the smallest doc_id that links reach.
@@ -276,4 +276,20 @@ def similar_groups(
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = placed.where("node IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return placed.join(smallest, "component", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key_a", "key_b")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component", "key_a", "key_b")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents with one of each group left, that with the smallest doc_id (null last), with the columns they came with.
+
+    Documents with an empty set are in no group and all stay. Of rows that are equal in id and text one stays.
+    """
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    groups = similar_groups(plain, at[doc_id], at[text], **options)
+    first = groups.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key_a", "key_b")).alias("first"))
+    alone = groups.where("component IS NULL").select("key_a", "key_b", F.lit(True).alias("alone")).distinct()
+    kept = written(first.select("first.key_a", "first.key_b", F.lit(False).alias("alone")).union(alone))
+    number = F.row_number().over(W.partitionBy("key_a", "key_b").orderBy("alone"))
+    rows = plain.select("*", *row_key(at[doc_id], at[text])).join(kept, ["key_a", "key_b"]).withColumn("number", number).where("alone OR number = 1")
+    return rows.select(*plain.columns).toDF(*docs.columns)
