@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tallyframe.catalog.questions import questions
 from tallyframe.catalog.sqllog import _CTE, _OK
+from tallyframe.shared import shared_folder
 from tallyframe.sources import contract, readers, sinks
 from tallyframe.sources.retail_schema import Reference, conform
 
@@ -17,18 +15,6 @@ def _t(spark, d, name):
     return readers.read_table(spark, d, name)
 
 
-def _folder(spark, name):
-    """A fresh folder beside the checkpoints when these are shared, else a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/tallyframe-{name}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return os.path.join(tempfile.mkdtemp(prefix="tallyframe-"), name)
-
-
 def lineitem_contract(spark, d):
     """Null, domain and length rules on all lines."""
     return contract.contract_violations(
@@ -104,7 +90,7 @@ def trace_round_trip(spark, d):
     lines = e.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), F.lit("web").alias("pipeline"),
                      F.col("user_id").cast("string").alias("runId"), F.col("event_type").alias("event"), F.col("value").alias("durationMs"),
                      F.col("props").alias("payload"))
-    folder = _folder(spark, "trace")
+    folder = shared_folder(spark, "trace")
     sinks.append_trace(lines.filter("event = 'click'"), folder)
     sinks.append_trace(lines.filter("event <> 'click'"), folder)
     back = readers.read_trace(spark, folder)
@@ -114,7 +100,7 @@ def trace_round_trip(spark, d):
 def report_round_trip(spark, d):
     """Order counts per priority written as a report and read back by its path parts."""
     o = _t(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
-    folder = _folder(spark, "report")
+    folder = shared_folder(spark, "report")
     sinks.write_report(o, folder, F.lit("2026-01-02 03:04:05").cast("timestamp_ntz"), F.concat(F.lit("core / "), "o_orderpriority"), F.lit("gpt 5!"))
     return spark.read.json(folder).groupBy("dataset", "model").agg(F.sum("n").alias("orders"))
 
@@ -123,7 +109,7 @@ def csv_round_trip(spark, d):
     """Part names with quotes, commas and gaps exported as CSV and read back."""
     p = _t(spark, d, "part").select(
         "p_partkey", F.when(F.col("p_size") % 3 == 0, F.concat(F.lit('say "'), "p_name", F.lit('", ok'))).when(F.col("p_size") % 3 == 1, F.col("p_name")).alias("p_name"))
-    folder = _folder(spark, "csv")
+    folder = shared_folder(spark, "csv")
     sinks.export_csv(p, folder, ["p_partkey", "p_name"])
     back = spark.read.csv(folder, header=True, quote='"', escape='"')
     return back.select(F.col("P partkey").cast("bigint").alias("p_partkey"), F.coalesce("P name", F.lit("")).alias("p_name"))

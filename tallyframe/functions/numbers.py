@@ -28,9 +28,13 @@ def rounded(column: Column, decimals: int) -> Column:
 
 
 def round_half_up(value: Column, decimals: int) -> Column:
-    """floor((v + eps) * 10^d + 0.5) / 10^d: halves go towards plus infinity."""
+    """floor((v + eps) * 10^d + 0.5) / 10^d: halves go towards plus infinity.
+
+    From 2^53 / 10^d on, a double has no digits to round there and stays as it is.
+    """
     factor = float(10**decimals)
-    return F.floor((value + F.lit(EPSILON)) * F.lit(factor) + F.lit(0.5)).cast("double") / F.lit(factor)
+    small = F.floor((value + F.lit(EPSILON)) * F.lit(factor) + F.lit(0.5)).cast("double") / F.lit(factor)
+    return F.when(F.abs(value) < F.lit(2.0**53 / factor), small).otherwise(value)
 
 
 def is_numeric_type(data_type: T.DataType) -> bool:

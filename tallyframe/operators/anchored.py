@@ -3,7 +3,9 @@
 A window opens at a hit and closes after a fixed span; the next hit opens the next one. The
 anchors of a key therefore follow from one another, yet no key is handled in one piece:
 time is cut into buckets, and a bucket is reduced to a small step function from the anchor
-that enters it to the anchor that leaves it. Only these functions are composed per key.
+that enters it to the anchor that leaves it. These functions are composed as a tree: a few buckets
+that follow each other make a wider one, level by level, and the entering anchors come back down
+the same way. No group holds more than FAN functions of one level, or the hits of one bucket.
 Hits of one key and millisecond are folded first, so a bucket is bounded by its length.
 """
 
@@ -15,7 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SPANS_PER_BUCKET = 64
+from tallyframe.shared import written
+
+SPANS_PER_BUCKET = 4
+#: Buckets of a level that make one of the next.
+FAN = 32
 
 
 def epoch_millis(column: str) -> Column:
@@ -47,17 +53,43 @@ def _transition(span: int, width: int):
     return run
 
 
-def _compose(span: int):
-    """The anchor that enters each bucket of a key. One row per bucket, however many hits it had."""
+def _leaving(upto: np.ndarray, leave: np.ndarray, anchor: int | None, span: int) -> int | None:
+    i = 0 if anchor is None else int(np.searchsorted(upto, anchor + span))
+    return int(leave[i]) if i < len(upto) else anchor
+
+
+def _joined(span: int, width: int):
+    """Buckets that follow each other as one function; `width` is that of the bucket they make."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("bucket")
+        key, parent = rows["key"].iloc[0], int(rows["bucket"].iloc[0]) // FAN
+        upto, leave = np.empty(0, np.int64), np.empty(0, np.int64)
+        for first, then in zip(reversed(rows["upto"].tolist()), reversed(rows["leave"].tolist())):
+            if not len(first):
+                continue
+            onward = np.array([_leaving(upto, leave, int(x), span) for x in then], np.int64)
+            beyond = upto > first[-1]
+            upto, leave = np.concatenate([first, upto[beyond]]), np.concatenate([onward, leave[beyond]])
+            last = np.append(leave[1:] != leave[:-1], True)
+            upto, leave = upto[last], leave[last]
+        # a window that enters ends within a span of the bucket's start
+        keep = int(np.searchsorted(upto, parent * width + span)) + 1
+        return pd.DataFrame({"key": [key], "bucket": [parent], "upto": [upto[:keep]], "leave": [leave[:keep]]})
+
+    return run
+
+
+def _spread(span: int):
+    """The anchor that enters each of some buckets that follow each other, from the one that enters the first."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("bucket")
-        anchor, entering = None, []
+        first = rows["entering"].iloc[0]
+        anchor, entering = None if pd.isna(first) else int(first), []
         for upto, leave in zip(rows["upto"], rows["leave"]):
             entering.append(anchor)
-            i = 0 if anchor is None else int(np.searchsorted(upto, anchor + span))
-            if i < len(upto):
-                anchor = int(leave[i])
+            anchor = _leaving(upto, leave, anchor, span)
         return pd.DataFrame({"key": rows["key"], "bucket": rows["bucket"], "entering": pd.array(entering, dtype="Int64")})
 
     return run
@@ -86,36 +118,60 @@ def _assign(span: int):
 
 
 def anchored_starts(instants: DataFrame, span: int) -> DataFrame:
-    """Window start of every (key, t): ``instants`` holds distinct key, t (ms) and opens (may it open a window)."""
+    """Window start of every (key, t): ``instants`` holds distinct key, t (ms, not null) and opens (may it open a window).
+
+    A null key is a key. The number of levels comes from the first and the last instant.
+    """
     kind = instants.schema["key"].dataType.simpleString()
     width = span * SPANS_PER_BUCKET
     cut = instants.select("key", "t", "opens", F.floor(F.col("t") / width).cast("bigint").alias("bucket"))
-    functions = cut.groupBy("key", "bucket").applyInPandas(
-        _transition(span, width), f"key {kind}, bucket bigint, upto array<bigint>, leave array<bigint>")
-    entering = functions.groupBy("key").applyInPandas(_compose(span), f"key {kind}, bucket bigint, entering bigint")
-    placed = cut.join(entering, ["key", "bucket"])
+    function = f"key {kind}, bucket bigint, upto array<bigint>, leave array<bigint>"
+    levels = [written(cut.groupBy("key", "bucket").applyInPandas(_transition(span, width), function))]
+    low, high = levels[0].agg(F.min("bucket"), F.max("bucket")).first()
+    parent = F.floor(F.col("bucket") / FAN).cast("bigint")
+    while low is not None and low != high:
+        low, high, width = low // FAN, high // FAN, width * FAN
+        levels.append(written(levels[-1].groupBy("key", parent.alias("parent")).applyInPandas(_joined(span, width), function)))
+    entering = levels[-1].select("key", "bucket", F.lit(None).cast("bigint").alias("entering"))
+    for level in reversed(levels[:-1]):
+        above = entering.select(F.col("key").alias("__key"), F.col("bucket").alias("__parent"), "entering")
+        below = level.withColumn("parent", parent).join(above, F.expr("key <=> __key AND parent = __parent")).drop("__key", "__parent")
+        entering = below.groupBy("key", "parent").applyInPandas(_spread(span), f"key {kind}, bucket bigint, entering bigint")
+    other = entering.select(F.col("key").alias("__key"), F.col("bucket").alias("__bucket"), "entering")
+    placed = cut.join(other, F.expr("key <=> __key AND bucket = __bucket")).drop("__key", "__bucket")
     return placed.groupBy("key", "bucket").applyInPandas(_assign(span), f"key {kind}, t bigint, start bigint")
 
 
+def _at(folded: DataFrame, starts: DataFrame) -> DataFrame:
+    """The folded hits with the start of their window; null keys meet null keys."""
+    found = starts.select(F.col("key").alias("__key"), F.col("t").alias("__t"), "start")
+    return folded.join(found, F.expr("key <=> __key AND t = __t")).drop("__key", "__t")
+
+
+def _back(rows: DataFrame, key: str, placed: DataFrame) -> DataFrame:
+    """The rows with what holds for their key and instant (columns key and t of placed, dropped); rows without a time get nulls."""
+    return rows.join(placed, rows[key].eqNullSafe(placed["key"]) & (rows["__t"] == placed["t"]), "left").drop(placed["key"], placed["t"])
+
+
 def rate_limit(hits: DataFrame, key: str, at: str, order: str, span_ms: int = 60_000, limit: int = 30) -> DataFrame:
     """Add allowed, remaining and retry_after_ms to each hit. A limit of zero or less turns limiting off.
 
-    ``order`` settles hits of the same millisecond.
+    ``order`` settles hits of the same millisecond. A null key is a key of its own. A hit without a time can't be
+    placed in a window: it is allowed, with no count left or spent.
     """
     if limit <= 0:
         return hits.select("*", F.lit(True).alias("allowed"), F.lit(None).cast("bigint").alias("remaining"), F.lit(0).cast("bigint").alias("retry_after_ms"))
     timed = hits.withColumn("__t", epoch_millis(at))
-    folded = timed.groupBy(F.col(key).alias("key"), F.col("__t").alias("t")).agg(F.count("*").alias("n"))
+    folded = timed.filter(F.col("__t").isNotNull()).groupBy(F.col(key).alias("key"), F.col("__t").alias("t")).agg(F.count("*").alias("n"))
     starts = anchored_starts(folded.select("key", "t", F.lit(True).alias("opens")), span_ms)
     before = F.sum("n").over(W.partitionBy("key", "start").orderBy("t").rowsBetween(W.unboundedPreceding, -1))
-    placed = folded.join(starts, ["key", "t"]).select(
-        F.col("key").alias(key), F.col("t").alias("__t"), "start", F.coalesce(before, F.lit(0)).alias("__before"))
+    placed = _at(folded, starts).select("key", "t", "start", F.coalesce(before, F.lit(0)).alias("__before"))
     # hits of one millisecond are put in order; a window of a key has at most span_ms milliseconds
     rank = F.row_number().over(W.partitionBy(key, "__t").orderBy(order))
-    ranked = timed.withColumn("__rank", rank).join(placed, [key, "__t"])
+    ranked = _back(timed.withColumn("__rank", rank), key, placed)
     position = F.col("__before") + F.col("__rank")
     return ranked.select(
-        *hits.columns, (position <= limit).alias("allowed"), F.greatest(F.lit(limit) - position, F.lit(0)).alias("remaining"),
+        *hits.columns, F.coalesce(position <= limit, F.lit(True)).alias("allowed"), F.when(position.isNotNull(), F.greatest(F.lit(limit) - position, F.lit(0))).alias("remaining"),
         F.when(position > limit, F.col("start") + span_ms - F.col("__t")).otherwise(0).cast("bigint").alias("retry_after_ms"))
 
 
@@ -126,12 +182,15 @@ def cache_key(question: Column, *parts: Column) -> Column:
 
 
 def reuse(requests: DataFrame, key: str, at: str, order: str, success: Column, ttl_ms: int = 900_000) -> DataFrame:
-    """Add ``cache_hit``: was a successful answer stored at most ``ttl_ms`` ago? Hits do not renew it, failures are not stored."""
+    """Add ``cache_hit``: was a successful answer stored at most ``ttl_ms`` ago? Hits do not renew it, failures are not stored.
+
+    A null key is a key of its own. A request without a time neither hits nor stores.
+    """
     timed = requests.withColumn("__t", epoch_millis(at)).withColumn("__ok", F.coalesce(success, F.lit(False)))
-    folded = timed.groupBy(F.col(key).alias("key"), F.col("__t").alias("t")).agg(
+    folded = timed.filter(F.col("__t").isNotNull()).groupBy(F.col(key).alias("key"), F.col("__t").alias("t")).agg(
         F.bool_or("__ok").alias("opens"), F.min(F.when(F.col("__ok"), F.col(order))).alias("__stored_by"))
     starts = anchored_starts(folded.select("key", "t", "opens"), ttl_ms + 1)
-    placed = folded.join(starts, ["key", "t"]).select(F.col("key").alias(key), F.col("t").alias("__t"), "start", "__stored_by")
+    placed = _at(folded, starts).select("key", "t", "start", "__stored_by")
     stored_now = F.col("start") == F.col("__t")
     hit = F.col("start").isNotNull() & (~stored_now | (F.col(order) > F.col("__stored_by")))
-    return timed.join(placed, [key, "__t"]).select(*requests.columns, hit.alias("cache_hit"))
+    return _back(timed, key, placed).select(*requests.columns, F.coalesce(hit, F.lit(False)).alias("cache_hit"))

@@ -13,13 +13,13 @@ def estimate_tokens(text: Column) -> Column:
 def prefix_groups(df: DataFrame, prefix: Column) -> DataFrame:
     """Count texts per prefix: most shared first, then longest, then by hash.
 
-    Only the hash is shuffled, and equal prefixes are folded before the shuffle.
+    Only the full hash and the length are shuffled, and equal prefixes are folded before the shuffle. The hash is shortened
+    for display alone.
     """
-    keyed = df.select(
-        F.substring(F.sha2(prefix, 256), 1, 16).alias("prefix_hash"), estimate_tokens(prefix).alias("tokens")
-    )
+    keyed = df.select(F.sha2(prefix, 256).alias("hash"), F.length(prefix).alias("length"), estimate_tokens(prefix).alias("tokens"))
     return (
-        keyed.groupBy("prefix_hash")
+        keyed.groupBy("hash", "length")
         .agg(F.count("*").alias("case_count"), F.max("tokens").alias("estimated_tokens"))
-        .orderBy(F.desc("case_count"), F.desc("estimated_tokens"), "prefix_hash")
+        .orderBy(F.desc("case_count"), F.desc("estimated_tokens"), "hash")
+        .select(F.substring("hash", 1, 16).alias("prefix_hash"), "case_count", "estimated_tokens")
     )

@@ -69,11 +69,10 @@ def find_candidates(
     pieces = terms.select("mention", "position", F.explode(F.array_distinct(_pieces(F.col("term")))).alias("gram"))
     fields = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in search_columns]
     rows = master.select(F.col(key).alias("__key"), *search_columns).withColumn("__fields", F.array(*fields))
-    grams = rows.select(
-        "__key", F.explode(F.array_distinct(F.flatten(F.transform("__fields", _grams)))).alias("gram")
-    )
+    # the row goes along with its pieces, so rows with a null or a repeated key need no way back
+    grams = rows.select("*", F.explode(F.array_distinct(F.flatten(F.transform("__fields", _grams)))).alias("gram"))
     wanted = pieces.select("gram").distinct()
-    frequency = grams.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    frequency = grams.select("gram").join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     rarest = (
         pieces.join(frequency, "gram", "left")
         .groupBy("mention", "position")
@@ -82,8 +81,7 @@ def find_candidates(
         .select("mention", "position", F.col("best.gram").alias("gram"))
     )
     blocked = terms.join(rarest, ["mention", "position"])
-    block_grams = rarest.select("gram").distinct()
-    pairs = grams.join(block_grams, "gram", "left_semi").join(blocked, "gram").join(rows, "__key")
+    pairs = grams.join(blocked, "gram")
     holds = lambda t: F.exists("__fields", lambda f: F.contains(f, t))
     first = F.get(F.filter(F.col("normal"), lambda t: (t != "") & holds(t)), F.lit(0))
     return (

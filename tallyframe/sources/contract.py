@@ -20,6 +20,8 @@ def contract_violations(
     rules = [("not_null", c, F.col(c).isNull()) for c in not_null]
     rules += [("domain", c, F.col(c).isNotNull() & ~F.col(c).isin(*values)) for c, values in (domains or {}).items()]
     rules += [("length", c, F.length(c) > n) for c, n in (lengths or {}).items()]
+    if not rules:
+        return df.sparkSession.createDataFrame([], "rule string, column string, rows bigint")
     one = df.agg(*[F.count_if(broken).alias(f"r{i}") for i, (_, _, broken) in enumerate(rules)])
     rows = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("column"), F.col(f"r{i}").alias("rows"))
                      for i, (rule, c, _) in enumerate(rules)])
@@ -66,15 +68,19 @@ def split_references(edges: DataFrame, tables: DataFrame) -> tuple[DataFrame, Da
 
 
 def files_signature(files: DataFrame) -> DataFrame:
-    """One hash over (path, value) pairs in path order, from one hash per file."""
-    each = files.select("path", F.sha2(F.concat("path", F.lit("\u0000"), "value", F.lit("\u0000")), 256).alias("h"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("path", "h"))), lambda x: x["h"])
-    return each.agg(F.sha2(F.array_join(ordered, ""), 256).alias("signature"))
+    """One hash over (path, value) pairs in any order: the sums of the parts of one hash per file, folded map-side."""
+    text = F.concat(F.coalesce("path", F.lit("")), F.lit("\u0000"), F.coalesce("value", F.lit("\u0001")), F.lit("\u0000"))
+    each = files.select(F.sha2(text, 256).alias("h"))
+    parts = [F.sum(F.conv(F.substring("h", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")) for i in range(4)]
+    return each.agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *[F.coalesce(p, F.lit(0)).cast("string") for p in parts]), 256).alias("signature"))
 
 
 def table_signature(df: DataFrame) -> DataFrame:
-    """Order-free signature of a table: rows, sum and xor of row hashes, folded map-side."""
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    """Order-free signature of a table: rows, sum and xor of row hashes, folded map-side.
+
+    The hash skips nulls, so each column is preceded by a flag that says whether it is one.
+    """
+    h = F.xxhash64(*[x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
     return df.select(h.alias("h")).agg(
         F.count("*").alias("rows"), F.sum(F.col("h").cast("decimal(20,0)")).alias("hash_sum"), F.bit_xor("h").alias("hash_xor"))
 

@@ -163,3 +163,22 @@ def test_outcomes_and_recent_queries(spark):
 def test_durations(spark):
     df = spark.createDataFrame([(at(0), at(1234), 1)], "a timestamp_ntz, b timestamp_ntz, x int")
     assert df.select(events.duration_between(F.col("a"), F.col("b")).alias("ms")).first()["ms"] == 1234.0
+
+
+def test_rows_without_key_or_time_keep_a_verdict(spark):
+    hits = [("a", at(0), 1), (None, at(5), 2), (None, at(6), 3), ("a", None, 4), (None, None, 5), ("a", at(1), 6)]
+    df = spark.createDataFrame(hits, "k string, ts timestamp_ntz, id bigint")
+    got = {r.id: (r.allowed, r.remaining, r.retry_after_ms) for r in anchored.rate_limit(df, "k", "ts", "id", 100, 1).collect()}
+    assert got == {1: (True, 0, 0), 2: (True, 0, 0), 3: (False, 0, 99), 4: (True, None, 0), 5: (True, None, 0), 6: (False, 0, 99)}
+    got = {r.id: r.cache_hit for r in anchored.reuse(df, "k", "ts", "id", F.lit(True), 10).collect()}
+    assert got == {1: False, 2: False, 3: True, 4: False, 5: False, 6: True}
+    assert anchored.rate_limit(df.limit(0), "k", "ts", "id", 100, 1).count() == 0
+
+
+def test_long_histories_compose_over_levels(spark):
+    """One key with hits over many buckets, so that several levels are needed."""
+    rng = random.Random(11)
+    hits = [("a", rng.randint(0, 3_000_000), i) for i in range(2000)] + [("a", -rng.randint(1, 900_000), 5000 + i) for i in range(300)]
+    df = spark.createDataFrame([(k, at(t), i) for k, t, i in hits], "k string, ts timestamp_ntz, id bigint")
+    got = {r.id: (r.allowed, r.remaining, r.retry_after_ms) for r in anchored.rate_limit(df, "k", "ts", "id", 700, 2).collect()}
+    assert got == sequential_limit(hits, 700, 2)
