@@ -80,6 +80,14 @@ def rate_limited_hits(spark, d):
     return limited.select("event_id", F.col("allowed").cast("int").alias("allowed"), "remaining", "retry_after_ms")
 
 
+def rate_limited_gaps(spark, d):
+    """Hits of which some have no key and some no time: every hit keeps a verdict."""
+    gap = lambda c, n: F.when(F.col("event_id") % n != 0, F.col(c))
+    hits = _events(spark, d).select("event_id", gap("event_type", 3).alias("kind"), gap("ts", 7).alias("ts"))
+    limited = anchored.rate_limit(hits, "kind", "ts", "event_id", 6 * 3600 * 1000, 3)
+    return limited.select("event_id", F.col("allowed").cast("int").alias("allowed"), F.coalesce("remaining", F.lit(-1)).alias("remaining"), "retry_after_ms")
+
+
 def reused_answers(spark, d):
     """Requests answered from an earlier success of the same user and question within a day."""
     key = anchored.cache_key(F.concat(F.lit("  "), F.upper("event_type"), F.lit("  x ")), F.floor(F.col("user_id") / 10))
@@ -91,7 +99,7 @@ def reused_answers(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (folded_runs, event_stages, trace_durations, run_duration_totals, question_outcomes, recent_user_queries,
-              rate_limited_hits, reused_answers)
+              rate_limited_hits, rate_limited_gaps, reused_answers)
 }
 
 _STAGE_NO = "CASE WHEN value < 2 THEN 0 WHEN value < 5 THEN 1 WHEN value < 10 THEN 2 WHEN value < 15 THEN 3 WHEN value < 20 THEN 4 ELSE 5 END"
@@ -149,6 +157,13 @@ ORACLES = {
               WHERE EXISTS (SELECT 1 FROM e WHERE e.k = w.k AND e.t >= w.s + 21600000)),
         p AS (SELECT e.*, w.s, ROW_NUMBER() OVER (PARTITION BY e.k, w.s ORDER BY t, event_id) AS n FROM e JOIN w ON e.k = w.k AND t >= s AND t < s + 21600000)
         SELECT event_id, CAST(n <= 3 AS INT) AS allowed, GREATEST(3 - n, 0) AS remaining, CASE WHEN n > 3 THEN s + 21600000 - t ELSE 0 END AS retry_after_ms FROM p""",
+    "rate_limited_gaps": f"""WITH RECURSIVE e AS (SELECT CASE WHEN event_id % 3 <> 0 THEN event_type ELSE '(none)' END AS k, event_id, {_MILLIS} AS t FROM events WHERE event_id % 7 <> 0),
+        w AS (SELECT k, MIN(t) AS s FROM e GROUP BY k
+              UNION ALL SELECT k, (SELECT MIN(t) FROM e WHERE e.k = w.k AND e.t >= w.s + 21600000) AS s FROM w
+              WHERE EXISTS (SELECT 1 FROM e WHERE e.k = w.k AND e.t >= w.s + 21600000)),
+        p AS (SELECT e.*, w.s, ROW_NUMBER() OVER (PARTITION BY e.k, w.s ORDER BY t, event_id) AS n FROM e JOIN w ON e.k = w.k AND t >= s AND t < s + 21600000)
+        SELECT event_id, CAST(n <= 3 AS INT) AS allowed, GREATEST(3 - n, 0) AS remaining, CASE WHEN n > 3 THEN s + 21600000 - t ELSE 0 END AS retry_after_ms FROM p
+        UNION ALL SELECT event_id, 1, -1, 0 FROM events WHERE event_id % 7 = 0""",
     "reused_answers": f"""WITH RECURSIVE e AS (SELECT LOWER(event_type) || ' x::' || CAST(FLOOR(user_id / 10) AS BIGINT) AS k, event_id, {_MILLIS} AS t, value > 6 AS ok FROM events),
         g AS (SELECT k, t, MIN(event_id) AS id FROM e WHERE ok GROUP BY k, t),
         w AS (SELECT k, MIN(t) AS s FROM g GROUP BY k

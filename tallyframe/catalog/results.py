@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numbers import cell_key, exact
@@ -143,6 +144,30 @@ def joint_tolerance_check(spark, d):
     return compare.multi_tolerance_violations(a, b, ["p_brand"], ["p_retailprice", "p_size"], 0.45).select(brand.alias("brand_key"))
 
 
+def full_result_comparison(spark, d):
+    """Whole comparisons: columns aligned, numbers within a tolerance, order of a ranking."""
+    o = _t(spark, d, "orders").groupBy("o_orderpriority").agg(F.sum(exact("o_totalprice")).cast("double").alias("total"), F.count("*").alias("orders"))
+    other = o.select(F.col("orders").alias("n"), F.upper("o_orderpriority").alias("label"), F.lit("x").alias("more"), F.col("total").alias("sum"))
+    moved = other.withColumn("sum", F.col("sum") + F.when(F.col("label") == "1-URGENT", 0.9).otherwise(0.3))
+    placed = o.withColumn("place", F.row_number().over(W.orderBy(F.desc("total"))))  # a row for each priority
+    turned = placed.withColumn("place", F.lit(100) - F.col("place"))
+    ranked = {"mode": "ranked", "value_columns": ["total"]}
+    cases = [
+        ("renamed", o, other, {}, None), ("one_value_lost", o, other.withColumn("sum", F.when(F.col("n") > 0, F.lit(1.0))), {}, None),
+        ("within_tolerance", o, moved, {"tolerance": 1.0}, None), ("beyond_tolerance", o, moved, {"tolerance": 0.5}, None), ("moved_without_tolerance", o, moved, {}, None),
+        ("ranked", placed, placed, ranked, "place"), ("ranking_turned", placed, turned, ranked, "place")]
+    rows = [(name, int(compare.compare_results(a, b, compare.Comparison.of(spec), rank))) for name, a, b, spec, rank in cases]
+    return spark.createDataFrame(rows, "case string, matches int")
+
+
+def large_number_comparison(spark, d):
+    """Values up to 1e18, a tenth of them doubled: no two collapse."""
+    e = _t(spark, d, "events").select("event_id", (F.col("value") * 1e16).alias("v"))
+    b = e.withColumn("v", F.when(F.col("event_id") % 10 == 0, F.col("v") * 2).otherwise(F.col("v")))
+    same = compare.rowset_equal(e, b, ["event_id", "v"])
+    return same.select(F.col("rows_match").cast("int").alias("rows_match"), "missing_rows", "extra_rows")
+
+
 _CHECKS = SignalChecks(5_000_000_000, ("l_discount", "l_tax"), ("l_partkey", "l_shipdate"), {"l_returnflag": 4, "l_linenumber": 3})
 
 
@@ -178,6 +203,7 @@ QUERIES = {
             order_column_samples, order_insights, priority_chart_series, monthly_chart_series, first_thousand_orders,
             filtered_orders, filtered_order_insights, natural_brand_order, event_cell_keys, shipped_month_differences,
             rowset_comparison, strict_comparison, aligned_columns, ranking_check, tolerance_check, joint_tolerance_check,
+            full_result_comparison, large_number_comparison,
             lineitem_check_failures, empty_result_check, verified_results,
         )
     },
@@ -269,6 +295,22 @@ ORACLES = {
         b AS (SELECT p_brand, v, ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY v) AS k
               FROM (SELECT p_brand, p_retailprice + (p_size % 7 - 3) * 0.17 AS v FROM part))
         SELECT DISTINCT 's:' || p_brand AS brand_key FROM a JOIN b USING (p_brand, k) WHERE ABS(a.v - b.v) > 0.4 + 1e-9""",
+    # sizes are whole numbers, so within 0.45 they are equal
+    "joint_tolerance_check": """WITH a AS (SELECT p_brand, p_size, p_retailprice AS v, ROW_NUMBER() OVER (PARTITION BY p_brand, p_size ORDER BY p_retailprice) AS k FROM part),
+        b AS (SELECT p_brand, p_size, v, ROW_NUMBER() OVER (PARTITION BY p_brand, p_size ORDER BY v) AS k
+              FROM (SELECT p_brand, p_size, p_retailprice + (p_size % 7 - 3) * 0.17 AS v FROM part))
+        SELECT DISTINCT 's:' || p_brand AS brand_key FROM a JOIN b USING (p_brand, p_size, k) WHERE ABS(a.v - b.v) > 0.45 + 1e-9""",
+    "full_result_comparison": f"""WITH o AS (SELECT o_orderpriority AS p, CAST(SUM({_Q}) AS DOUBLE) AS t, COUNT(*) AS n FROM orders GROUP BY 1),
+        m AS (SELECT *, CASE WHEN p = '1-URGENT' THEN 0.9 ELSE 0.3 END AS step FROM o),
+        r AS (SELECT t, ROW_NUMBER() OVER (ORDER BY t DESC) AS k FROM o),
+        s AS (SELECT MAX(step) AS far, BOOL_AND(ROUND(t, 2) = ROUND(t + step, 2)) AS same, BOOL_AND(ROUND(t, 2) = 1) AS ones FROM m),
+        w AS (SELECT t, LAG(t) OVER (ORDER BY k) AS before, LAG(t) OVER (ORDER BY k DESC) AS behind FROM r)
+        SELECT 'renamed' AS "case", 1 AS matches
+        UNION ALL SELECT 'one_value_lost', CAST(ones AS INT) FROM s UNION ALL SELECT 'within_tolerance', CAST(far <= 1.0 AS INT) FROM s
+        UNION ALL SELECT 'beyond_tolerance', CAST(far <= 0.5 AS INT) FROM s UNION ALL SELECT 'moved_without_tolerance', CAST(same AS INT) FROM s
+        UNION ALL SELECT 'ranked', CAST(COUNT(*) FILTER (t > before) = 0 AS INT) FROM w UNION ALL SELECT 'ranking_turned', CAST(COUNT(*) FILTER (t > behind) = 0 AS INT) FROM w""",
+    "large_number_comparison": """WITH c AS (SELECT COUNT(*) FILTER (event_id % 10 = 0 AND value <> 0) AS n FROM events)
+        SELECT CAST(n = 0 AS INT) AS rows_match, n AS missing_rows, n AS extra_rows FROM c""",
     "lineitem_check_failures": """WITH m AS (SELECT COUNT(*) AS n, COUNT(DISTINCT l_returnflag) AS f FROM lineitem)
         SELECT 'min_row_count' AS code, '' AS "column", 5000000000 AS expected, n AS actual,
         'Expected at least 5000000000 rows but found ' || n || '.' AS message FROM m WHERE n < 5000000000

@@ -57,6 +57,25 @@ def table_signatures(spark, d):
     return same(again).select(F.lit("moved").alias("copy"), "same").unionByName(same(changed).select(F.lit("changed").alias("copy"), "same"))
 
 
+def signature_sees_nulls(spark, d):
+    """The same values with their nulls in the other column make another signature."""
+    p, gone = _t(spark, d, "part"), F.col("p_partkey") % 3 == 0
+    one, other = F.when(~gone, F.col("p_name")), F.when(gone, F.col("p_name"))
+    a = contract.table_signature(p.select("p_partkey", one.alias("a"), other.alias("b")))
+    b = contract.table_signature(p.select("p_partkey", other.alias("a"), one.alias("b")))
+    return a.unionByName(b).distinct().agg((F.count("*") == 1).cast("int").alias("same"))
+
+
+def files_signature_checks(spark, d):
+    """Documents as files: their order doesn't matter, a swapped or a lost one does."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("value"))
+    base = contract.files_signature(docs)
+    variants = {
+        "moved": docs.repartition(5, "value"), "changed": docs.withColumn("value", F.when(F.col("path") == "1", "other").otherwise(F.col("value"))), "lost": docs.filter("path <> '1'")}
+    parts = [base.unionByName(contract.files_signature(v)).distinct().agg((F.count("*") == 1).cast("int").alias("same")).select(F.lit(k).alias("copy"), "same") for k, v in variants.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def typed_orders(spark, d):
     """Orders as text, brought back to their declared logical types."""
     text = _t(spark, d, "orders").select(*[F.col(c).cast("string") for c in ("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority")])
@@ -117,7 +136,7 @@ def csv_round_trip(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (lineitem_contract, duplicate_line_keys, orphan_references, registry_references, table_signatures, typed_orders,
+    for f in (lineitem_contract, duplicate_line_keys, orphan_references, registry_references, table_signatures, signature_sees_nulls, files_signature_checks, typed_orders,
               normalized_cases, trace_round_trip, report_round_trip, csv_round_trip)
 }
 
@@ -138,6 +157,11 @@ ORACLES = {
         CASE WHEN t = 'supplier' THEN 'missing' ELSE 'known' END AS state FROM (VALUES ('l_orderkey', 'orders'), ('l_partkey', 'part'), ('l_suppkey', 'supplier')) v(c, t)""",
     "table_signatures": """SELECT 'moved' AS copy, CAST(COUNT(*) = 0 AS INT) AS same FROM (FROM orders EXCEPT ALL SELECT * FROM (FROM orders ORDER BY o_custkey))
         UNION ALL SELECT 'changed', CAST(COUNT(*) = 0 AS INT) FROM (FROM orders EXCEPT ALL SELECT * REPLACE (o_totalprice + 1 AS o_totalprice) FROM orders)""",
+    "signature_sees_nulls": """WITH a AS (SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_name END AS a, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS b FROM part),
+        b AS (SELECT p_partkey, b AS a, a AS b FROM a) SELECT CAST(COUNT(*) = 0 AS INT) AS same FROM (FROM a EXCEPT ALL FROM b)""",
+    "files_signature_checks": """SELECT 'moved' AS copy, CAST(COUNT(*) = 0 AS INT) AS same FROM (SELECT doc_id, text FROM documents EXCEPT ALL SELECT doc_id, text FROM (FROM documents ORDER BY text))
+        UNION ALL SELECT 'changed', CAST(COUNT(*) = 0 AS INT) FROM (SELECT doc_id, text FROM documents EXCEPT ALL SELECT doc_id, CASE WHEN doc_id = 1 THEN 'other' ELSE text END FROM documents)
+        UNION ALL SELECT 'lost', CAST(COUNT(*) = 0 AS INT) FROM (SELECT doc_id, text FROM documents EXCEPT ALL SELECT doc_id, text FROM documents WHERE doc_id <> 1)""",
     "typed_orders": "SELECT o_orderkey, o_totalprice, STRFTIME(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders",
     "normalized_cases": """SELECT 'case-' || o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'shared' ELSE 'case-' || o_orderkey END AS "intentId",
         'ranking|' || LOWER(o_orderpriority) AS tags, CASE WHEN o_orderstatus = 'F' THEN 'Brand'

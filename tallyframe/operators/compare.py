@@ -111,20 +111,66 @@ def column_digests(df: DataFrame, decimals: int = 2, columns: Sequence[str] | No
     return one.select(F.inline(rows))
 
 
-def column_assignments(expected: DataFrame, actual: DataFrame, columns: Sequence[str], spec: Comparison) -> Iterator[dict[str, str]]:
-    """Injective mappings of expected to actual columns that have the same values.
-
-    Only one digest row per column reaches the driver. With a tolerance every actual column
-    is a candidate.
+def column_facts(df: DataFrame, decimals: int = 2) -> tuple[int, dict[str, dict]]:
+    """Rows, and of each column its digest, numbers, other values, nulls and range: one aggregate, one row for the driver."""
+    wanted = [F.count("*").alias("rows")]
+    numbers = {f.name: numeric_value(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields}
+    for i, key in enumerate(_keys(df, df.columns, decimals)):
+        name = df.columns[i]
+        h, v, c = F.xxhash64(key), numbers[name], F.col(f"`{name}`")
+        wanted += [
+            F.sum(h.cast("decimal(20,0)")).alias(f"sum{i}"), F.bit_xor(h).alias(f"xor{i}"), F.count(v).alias(f"numbers{i}"),
+            F.count_if(c.isNotNull() & v.isNull()).alias(f"other{i}"), F.count_if(c.isNull()).alias(f"nulls{i}"), F.min(v).alias(f"low{i}"), F.max(v).alias(f"high{i}")]
+    row = df.agg(*wanted).first()
+    names = ("sum", "xor", "numbers", "other", "nulls", "low", "high")
+    return row["rows"], {c: {k: row[f"{k}{i}"] for k in names} | {"typed": is_numeric_type(df.schema[c].dataType)} for i, c in enumerate(df.columns)}
+
+
+def _is_number(fact: dict) -> bool:
+    """A column of numbers: by its type, or because its text holds some numbers and nothing else."""
+    return fact["typed"] or fact["numbers"] > 0 and fact["other"] == 0
+
+
+def near_columns(expected: DataFrame, actual: DataFrame, pairs: Sequence[tuple[str, str]], tolerance: float) -> set[tuple[str, str]]:
+    """The (expected, actual) pairs whose values can be paired within the tolerance, each by itself: one pass for all of them."""
+    if not pairs:
+        return set()
+
+    def long(df: DataFrame, side: int) -> DataFrame:
+        cells = [F.struct(F.lit(n).cast("string").alias("pair"), numeric_value(F.col(f"`{p[side]}`"), df.schema[p[side]].dataType).alias("v")) for n, p in enumerate(pairs)]
+        return df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+    far = tolerance_violations(long(expected, 0), long(actual, 1), ["pair"], "v", tolerance)
+    broken = {r[0] for r in far.select(F.get(F.from_json("key", "array<string>"), F.lit(0))).collect()}  # a row a pair at most
+    # a key of digits counts as a number
+    return {p for n, p in enumerate(pairs) if not {f"n:{float(n)}", f"s:{n}"} & broken}
+
+
+def column_assignments(
+    expected: DataFrame, actual: DataFrame, columns: Sequence[str], spec: Comparison, facts: tuple[dict, dict] | None = None,
+) -> Iterator[dict[str, str]]:
+    """Injective mappings of expected to actual columns that have the same values, or numbers within the tolerance.
+
+    One row per side reaches the driver. Under a tolerance a number column may stand for another if counts, ranges and then, where several
+    are left, the sorted values agree, which one pass decides for all pairs; every other column has to have the same digest.
     """
+    left, right = facts or (column_facts(expected.select(*[f"`{c}`" for c in columns]), spec.decimals)[1], column_facts(actual, spec.decimals)[1])
+    same = lambda c, a: (left[c]["sum"], left[c]["xor"]) == (right[a]["sum"], right[a]["xor"])
     if spec.tolerance > 0:
-        options = {c: list(actual.columns) for c in columns}
-    else:
-        def digests(df: DataFrame, names=None) -> dict:
-            return {r["column"]: (r["rows"], r["hash_sum"], r["hash_xor"]) for r in column_digests(df, spec.decimals, names).collect()}
+        bound = spec.tolerance + 1e-9
 
-        left, right = digests(expected, columns), digests(actual)
-        options = {c: [a for a in actual.columns if right[a] == left[c]] for c in columns}
+        def close(c: str, a: str) -> bool:
+            x, y = left[c], right[a]
+            if (x["numbers"], x["nulls"], x["other"]) != (y["numbers"], y["nulls"], y["other"]):
+                return False
+            return not x["numbers"] or abs(x["low"] - y["low"]) <= bound and abs(x["high"] - y["high"]) <= bound
+
+        maybe = [(c, a) for c in columns if _is_number(left[c]) for a in actual.columns if close(c, a)]
+        several = len({c for c, _ in maybe}) < len(maybe)  # else the check of the one assignment decides anyway
+        near = near_columns(expected, actual, maybe, spec.tolerance) if several else set(maybe)
+        options = {c: [a for a in actual.columns if ((c, a) in near if _is_number(left[c]) else same(c, a))] for c in columns}
+    else:
+        options = {c: [a for a in actual.columns if same(c, a)] for c in columns}
 
     def choose(i: int, used: tuple[str, ...]) -> Iterator[dict[str, str]]:
         if i == len(columns):
@@ -145,8 +191,8 @@ def _ordered_batches(df: DataFrame, order: Sequence[str]) -> DataFrame:
 def ranking_violations(actual: DataFrame, rank: str, value: str, order: str = "desc", tolerance: float = 0.0) -> DataFrame:
     """One row: how many values break the declared order along ``rank``. Nulls are skipped.
 
-    The table is range-partitioned by rank; each batch reports its first and last value and
-    its own breaks, and only these reports are put in one sequence.
+    The table is range-partitioned by rank; each partition reports its first and last value and
+    its own breaks in one row, and only these rows, as many as partitions, are put in one sequence.
     """
     slack = tolerance if tolerance > 0 else SLACK
     sign = 1.0 if order == "asc" else -1.0
@@ -155,11 +201,19 @@ def ranking_violations(actual: DataFrame, rank: str, value: str, order: str = "d
     ).filter("v IS NOT NULL")
 
     def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        start = first = last = None
+        breaks = 0
         for b in batches:
             if len(b):
                 v = b["v"].to_numpy()
-                breaks = int((v[1:] < v[:-1] - slack).sum())
-                yield pd.DataFrame({"r": [b["r"].iloc[0]], "first": [v[0]], "last": [v[-1]], "breaks": [breaks]})
+                if last is None:
+                    start, first = b["r"].iloc[0], v[0]
+                else:
+                    breaks += int(v[0] < last - slack)
+                breaks += int((v[1:] < v[:-1] - slack).sum())
+                last = v[-1]
+        if last is not None:
+            yield pd.DataFrame({"r": [start], "first": [first], "last": [last], "breaks": [breaks]})
 
     reports = _ordered_batches(rows, ["r"]).mapInPandas(report, "r double, first double, last double, breaks bigint")
     before = F.lag("last").over(W.orderBy("r"))
@@ -237,7 +291,7 @@ def _match_block(columns: Sequence[str], bound: float):
         a, b = (np.nan_to_num(x[list(columns)].to_numpy(dtype=float), nan=np.inf) for x in (left, right))
         order = np.argsort(b[:, 0], kind="stable")
         b = b[order]
-        partner = np.full(len(b), -1)
+        partner, taken = np.full(len(b), -1), np.full(len(a), -1)  # of the right rows, and of the left ones
 
         def near(i: int) -> np.ndarray:
             lo, hi = np.searchsorted(b[:, 0], [a[i, 0] - bound, a[i, 0] + bound], side="left")
@@ -263,11 +317,11 @@ def _match_block(columns: Sequence[str], bound: float):
                 return False
             while True:
                 i = parent[end]
-                previous = np.flatnonzero(partner == i)
-                partner[end] = i
+                previous = int(taken[i])
+                partner[end], taken[i] = i, end
                 if i == start:
                     break
-                end = next(int(p) for p in previous if p != end)
+                end = previous
         return True
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -312,36 +366,24 @@ def multi_tolerance_violations(
     )
 
 
-def is_number_column(df: DataFrame, column: str) -> bool:
-    """A column with some numbers and nothing else; text is looked at, other types are known."""
-    data_type = df.schema[column].dataType
-    if is_numeric_type(data_type):
-        return True
-    if not isinstance(data_type, T.StringType):
-        return False
-    c = F.col(f"`{column}`")
-    number = numeric_value(c, data_type).isNotNull()
-    r = df.agg(F.count_if(number).alias("n"), F.count_if(c.isNotNull() & ~number).alias("other")).first()
-    return r["n"] > 0 and r["other"] == 0
-
-
 def compare_results(expected: DataFrame, actual: DataFrame, spec: Comparison, rank: str | None = None) -> bool:
     """Do two results agree by value? Column names, row order and extra columns do not matter.
 
-    Only counts and verdicts reach the driver.
+    Only one row of facts a side and verdicts reach the driver: two aggregates, one pass over column pairs under a tolerance,
+    and a check for each assignment that these leave, which is one unless columns hold the same values.
     """
     columns = list(spec.compare_columns or [c for c in expected.columns if c != rank])
     shown = actual.drop(rank) if rank else actual
     if len(shown.columns) < len(columns):
         return False
-    counts = expected.agg(F.count("*").alias("n")).first()["n"], actual.agg(F.count("*").alias("n")).first()["n"]
-    if counts[0] != counts[1]:
+    (rows, left), (others, right) = (column_facts(df, spec.decimals) for df in (expected.select(*[f"`{c}`" for c in columns]), shown))
+    if rows != others:
         return False
-    if counts[0] == 0:
+    if rows == 0:
         return True
-    numbers = [c for c in columns if is_number_column(expected, c)]
+    numbers = [c for c in columns if _is_number(left[c])]
     primary = (spec.value_columns or tuple(numbers) or (None,))[0]
-    for mapping in column_assignments(expected, shown, columns, spec):
+    for mapping in column_assignments(expected, shown, columns, spec, (left, right)):
         if spec.tolerance > 0 and numbers:
             exact = [c for c in columns if c not in numbers]
             check = tolerance_violations if len(numbers) == 1 else multi_tolerance_violations

@@ -100,6 +100,35 @@ def test_tolerance_comparison(spark):
     assert not C.compare_results(gold, frame(spark, [("a", 102.0)]), spec)
 
 
+def test_tolerance_tries_few_assignments(spark):
+    """Five columns and one value that differs: a handful of jobs, not one for each order of the columns."""
+    schema = "a double, b double, c double, d double, e string"
+    rows = [(float(i), 100.0 + 3 * i, float(i % 7), -2.0 * i, f"t{i}") for i in range(20)]
+    moved = [(e, d + 0.3, c, b - 0.2, a) for a, b, c, d, e in rows]
+    names = "p string, q double, r double, s double, t double"
+    tracker = spark.sparkContext.statusTracker()
+    for changed, want in ((None, True), (5, False)):
+        other = list(moved)
+        if changed:
+            other[changed] = (*other[changed][:2], other[changed][2] + 0.9, *other[changed][3:])
+        spark.sparkContext.setJobGroup(f"few-{changed}", "")
+        assert C.compare_results(spark.createDataFrame(rows, schema), spark.createDataFrame(other, names), C.Comparison(tolerance=0.5)) is want
+        # adaptive execution counts each shuffle as a job
+        assert len(tracker.getJobIdsForGroup(f"few-{changed}")) < 20
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_tolerance_tells_similar_columns_apart(spark):
+    """Two columns of the same range: only the pass over sorted values says which is which."""
+    a = [(float(i), float(i * i % 21)) for i in range(21)]
+    left = spark.createDataFrame(a, "u double, v double")
+    pairs = [("u", "x"), ("u", "y"), ("v", "x"), ("v", "y")]
+    right = spark.createDataFrame([(v + 0.2, u - 0.1) for u, v in a], "x double, y double")
+    assert C.near_columns(left, right, pairs, 0.5) == {("u", "y"), ("v", "x")}
+    assert C.compare_results(left, right, C.Comparison(tolerance=0.5))
+    assert not C.compare_results(left, right.withColumn("y", F.col("y") + F.when(F.col("y") > 19, 0.0).otherwise(0.9) * (F.col("y") > 18).cast("int")), C.Comparison(tolerance=0.05))
+
+
 def test_strict(spark):
     a = frame(spark, GOLD)
     assert C.strict_equal(a, a.select(F.col("total").alias("TOTAL"), F.col("name").alias("Name"))).first()["rows_match"]
