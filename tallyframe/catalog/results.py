@@ -23,7 +23,7 @@ def _orders(spark, d):
 
 
 def _profiled(name):
-    return lambda spark, d: profile.column_profile(_t(spark, d, name)).select(
+    return lambda spark, d: profile.column_profile(_t(spark, d, name), exact=True).select(
         F.col("ordinal").cast("bigint").alias("ordinal"), "column", "label", "type",
         F.coalesce("semantic_type", F.lit("")).alias("semantic_type"), "row_count", "non_null_count", "numeric_count",
         "date_count", "unique_count")
@@ -41,7 +41,25 @@ def order_insights(spark, d):
 
 def priority_chart_series(spark, d):
     table = _orders(spark, d)
-    return profile.chart_series(table).filter(F.col("type") == "bar").select("chart_id", "x", "series", F.round("y", 2).alias("y"))
+    return profile.chart_series(table).select("chart_id", "type", "x", "series", F.round("y", 2).alias("y"))
+
+
+def small_chart_series(spark, d):
+    """Two metrics over a handful of priorities: bar and pie."""
+    few = _t(spark, d, "orders").groupBy("o_orderpriority").agg(F.sum(exact("o_totalprice")).alias("total"), F.count("*").alias("orders"))
+    return profile.chart_series(few).select("chart_id", "type", "x", "series", F.round("y", 2).alias("y"))
+
+
+def chart_exclusions(spark, d):
+    """Why a kind of chart is not offered for the orders."""
+    return profile.chart_choices(_orders(spark, d)).select("type", F.coalesce("chart_id", F.lit("")).alias("chart_id"), F.coalesce("excluded", F.lit("")).alias("excluded"))
+
+
+def line_metric_series(spark, d):
+    """A line shows every metric of a table, not the first few."""
+    monthly = _t(spark, d, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("ship_month")).agg(
+        *[F.sum(exact(c)).alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")], F.count("*").alias("lines"))
+    return profile.chart_series(monthly).select("type", "x", "series", F.round("y", 2).alias("y"))
 
 
 def monthly_chart_series(spark, d):
@@ -200,7 +218,7 @@ QUERIES = {
     **{
         f.__name__: f
         for f in (
-            order_column_samples, order_insights, priority_chart_series, monthly_chart_series, first_thousand_orders,
+            order_column_samples, order_insights, priority_chart_series, monthly_chart_series, small_chart_series, chart_exclusions, line_metric_series, first_thousand_orders,
             filtered_orders, filtered_order_insights, natural_brand_order, event_cell_keys, shipped_month_differences,
             rowset_comparison, strict_comparison, aligned_columns, ranking_check, tolerance_check, joint_tolerance_check,
             full_result_comparison, large_number_comparison,
@@ -211,14 +229,16 @@ QUERIES = {
 
 
 def _profile_sql(table: str, columns: list[tuple[str, str]]) -> str:
+    """Labels and roles are worked out by SQL patterns of their own."""
     parts = []
     for i, (c, kind) in enumerate(columns):
         numeric = f"COUNT({c})" if kind == "number" else "0"
         dates = f"COUNT({c})" if kind == "date" else "0"
-        bucket = "temporal_bucket" if profile.is_bucket(c) else "identifier" if profile.is_identifier(c) else ""
-        kind = "text" if kind == "number" and bucket == "temporal_bucket" else kind
+        label = f"UPPER('{c[0]}') || REPLACE('{c[1:]}', '_', ' ')"
+        role = f"""CASE WHEN REGEXP_MATCHES('{c}', '(^|_)(week|month|quarter|period|date|day)(_|$)') THEN 'temporal_bucket'
+            WHEN REGEXP_MATCHES('{c}', '(^|_)(id|code)$') THEN 'identifier' ELSE '' END"""
         parts.append(
-            f"""SELECT {i} AS ordinal, '{c}' AS "column", '{profile.title(c)}' AS label, '{kind}' AS type, '{bucket}' AS semantic_type,
+            f"""SELECT {i} AS ordinal, '{c}' AS "column", {label} AS label, '{kind}' AS type, {role} AS semantic_type,
             COUNT(*) AS row_count, COUNT({c}) AS non_null_count, {numeric} AS numeric_count, {dates} AS date_count,
             COUNT(DISTINCT {c}) AS unique_count FROM {table}""")
     return " UNION ALL ".join(parts)
@@ -254,8 +274,19 @@ ORACLES = {
                      ("order_date", "o_orderdate"), ("priority", "o_orderpriority"))),
     "order_insights": f"WITH o AS (SELECT * FROM orders) {_INSIGHTS}",
     "filtered_order_insights": f"WITH o AS (SELECT * FROM orders WHERE o_orderpriority ILIKE '%urgent%') {_INSIGHTS}",
-    "priority_chart_series": f"""SELECT 'bar-priority-total' AS chart_id, o_orderpriority AS x, 'total' AS series,
-        ROUND(CAST(SUM({_Q}) AS DOUBLE), 2) AS y FROM orders GROUP BY o_orderpriority""",
+    "priority_chart_series": f"""SELECT 'bar-priority-total' AS chart_id, 'bar' AS type, o_orderpriority AS x, 'total' AS series,
+        ROUND(CAST(SUM({_Q}) AS DOUBLE), 2) AS y FROM orders GROUP BY o_orderpriority
+        UNION ALL SELECT kind || '-order_date-total', kind, CAST(o_orderdate AS VARCHAR), 'total', ROUND(CAST(SUM({_Q}) AS DOUBLE), 2)
+        FROM orders, (VALUES ('line'), ('area')) c(kind) GROUP BY kind, o_orderdate""",
+    "small_chart_series": f"""SELECT kind || '-o_orderpriority-total' AS chart_id, kind AS type, o_orderpriority AS x, 'total' AS series, ROUND(CAST(SUM({_Q}) AS DOUBLE), 2) AS y
+        FROM orders, (VALUES ('bar'), ('pie')) c(kind) GROUP BY kind, o_orderpriority""",
+    "chart_exclusions": """SELECT type, CASE WHEN excluded = '' THEN chart_id ELSE '' END AS chart_id, excluded FROM (SELECT 'line' AS type, 'line-order_date-total' AS chart_id, '' AS excluded
+        UNION ALL SELECT 'area', 'area-order_date-total', '' UNION ALL SELECT 'bar', 'bar-priority-total', CASE WHEN COUNT(DISTINCT o_orderpriority) NOT BETWEEN 2 AND 50 THEN 'values' ELSE '' END FROM orders
+        UNION ALL SELECT 'pie', 'pie-priority-total', CASE WHEN COUNT(*) > 10 THEN 'more than 10 rows' ELSE '' END FROM orders)""",
+    "line_metric_series": """WITH m AS (SELECT STRFTIME(l_shipdate, '%Y-%m') AS x, SUM(CAST(l_quantity AS DECIMAL(18,2))) AS l_quantity, SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS l_extendedprice,
+            SUM(CAST(l_discount AS DECIMAL(18,2))) AS l_discount, SUM(CAST(l_tax AS DECIMAL(18,2))) AS l_tax, CAST(COUNT(*) AS DECIMAL(38,2)) AS lines FROM lineitem GROUP BY 1)
+        SELECT 'line' AS type, x, series, ROUND(CAST(y AS DOUBLE), 2) AS y FROM (UNPIVOT (SELECT x, CAST(l_quantity AS DECIMAL(38,2)) AS l_quantity, CAST(l_extendedprice AS DECIMAL(38,2)) AS l_extendedprice,
+            CAST(l_discount AS DECIMAL(38,2)) AS l_discount, CAST(l_tax AS DECIMAL(38,2)) AS l_tax, lines FROM m) ON l_quantity, l_extendedprice, l_discount, l_tax, lines INTO NAME series VALUE y)""",
     "monthly_chart_series": f"""WITH m AS (SELECT CAST(CAST(DATE_TRUNC('month', o_orderdate) AS DATE) AS VARCHAR) AS x,
             ROUND(CAST(SUM({_Q}) AS DOUBLE), 2) AS y FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1)
         SELECT chart_id, type, confidence, x, 'total_net_amount' AS series, y FROM m,

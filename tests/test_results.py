@@ -47,6 +47,16 @@ def test_chart_rules(spark):
     assert kinds == {"bar", "pie"}
     assert {(r.x, r.y) for r in profile.chart_series(df).filter("type = 'bar'").collect()} == {("a", 3.0), ("b", 0.0)}
     assert profile.chart_series(df.limit(1)).count() == 0
+    why = {r.type: r.excluded for r in profile.chart_choices(df).collect()}
+    assert why == {"line": "no column of dates", "area": "no column of dates", "bar": None, "pie": None}
+    wide = df.select("name", *[F.col("total").alias(f"m{i}") for i in range(5)], F.lit("2026-01-01").cast("date").alias("day"))
+    assert {r.series for r in profile.chart_series(wide).filter("type = 'line'").collect()} == {f"m{i}" for i in range(5)}
+
+
+def test_exact_distinct_counts(spark):
+    df = spark.createDataFrame([(i % 7, None if i % 2 else f"v{i % 3}") for i in range(50)], "a int, b string")
+    assert [r.unique_count for r in profile.column_profile(df, exact=True).orderBy("ordinal").collect()] == [7, 3]
+    assert "Expand" not in profile.column_profile(df)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_samples_skip_nulls(spark):
