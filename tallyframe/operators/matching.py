@@ -265,5 +265,6 @@ def _catalogue_paths(catalogue: Catalogue, max_hops: int) -> dict[str, list[str]
     if not catalogue.edges:
         return {}
     edges = spark.createDataFrame(list(catalogue.edges), "a string, b string")
-    rows = shortest_paths(edges, max_hops=max_hops).filter(F.size("path") > 2).collect()
+    tables = spark.createDataFrame([(n,) for n in sorted({n for e in catalogue.edges for n in e})], "table string")
+    rows = shortest_paths(edges, tables, max_hops).filter(F.size("path") > 2).collect()
     return {f"{r.src}>{r.dst}": r.path[1:-1] for r in rows}
