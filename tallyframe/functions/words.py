@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 # Words ignored by the tokeniser.
 STOP_WORDS = (
-    "a an the and or but if then else is are was were be been being do does did have has had "
-    "how what which who whom when where why show list give get tell me we us our your their "
-    "them this that these those by for to from in on at of with without"
-).split()
+    "a", "an", "the", "and", "or", "but", "if", "then", "else", "is", "are", "was", "were", "be", "been", "being", "do", "does", "did", "have", "has",
+    "had", "how", "what", "which", "who", "whom", "when", "where", "why", "show", "list", "give", "get", "tell", "me", "we", "us", "our", "your",
+    "their", "them", "this", "that", "these", "those", "by", "for", "to", "from", "in", "on", "at", "of", "with", "without",
+)
 
 # Marks the end of an acronym so that "SKUs" is not cut into "SK" and "Us".
 _MARK = "\ue000"
@@ -45,7 +45,7 @@ def singular(token: Column) -> Column:
 
 
 def _kept(token: Column) -> Column:
-    return (F.length(token) > 1) & ~token.isin(STOP_WORDS)
+    return (F.length(token) > 1) & ~token.isin(*STOP_WORDS)
 
 
 def normalize_tokens(text: Column) -> Column:

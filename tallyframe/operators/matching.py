@@ -1,7 +1,7 @@
 """Dictionary matching and table retrieval over a table of texts.
 
-Every step is an expression on the row: the dictionary and the catalogue are bounded
-configuration, held as folded constants, so no text is exploded or shuffled.
+The dictionary is a table that the tokens of the texts are joined with; it has no size limit. The
+catalogue of tables and the stored examples are configuration, held as folded constants.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,69 +48,68 @@ def _tokenised(texts: tuple[str, ...]) -> dict[str, tuple[list[str], list[str],
 
 
 class Dictionary:
-    """Synonyms of named entries, with an index from inflection to the synonyms it may start."""
+    """Synonyms of named entries as two tables: what each token and inflection may mean, and the synonyms themselves."""
+
+    _MEANS = ("key", "synonym", "need")
+    _SYNONYM = ("synonym", "needs", "entry", "kind", "name", "tables", "text", "phrase", "weight", "alias_only", "longer")
 
     def __init__(self) -> None:
-        self.synonyms: list[dict] = []
-        self.entries: list[dict] = []
-        self.index: dict[str, list[int]] = {}
+        self.synonyms: list[tuple] = []
+        self.means: list[tuple] = []
+        self.entries = 0
 
     def add(self, kind: str, name: str, synonyms: Sequence[str], tables: Sequence[str], alias_only: Sequence[str], lexicon: dict) -> None:
         only = {" ".join(lexicon[a][0]) for a in alias_only}
         words = {" ".join(lexicon[s][0]): lexicon[s][0] for s in synonyms}
-        self.entries.append({"kind": kind, "name": name, "tables": list(tables)})
+        self.entries += 1
         for s in synonyms:
             w, tokens, variants = lexicon[s]
             if not tokens:
                 continue
-            phrase = " ".join(w)
+            phrase, number = " ".join(w), len(self.synonyms)
             longer = [p for p, other in words.items() if p != phrase and len(other) > len(w) and set(w) <= set(other)]
-            self.synonyms.append({
-                "entry": len(self.entries), "text": s, "phrase": phrase, "weight": max(1, len(tokens)),
-                "needs": [{"token": t, "variants": v} for t, v in zip(tokens, variants)],
-                "alias_only": phrase in only, "longer": longer,
-            })
-            for key in {tokens[0], *variants[0]}:
-                self.index.setdefault(key, []).append(len(self.synonyms))
-
-    def match(self, tokens: Column) -> Column:
-        """Matched entries of a row: kind, name, tables, matched synonyms, score.
-
-        A synonym matches when each of its tokens occurs or shares an inflection with some
-        token. (A phrase that occurs word for word always satisfies this.) Only synonyms whose
-        first token may occur are looked at. An alias-only hit is dropped when a longer hit of
-        the same entry contains its words.
+            self.synonyms.append((number, len(tokens), self.entries, kind, name, list(tables), s, phrase, max(1, len(tokens)), phrase in only, longer))
+            for need, (token, inflections) in enumerate(zip(tokens, variants)):
+                self.means += [(key, number, need) for key in dict.fromkeys((f"t {token}", *(f"v {v}" for v in inflections)))]
+
+    def frames(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """Both tables, of a size that Spark knows: it joins them as their size allows."""
+        means = pd.DataFrame(self.means, columns=list(self._MEANS))
+        synonyms = pd.DataFrame(self.synonyms, columns=list(self._SYNONYM))
+        return (
+            spark.createDataFrame(means, "key string, synonym int, need int"),
+            spark.createDataFrame(synonyms, "synonym int, needs int, entry int, kind string, name string, tables array<string>, text string, phrase string, weight int, "
+                                            "alias_only boolean, longer array<string>"))
+
+    def matched(self, df: DataFrame, tokens: str = "tokens") -> DataFrame:
+        """Add ``matches``: matched entries of a row with kind, name, tables, matched synonyms, score.
+
+        A synonym matches when each of its tokens occurs or shares an inflection with some token. (A phrase that occurs word
+        for word always satisfies this.) An alias-only hit is dropped when a longer hit of the same entry contains its words.
+
+        Rows with the same tokens are matched once. Their tokens and inflections meet the dictionary in an equality join, so the
+        cost of a row doesn't grow with the dictionary, and neither has a limit.
         """
-        vocabulary = sorted({n["token"] for s in self.synonyms for n in s["needs"]})
-        inflections = sorted({v for s in self.synonyms for n in s["needs"] for v in n["variants"]})
-        index = F.map_from_entries(constant([{"key": k, "ids": v} for k, v in sorted(self.index.items())]))
-        synonyms, entries = constant(self.synonyms), constant(self.entries)
-        context = let(tokens, lambda t: F.struct(
-            F.array_intersect(t, constant(vocabulary)).alias("present"),
-            F.array_intersect(variant_set(t), constant(inflections)).alias("inflected")))
-
-        def hits(ctx: Column) -> Column:
-            seen = F.array_union(ctx["present"], ctx["inflected"])
-            ids = F.array_sort(F.array_distinct(F.flatten(
-                F.transform(seen, lambda k: F.coalesce(F.try_element_at(index, k), F.expr("cast(array() as array<int>)"))))))
-            return F.filter(
-                F.transform(ids, lambda i: F.element_at(synonyms, i)),
-                lambda s: F.forall(s["needs"], lambda n: F.array_contains(ctx["present"], n["token"])
-                                   | F.arrays_overlap(n["variants"], ctx["inflected"])),
-            )
-
-        def of_entry(found: Column, e: Column) -> Column:
-            own = F.filter(found, lambda s: s["entry"] == e)
-            kept = let(own, lambda every: F.filter(every, lambda s: ~(
-                s["alias_only"] & F.arrays_overlap(s["longer"], F.transform(every, lambda o: o["phrase"])))))
-            entry = F.element_at(entries, e)
-            return let(kept, lambda k: F.struct(
-                entry["kind"].alias("kind"), entry["name"].alias("name"), entry["tables"].alias("tables"),
-                F.transform(k, lambda s: s["text"]).alias("matched"),
-                F.aggregate(k, F.lit(0), lambda total, s: total + s["weight"]).alias("score")))
-
-        return let(let(context, hits), lambda found: F.transform(
-            F.array_distinct(F.transform(found, lambda s: s["entry"])), lambda e: of_entry(found, e)))
+        means, synonyms = self.frames(df.sparkSession)
+        keyed = df.withColumn("__set", F.sha2(F.to_json(tokens), 256))
+        sets = keyed.select("__set", tokens).dropDuplicates(["__set"])
+        keys = F.array_distinct(F.concat(F.transform(tokens, lambda t: F.concat(F.lit("t "), t)), F.transform(variant_set(F.col(tokens)), lambda v: F.concat(F.lit("v "), v))))
+        met = sets.select("__set", F.explode(keys).alias("key")).join(means, "key").groupBy("__set", "synonym").agg(F.count_distinct("need").alias("met"))
+        whole = met.join(synonyms, "synonym").filter("met = needs")
+        row = F.struct(*[c for c in self._SYNONYM if c != "needs"])
+        found = whole.groupBy("__set").agg(F.array_sort(F.collect_list(row)).alias("__found"))
+
+        def of_entry(every: Column, e: Column) -> Column:
+            own = F.filter(every, lambda s: s["entry"] == e)
+            kept = let(own, lambda o: F.filter(o, lambda s: ~(s["alias_only"] & F.arrays_overlap(s["longer"], F.transform(o, lambda x: x["phrase"])))))
+            return let(F.struct(own[0].alias("first"), kept.alias("kept")), lambda k: F.struct(
+                k["first"]["kind"].alias("kind"), k["first"]["name"].alias("name"), k["first"]["tables"].alias("tables"),
+                F.transform(k["kept"], lambda s: s["text"]).alias("matched"), F.aggregate(k["kept"], F.lit(0), lambda total, s: total + s["weight"]).alias("score")))
+
+        matches = let(F.col("__found"), lambda f: F.transform(F.array_distinct(F.transform(f, lambda s: s["entry"])), lambda e: of_entry(f, e)))
+        by_set = found.select("__set", matches.alias("matches"))
+        none = F.expr("cast(array() as array<struct<kind:string,name:string,tables:array<string>,matched:array<string>,score:int>>)")
+        return keyed.join(by_set, "__set", "left").withColumn("matches", F.coalesce("matches", none)).drop("__set")
 
 
 class Matcher:
@@ -156,7 +156,7 @@ class Matcher:
     def plan(self, df: DataFrame) -> DataFrame:
         """Add matched entities, metrics, filters and rules, required tables and join hints."""
         layer = self.layer
-        df = df.withColumn("matches", self.dictionary.match(F.col("tokens")))
+        df = self.dictionary.matched(df)
         of = lambda kind: F.filter("matches", lambda m: m["kind"] == kind).alias(kind)
         df = df.select("*", *[of(kind) for kind in ("entities", "metrics", "filters", "rules")]).drop("matches")
         if layer.line_metric and layer.general_metric:

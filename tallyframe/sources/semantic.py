@@ -1,7 +1,7 @@
 """Semantic layer: entities, metrics, filter hints, aliases, join paths, rules.
 
-The layer is configuration. It is read on the driver, and its size is checked, because
-the matching operators carry it into every task as a literal.
+The layer is configuration, read on the driver. Its synonyms become a table that texts are joined with, so their number
+has no limit there.
 """
 
 from __future__ import annotations
@@ -12,9 +12,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-MAX_SYNONYMS = 5000
-
-
 @dataclass(frozen=True)
 class Entry:
     """An entity or a metric."""
@@ -80,11 +77,6 @@ class SemanticLayer:
     general_metric: str | None = None
     line_metric: str | None = None
 
-    def __post_init__(self) -> None:
-        count = sum(1 + len(e.synonyms) for e in (*self.entities, *self.metrics, *self.filters))
-        if count > MAX_SYNONYMS:
-            raise ValueError(f"the layer holds {count} synonyms; at most {MAX_SYNONYMS} fit in a literal")
-
     @property
     def entities_frame_rows(self) -> list[tuple]:
         return [(e.name, list(e.synonyms), list(e.tables), list(e.display), list(e.default_filters)) for e in self.entities]

@@ -122,3 +122,15 @@ def test_layer_frames(spark):
     frames = layer_frames(spark, RETAIL_LAYER)
     assert {n: f.count() for n, f in frames.items()} == {
         "entities": 10, "metrics": 7, "filter_hints": 2, "value_aliases": 3, "join_paths": 13, "clarification_rules": 1}
+
+
+def test_a_dictionary_of_any_size(spark):
+    """Twenty thousand synonyms, of which a text means two."""
+    from tallyframe.operators.matching import Dictionary, _tokenised
+    names = tuple(f"gadget{i} frames" for i in range(20_000))
+    lexicon, dictionary = _tokenised(names), Dictionary()
+    for n in names:
+        dictionary.add("entities", n, (n,), (), (), lexicon)
+    df = question_context(spark.createDataFrame([("sales of gadget19999 frame and gadget7 frames",), (None,), ("nothing",)], "text string"))
+    rows = [[m["name"] for m in r["matches"]] for r in dictionary.matched(df).collect()]
+    assert sorted(rows) == [[], [], ["gadget7 frames", "gadget19999 frames"]]
