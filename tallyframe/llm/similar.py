@@ -20,7 +20,11 @@ BUCKET_BYTES, LEAST_BUCKETS = 12 << 20, 64
 #: Common blocks that a similar pair has beyond the one it needs: so many of a set's most frequent blocks need not be joined.
 SPARE = 10
 #: Rounds in which groups elect a leader anew before what is left is compared in full.
-ROUNDS = 3
+ROUNDS = 2
+#: 64-bit words of the parity sketch that bounds the distance of two sets.
+WORDS = 16
+#: Nodes from which on a component meets others as a whole, not block by block.
+LARGE = 64
 _ROW = (
     "kind int, bucket int, doc_id long, n long, node long, key_a long, key_b long, nodes binary, counts binary, low binary, shared binary, "
     "keys array<long>, members array<long>")
@@ -110,6 +114,12 @@ def sketch_keys(sets: list[np.ndarray], percent: int, spare: int) -> tuple[np.nd
     return (np.concatenate(owners), np.concatenate(keys)) if owners else (np.empty(0, np.int64), np.empty(0, np.uint64))
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """A sketch of 64 * WORDS bits in which each shingle flips one: sets differ in no fewer shingles than their sketches in bits."""
+    bits = np.bincount((mix(shingles ^ np.uint64(0x7A3D)) % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _rows(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _TYPES[k]) for n, k in _FIELDS], names=[n for n, _ in _FIELDS])
 
@@ -173,7 +183,7 @@ def _met(group: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array((np.int64(bucket) << 32) | key[keep].astype(np.int64)), "node": pa.array(node[keep])})
 
 
-def _similar(percent: int, exact: bool = True):
+def _similar(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, good = column(batch, "a").to_pylist(), column(batch, "b").to_pylist(), []
@@ -186,11 +196,23 @@ def _similar(percent: int, exact: bool = True):
     return run
 
 
+def _bounded(sketches: DataFrame, name: str) -> DataFrame:
+    """node, size and sketch under the names of one side of a pair."""
+    return sketches.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), *[F.col(f"s{i}").alias(f"s{i}_{name}") for i in range(WORDS)])
+
+
+def _may_link(percent: int) -> Column:
+    """Sizes and sketches of sides a and b allow the similarity."""
+    differ = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(WORDS)), F.lit(0))
+    both = F.col("n_a") + F.col("n_b")
+    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * differ <= (100 - percent) * both)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    one, other = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-    close = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
-    sized = pairs.join(one.select("a", "n_a"), "a").join(other.select("b", "n_b"), "b").where(close).select("a", "b")
-    return written(sized.join(other.select("b", "set_b"), "b").join(one.select("a", "set_a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(_similar(percent), "a long, b long"))
+    """The pairs (a, b) that link: first by their bounds, then on the sets."""
+    near = pairs.join(_bounded(sets, "a"), "a").join(_bounded(sets, "b"), "b").where(_may_link(percent)).select("a", "b")
+    one, other = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
+    return written(near.join(other, "b").join(one, "a").select("a", "b", "set_a", "set_b").mapInArrow(_similar(percent), "a long, b long"))
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -201,15 +223,42 @@ def _frequent_dropped(met: DataFrame, spare_of: Column) -> DataFrame:
     """Each set's keys without its most frequent ones: a similar pair has so many common keys that one of the others is common, too."""
     counted = met.join(met.groupBy("key").agg(F.count("*").alias("seen")).where("seen > 1"), "key")
     order = W.partitionBy("node", "parity").orderBy(F.desc("seen"), "key")
-    return counted.withColumn("parity", F.col("key").bitwiseAND(1)).withColumn("nth", F.row_number().over(order)).where(F.col("nth") > spare_of).select("key", "node")
+    return counted.withColumn("parity", F.col("key").bitwiseAND(1)).withColumn("nth", F.row_number().over(order)).where(F.col("nth") > spare_of).select("key", "node", "seen")
+
+
+def _elected(open_keys: DataFrame, order: Column) -> DataFrame:
+    """Pairs of a node and the leader that it meets under most keys; a key's leader is the first of its nodes in the order."""
+    leaders = open_keys.groupBy("key").agg(F.min(F.struct(order, "node", "component")).alias("l")).select("key", F.col("l.node").alias("leader"), F.col("l.component").alias("theirs"))
+    met = open_keys.join(leaders, "key").where("component <> theirs").groupBy("node", "leader").agg(F.count("*").alias("times"))
+    return met.groupBy("node").agg(F.max(F.struct("times", "leader")).alias("best")).select(*_pair("node", "best.leader")).distinct()
+
+
+def _remaining(open_keys: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs that share a key and no component, and whose sketches allow a link.
+
+    A node meets a large component as a whole, once, whatever the number of their common keys; nodes of small components meet
+    key by key. The bounds are part of the join conditions: what comes out are pairs that link or nearly do.
+    """
+    sizes = found.groupBy("component").agg(F.count("*").alias("members"))
+    sized = written(open_keys.join(sizes, "component", "left").withColumn("members", F.coalesce("members", F.lit(1))).withColumn("large", F.col("members") >= LARGE))
+    small = sized.where("NOT large").join(sets.select("node", "n", *[f"s{i}" for i in range(WORDS)]), "node")
+    one, other = (small.select("key", F.col("component").alias(f"in_{c}"), F.col("node").alias(c), F.col("n").alias(f"n_{c}"), *[F.col(f"s{i}").alias(f"s{i}_{c}") for i in range(WORDS)]) for c in "ab")
+    by_key = one.join(other, "key").where((F.col("in_a") < F.col("in_b")) & _may_link(percent)).select(*_pair("a", "b"))
+    whole = sized.where("large").select("key", F.col("component").alias("theirs"), F.col("members").alias("others")).distinct()
+    first = (F.col("members") < F.col("others")) | ((F.col("members") == F.col("others")) & (F.col("component") < F.col("theirs")))
+    meeting = sized.join(whole, "key").where((F.col("component") != F.col("theirs")) & first).select(F.col("node").alias("a"), "theirs").distinct()
+    inside = found.join(sizes.where(F.col("members") >= LARGE).select("component"), "component").select(F.col("node").alias("b"), F.col("component").alias("theirs"))
+    by_component = meeting.join(_bounded(sets, "a"), "a").join(inside.join(_bounded(sets, "b"), "b"), "theirs").where(_may_link(percent)).select(*_pair("a", "b"))
+    return by_key.union(by_component).distinct()
 
 
 def linked_nodes(docs: DataFrame, keys: DataFrame, nodes: DataFrame, size: int, percent: int, rounds: int) -> DataFrame:
     """node, component for every node that is linked with another.
 
-    keys: (key, node) of all keys that more than one node has. In a round every key's nodes elect a leader, and each node is
-    compared with the leader it meets most often, unless their component is one already; a group of near copies so becomes a
-    component by as many comparisons as it has members. Then all pairs that still share a key but no component are compared.
+    keys: (key, node, seen) of all keys that more than one node has. In a round every key's nodes elect a leader, and each node is
+    compared with the leader it meets most often, unless their component is one already. First the node whose keys are the most
+    common leads: in a group of near copies that is the one the others were made from, and the group becomes a component by as
+    many comparisons as it has members. Then all pairs that still share a key but no component are compared.
     """
     wanted = keys.select("node").distinct().join(nodes, "node")
     shingles = docs.join(wanted.select("node", "key_a", "key_b"), ["key_a", "key_b"]).select("node", "text")
@@ -217,11 +266,15 @@ def linked_nodes(docs: DataFrame, keys: DataFrame, nodes: DataFrame, size: int,
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
             made = [shingle_set(t, size) for t in column(piece, "text").to_pylist()]
+            bits = np.array([parity(s) for s in made], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [column(piece, "node"), pa.array(list(map(len, made)), pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["node", "n", "shingles"])
+                [column(piece, "node"), pa.array(list(map(len, made)), pa.int64()), pa.array([s.tobytes() for s in made], pa.binary()), *[pa.array(bits[:, i]) for i in range(WORDS)]],
+                names=["node", "n", "shingles", *[f"s{i}" for i in range(WORDS)]])
 
-    sets = written(shingles.mapInArrow(sets_of, "node long, n long, shingles binary").dropDuplicates(["node"]))
-    open_keys, edges = keys.withColumn("component", F.col("node")), None
+    schema = "node long, n long, shingles binary, " + ", ".join(f"s{i} long" for i in range(WORDS))
+    sets = written(shingles.mapInArrow(sets_of, schema).dropDuplicates(["node"]))
+    common = keys.groupBy("node").agg(F.sum("seen").alias("common"))
+    open_keys, edges, found = keys.join(common, "node").withColumn("component", F.col("node")), None, None
     for salt in range(rounds + 1):
         if salt:
             found = written(components(edges))
@@ -231,12 +284,9 @@ def linked_nodes(docs: DataFrame, keys: DataFrame, nodes: DataFrame, size: int,
             if open_keys.isEmpty():
                 return found
         if salt < rounds:
-            leaders = open_keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(salt)), "node", "component")).alias("l")).select("key", F.col("l.node").alias("leader"), F.col("l.component").alias("theirs"))
-            met = open_keys.join(leaders, "key").where("component <> theirs").groupBy("node", "leader").agg(F.count("*").alias("times"))
-            pairs = met.groupBy("node").agg(F.max(F.struct("times", "leader")).alias("best")).select(*_pair("node", "best.leader")).distinct()
+            pairs = _elected(open_keys, F.xxhash64("node", F.lit(salt)) if salt else -F.col("common"))
         else:
-            other = open_keys.select("key", F.col("node").alias("partner"), F.col("component").alias("theirs"))
-            pairs = open_keys.join(other, "key").where("component < theirs").select(*_pair("node", "partner")).distinct()
+            pairs = _remaining(open_keys, found if salt else keys.select("node", F.col("node").alias("component")).limit(0), sets, percent)
         more = _verified(pairs, sets, percent)
         edges = more if edges is None else written(edges.union(more))
     return written(components(edges))

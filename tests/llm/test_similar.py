@@ -58,6 +58,8 @@ def test_brute_force(spark, docs, monkeypatch, seed, size, percent, rounds):
     rng = random.Random(seed)
     texts = corpus(rng, 60, 8)
     ids = [rng.choice([None, *range(500)]) for _ in texts]
+    if seed == 3:
+        monkeypatch.setattr(similar, "LARGE", 3)
     if seed == 2:
         real = similar.slices
         monkeypatch.setattr(similar, "slices", lambda b, c: real(b, c, 3000))
@@ -92,6 +94,15 @@ def test_similar_sets_share_blocks(percent):
             assert common > dropped or np.array_equal(a, b), (n, len(a), len(b), common, dropped)
 
 
+def test_sketches_bound_the_distance():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 80, 700):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 3:], rng.integers(0, 2**63, n // 4, dtype=np.uint64)]))
+        differ = int(np.bitwise_count((similar.parity(a) ^ similar.parity(b)).view(np.uint64)).sum())
+        assert differ <= len(np.setxor1d(a, b)) and (n == 1 or differ > 0)
+
+
 def test_blocks_differ_no_more_than_sets():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 600, dtype=np.uint64)
