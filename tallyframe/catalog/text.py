@@ -10,7 +10,7 @@ from tallyframe.functions.words import normalize_tokens, singular, split_words,
 from tallyframe.operators.matching import Matcher, question_context
 from tallyframe.operators.paths import shortest_paths
 from tallyframe.operators.prefixes import estimate_tokens, prefix_groups
-from tallyframe.plans.retail_layer import EXAMPLES, RETAIL_CATALOGUE, RETAIL_LAYER
+from tallyframe.plans.retail_layer import COLUMN_COMMENTS, DESCRIPTIONS, EXAMPLES, RETAIL_CATALOGUE, RETAIL_LAYER
 from tallyframe.sources.semantic import unique
 
 
@@ -179,7 +179,9 @@ _ENTRY_TABLES = [
 _FIELDS = [
     row
     for t in RETAIL_CATALOGUE.tables
-    for row in ((t.name, 30, t.name), (t.name, 28, " ".join(t.aliases)), (t.name, 10, " ".join(t.columns)))
+    for row in (
+        (t.name, 30, t.name), (t.name, 28, " ".join(t.aliases)), (t.name, 18, DESCRIPTIONS[t.name]), (t.name, 10, " ".join(t.columns)),
+        (t.name, 6, " ".join(COLUMN_COMMENTS.get(t.name, ()))))
 ]
 _ORDERED = [t.name for t in RETAIL_CATALOGUE.tables]
 _FK = [(a, b) for a, b in RETAIL_CATALOGUE.edges if a != b]
