@@ -110,6 +110,8 @@ _TOTAL = "CAST(o_totalprice AS DECIMAL(18,2))"
 _GROSS = "CAST(l_extendedprice AS DECIMAL(18,2))"
 _NET = f"({_GROSS} * (1 - CAST(l_discount AS DECIMAL(4,2))))"
 _QTY = "CAST(l_quantity AS DECIMAL(18,2))"
+_BILL = f"({_TOTAL} + (o_custkey % 7) * 1000)"
+_DUE = "o_orderdate + TO_DAYS(CAST(o_orderkey % 45 AS INTEGER)) >= TIMESTAMP '1997-03-01' AND o_orderdate + TO_DAYS(CAST(o_orderkey % 45 AS INTEGER)) < TIMESTAMP '1997-04-01'"
 _OPEN = f"CASE WHEN o_orderstatus = 'O' THEN {_TOTAL} ELSE 0 END"
 _DEBIT = f"CASE WHEN l_linestatus = 'O' THEN {_GROSS} ELSE 0 END"
 _CREDIT = f"CASE WHEN l_linestatus = 'F' THEN {_GROSS} ELSE 0 END"
@@ -180,7 +182,7 @@ ORACLES = {
     "monthly_document_sales_trend": f"""SELECT CAST(DATE_TRUNC('month', o_orderdate) AS DATE) AS month_start,
         {_r(_TOTAL)} AS total_net_amount FROM orders WHERE {_LIVE} GROUP BY 1""",
     "due_in_range_balance": f"""SELECT c_name AS "CustomerName", {_r(_OPEN)} AS outstanding_balance
-        FROM orders JOIN customer ON o_custkey = c_custkey WHERE {_LIVE} AND {_M} AND {_OPEN} > 0 GROUP BY c_custkey, c_name""",
+        FROM orders JOIN customer ON o_custkey = c_custkey WHERE {_LIVE} AND {_DUE} AND {_OPEN} > 0 GROUP BY c_custkey, c_name""",
     "customer_balance_by_segment": f"""SELECT c_mktsegment AS "CustomerSegment",
         {_r("CAST(c_acctbal AS DECIMAL(18,2))")} AS outstanding_balance
         FROM customer WHERE CAST(c_acctbal AS DECIMAL(18,2)) > 0 GROUP BY 1""",
@@ -192,7 +194,7 @@ ORACLES = {
         JOIN region ON n_regionkey = r_regionkey WHERE {_M} GROUP BY r_regionkey, r_name""",
     "header_measures": f"""SELECT {_r(_TOTAL)} AS total_net_amount, {_r(_OPEN)} AS outstanding_balance,
         {_r(f"CASE WHEN o_orderstatus = 'F' THEN {_TOTAL} ELSE 0 END")} AS total_paid FROM orders WHERE {_LIVE}""",
-    "top_customers_gross": f"""SELECT c_name AS "CustomerName", {_r(_TOTAL)} AS total_bill
+    "top_customers_gross": f"""SELECT c_name AS "CustomerName", {_r(_BILL)} AS total_bill
         FROM orders JOIN customer ON o_custkey = c_custkey WHERE {_LIVE} AND {_M}
-        GROUP BY c_custkey, c_name ORDER BY SUM({_TOTAL}) DESC, c_name LIMIT 10""",
+        GROUP BY c_custkey, c_name ORDER BY SUM({_BILL}) DESC, c_name LIMIT 10""",
 }

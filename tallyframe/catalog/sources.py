@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.catalog.questions import questions
 from tallyframe.catalog.sqllog import _CTE, _OK
+from tallyframe.plans.retail import orders_as_retail
 from tallyframe.shared import shared_folder
 from tallyframe.sources import contract, readers, sinks
-from tallyframe.sources.retail_schema import Reference, conform
+from tallyframe.sources.retail_schema import Reference, conform, registry_frames
 
 
 def _t(spark, d, name):
@@ -76,6 +78,31 @@ def files_signature_checks(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def case_file_by_tag(spark, d):
+    """Cases written as files of JSON arrays, read back and narrowed to one tag."""
+    folder = shared_folder(spark, "cases")
+    part = F.floor(F.regexp_extract("id", "[0-9]+", 0).cast("bigint") / 1000)
+    arrays = _cases(spark, d).withColumn("part", part).groupBy("part").agg(F.to_json(F.collect_list(F.struct(*[c for c in _cases(spark, d).columns]))).alias("value"))
+    arrays.write.partitionBy("part").text(folder)
+    return readers.read_cases(spark, f"{folder}/*", tag="1-urgent").select("id", F.array_join("tags", "|").alias("tags"))
+
+
+def seeded_nations(spark, d):
+    """A table that is replaced by given rows twice, the second time without some of them; missing fields get their default."""
+    schema = T.StructType([T.StructField("n_nationkey", T.LongType()), T.StructField("n_name", T.StringType()), T.StructField("region", T.StringType(), True, {"default": "none"})])
+    rows = [r.asDict() for r in _t(spark, d, "nation").select("n_nationkey", "n_name", F.when(F.col("n_regionkey") > 0, F.col("n_regionkey")).alias("region")).collect()]  # 25 rows
+    sinks.seed_table(spark, rows, schema, "tallyframe_seeded_nations")
+    return sinks.seed_table(spark, [r for r in rows if r["n_nationkey"] % 2 == 0], schema, "tallyframe_seeded_nations")
+
+
+def narrowed_registry(spark, d):
+    """Foreign keys inside three of the tables, with the rows of the referring table."""
+    model = orders_as_retail(spark, d)
+    _, _, edges = registry_frames(spark, ["SalesDocument", "SalesDocumentLine", "Product"])
+    counts = [model.tables[t].agg(F.count("*").alias("rows")).select(F.lit(t).alias("from_table"), "rows") for t in ("SalesDocument", "SalesDocumentLine")]
+    return edges.join(counts[0].unionByName(counts[1]), "from_table").select("from_table", "from_column", "to_table", F.col("rows").alias("row_count"))
+
+
 def typed_orders(spark, d):
     """Orders as text, brought back to their declared logical types."""
     text = _t(spark, d, "orders").select(*[F.col(c).cast("string") for c in ("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority")])
@@ -136,7 +163,8 @@ def csv_round_trip(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (lineitem_contract, duplicate_line_keys, orphan_references, registry_references, table_signatures, signature_sees_nulls, files_signature_checks, typed_orders,
+    for f in (lineitem_contract, duplicate_line_keys, orphan_references, registry_references, table_signatures, signature_sees_nulls, files_signature_checks, case_file_by_tag,
+              seeded_nations, narrowed_registry, typed_orders,
               normalized_cases, trace_round_trip, report_round_trip, csv_round_trip)
 }
 
@@ -157,6 +185,10 @@ ORACLES = {
         CASE WHEN t = 'supplier' THEN 'missing' ELSE 'known' END AS state FROM (VALUES ('l_orderkey', 'orders'), ('l_partkey', 'part'), ('l_suppkey', 'supplier')) v(c, t)""",
     "table_signatures": """SELECT 'moved' AS copy, CAST(COUNT(*) = 0 AS INT) AS same FROM (FROM orders EXCEPT ALL SELECT * FROM (FROM orders ORDER BY o_custkey))
         UNION ALL SELECT 'changed', CAST(COUNT(*) = 0 AS INT) FROM (FROM orders EXCEPT ALL SELECT * REPLACE (o_totalprice + 1 AS o_totalprice) FROM orders)""",
+    "case_file_by_tag": """SELECT 'case-' || o_orderkey AS id, 'ranking|' || LOWER(o_orderpriority) AS tags FROM orders WHERE o_orderpriority = '1-URGENT'""",
+    "seeded_nations": """SELECT n_nationkey, n_name, CASE WHEN n_regionkey > 0 THEN CAST(n_regionkey AS VARCHAR) ELSE 'none' END AS region FROM nation WHERE n_nationkey % 2 = 0""",
+    "narrowed_registry": """SELECT 'SalesDocumentLine' AS from_table, c AS from_column, t AS to_table, (SELECT COUNT(*) FROM lineitem) AS row_count
+        FROM (VALUES ('SalesDocumentId', 'SalesDocument'), ('ProductId', 'Product')) v(c, t)""",
     "signature_sees_nulls": """WITH a AS (SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_name END AS a, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS b FROM part),
         b AS (SELECT p_partkey, b AS a, a AS b FROM a) SELECT CAST(COUNT(*) = 0 AS INT) AS same FROM (FROM a EXCEPT ALL FROM b)""",
     "files_signature_checks": """SELECT 'moved' AS copy, CAST(COUNT(*) = 0 AS INT) AS same FROM (SELECT doc_id, text FROM documents EXCEPT ALL SELECT doc_id, text FROM (FROM documents ORDER BY text))

@@ -116,13 +116,14 @@ def orders_as_retail(spark: SparkSession, folder: str) -> StarModel:
         HEADER: read["orders"].select(
             F.col("o_orderkey").alias("SalesDocumentId"),
             F.col("o_orderdate").alias("DocumentDate"),
-            F.col("o_orderdate").alias("DueDate"),
+            # terms of 0 to 44 days and a fee by customer, so that no two dates or amounts are the same column
+            (F.col("o_orderdate") + F.make_dt_interval(F.pmod("o_orderkey", F.lit(45)).cast("int"))).alias("DueDate"),
             F.col("o_custkey").alias("CustomerId"),
             F.col("o_orderpriority").alias("DocumentTypeId"),
             F.col("o_orderpriority").alias("DocumentTypeName"),
             _status_flag().alias("IsCanceled"),
             total.alias("NetAmount"),
-            total.alias("BillTotalAmount"),
+            (total + F.pmod("o_custkey", F.lit(7)).cast("decimal(2,0)") * F.lit(1000).cast("decimal(4,0)")).alias("BillTotalAmount"),
             F.when(F.col("o_orderstatus") == "O", total).otherwise(0).alias("BalanceAmount"),
             F.when(F.col("o_orderstatus") == "F", total).otherwise(0).alias("PaidAmount"),
         ),
