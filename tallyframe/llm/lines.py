@@ -95,7 +95,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     runs = repeated_runs(keyed.select(F.col(at[doc_id]).cast("long").alias("doc_id"), "key_a", "key_b", F.col(at[text]).alias("text")), min_lines, long_words)
     spans = written(runs.groupBy("key_a", "key_b").agg(F.collect_set(F.struct("seq", "size")).alias("gone")))
     names = plain.columns
-    marked = keyed.join(spans, ["key_a", "key_b"], "left").select(*plain.columns, "gone")
+    # always by a shuffle of both sides: the spans grow with the texts, and small corpora then behave like large ones
+    marked = keyed.join(spans.hint("merge"), ["key_a", "key_b"], "left").select(*plain.columns, "gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, at[text]):
