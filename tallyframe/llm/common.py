@@ -1,8 +1,7 @@
-"""Shared by the operators: the shared folder, row keys, text slices, word hashes and bucketed binary rows."""
+"""Shared by the operators: row keys, text slices, word hashes and spans."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,32 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only where the session names no spark.checkpoint.dir, as in local tests.
-LOCAL_FOLDER = "/tmp/checkpoints"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER
-    return f"{base.rstrip('/')}/tallyframe-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
-    """The rows, written as a table in the shared folder and read again: lineage ends here, and a lost executor costs no earlier stage.
-
-    The shuffle files behind the rows are given back once the table is there.
-    """
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path, partitionBy=list(partition_by) or None)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+from tallyframe.shared import shared_folder, written  # noqa: F401
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
