@@ -26,6 +26,11 @@ _FENCED = ("```sql\nSELECT p.ProductName, p.Colour FROM Product p JOIN Customer
            "WHERE p.ProductName = 'DROP it ", "'\n```")
 _NAMES = ("SELECT NetPayableAmount, UnknownThing FROM SalesDocument WHERE IsCanceled = 0 AND SalesDocumentId > ", "")
 
+SPELLINGS = (
+    ("JOIN Customer c ", "JOIN `Customer` AS c "), ("FROM Product p", "FROM  Product\tp"), ("FROM SalesDocument ", "from SalesDocument, Campaign "),
+    ("SELECT ", "SELECT /* FROM Brand, 'x */ "), ("FROM Customer", "FROM Customer, (SELECT ')' AS s FROM Brand b, StoreLocation) y"),
+)
+
 _ALLOWED = ["SalesDocument", "SalesDocumentLine", "Customer", "Product", "Brand"]
 
 
@@ -39,6 +44,10 @@ def sql_log(spark, d):
         .when((priority == "3-MEDIUM") & (status == "O"), around(_WRITE)).when((priority == "3-MEDIUM") & (status == "F"), around(_SLEEP))
         .when(priority == "3-MEDIUM", around(_TWO)).when(priority == "4-NOT SPECIFIED", around(_FENCED)).otherwise(around(_NAMES))
     )
+    # the same statement in several spellings: quoted names, other aliases, small letters, comments, a third table in a list
+    turn = F.col("o_orderkey") % 6
+    for n, (old, new) in enumerate(SPELLINGS, 1):
+        sql = F.when(turn == n, F.replace(sql, F.lit(old), F.lit(new))).otherwise(sql)
     names = lambda *n: F.array(*[F.lit(x) for x in n])
     return o.select(
         F.col("o_orderkey").alias("query_id"), sql.alias("sql"),
@@ -101,41 +110,65 @@ QUERIES = {
 
 _Q = lambda x: "'" + x.replace("'", "''").replace("\n", "' || CHR(10) || '") + "'"
 _AROUND = lambda t: f"{_Q(t[0])} || o_orderkey || {_Q(t[1])}"
-_LOG = f"""log AS (SELECT o_orderkey AS query_id, o_orderpriority AS p, o_orderstatus AS st, o_custkey, CASE
+_LOG = f"""spelt AS (SELECT o_orderkey AS query_id, o_orderpriority AS p, o_orderstatus AS st, o_custkey, CASE
     WHEN o_orderpriority = '1-URGENT' THEN {_AROUND(_OK)} WHEN o_orderpriority = '2-HIGH' THEN {_AROUND(_CTE)}
     WHEN o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'O' THEN {_AROUND(_WRITE)}
     WHEN o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'F' THEN {_AROUND(_SLEEP)}
     WHEN o_orderpriority = '3-MEDIUM' THEN {_AROUND(_TWO)} WHEN o_orderpriority = '4-NOT SPECIFIED' THEN {_AROUND(_FENCED)}
-    ELSE {_AROUND(_NAMES)} END AS sql FROM orders)"""
-_SCAN = "sql"
-for _pattern, _other in (
-    (r"^\s*```(json|sql)?\s*", "''"), (r"\s*```\s*$", "''"), (r"'([^'\\]|\\.)*'", "CHR(39) || CHR(39)"),
-    (r'"([^"\\]|\\.)*"', "CHR(34) || CHR(34)"), (r"--[^\n]*", "' '"), (r"#[^\n]*", "' '"),
-):
-    _SCAN = f"REGEXP_REPLACE({_SCAN}, {_Q(_pattern)}, {_other}, 'g')"
-_USED = """u AS (SELECT *, CASE p WHEN '1-URGENT' THEN ['Customer', 'SalesDocument']
-    WHEN '2-HIGH' THEN ['Brand', 'Product', 'SalesDocumentLine', 'feb', 'mar']
-    WHEN '3-MEDIUM' THEN CASE st WHEN 'P' THEN ['Brand'] ELSE ['Customer'] END
-    WHEN '4-NOT SPECIFIED' THEN ['Customer', 'Product'] ELSE ['SalesDocument'] END AS used FROM log)"""
-_VERDICT = """CASE WHEN p <> '3-MEDIUM' THEN 'ok' WHEN st = 'O' THEN 'Only read-only SQL is allowed.'
-    WHEN st = 'F' THEN 'Use of restricted SQL functions (locking, file, timing, or XML) is not allowed.'
-    ELSE 'Only a single SQL statement is allowed.' END"""
-_FIRST = f"""CASE WHEN p = '3-MEDIUM' THEN {_VERDICT} WHEN p = '2-HIGH' THEN 'outside the allowed table set: feb'
-    WHEN p = '4-NOT SPECIFIED' THEN 'unknown column Colour on Product' WHEN p = '5-LOW' THEN 'unknown identifier UnknownThing'
-    WHEN st = 'P' THEN 'preferred column for semantic metric missing: quantity_sold'
-    WHEN st = 'F' THEN 'declared outside allowed: Campaign' ELSE 'ok' END"""
+    ELSE {_AROUND(_NAMES)} END AS plain FROM orders),
+    log AS (SELECT *, CASE query_id % 6 {" ".join(f"WHEN {n} THEN REPLACE(plain, {_Q(a)}, {_Q(b)})" for n, (a, b) in enumerate(SPELLINGS, 1))} ELSE plain END AS sql FROM spelt)"""
+def _stripped(*removals: tuple[str, str]) -> str:
+    text = "sql"
+    for pattern, other in (
+        (r"^\s*```(json|sql)?\s*", "''"), (r"\s*```\s*$", "''"), (r"'([^'\\]|\\.)*'", "CHR(39) || CHR(39)"), (r'"([^"\\]|\\.)*"', "CHR(34) || CHR(34)"), *removals):
+        text = f"REGEXP_REPLACE({text}, {_Q(pattern)}, {other}, 'g')"
+    return text
+
+
+_SCAN = _stripped((r"`([^`]|``)*`", "CHR(96) || CHR(96)"), (r"--[^\n]*", "' '"), (r"#[^\n]*", "' '"), (r"(?s)/\*.*?\*/", "' '"))
+_BARE = _stripped((r"--[^\n]*", "''"), (r"(?s)/\*.*?\*/", "''"))
+_CLEAN = f"REGEXP_REPLACE(REGEXP_REPLACE(sql, {_Q(r'^\s*```(json|sql)?\s*')}, ''), {_Q(r'\s*```\s*$')}, '')"
+_INNER, _END = r"\([^()]*\)", r"(?i)\b(WHERE|GROUP|ORDER|HAVING|LIMIT|OFFSET|UNION|EXCEPT|INTERSECT|WINDOW|FOR|INTO|ON|USING|JOIN|INNER|LEFT|RIGHT|FULL|CROSS|NATURAL|STRAIGHT_JOIN)\b"
+# Tables from the text: names behind FROM and JOIN, and the heads of comma lists in the outer text and in each parenthesis, three deep.
+_USED = f"""u0 AS (SELECT *, {_CLEAN} AS clean FROM log),
+    u1 AS (SELECT *, REGEXP_EXTRACT_ALL(clean, '{_INNER}') AS p0, REGEXP_REPLACE(clean, '{_INNER}', ' ? ', 'g') AS r0 FROM u0),
+    u2 AS (SELECT *, REGEXP_EXTRACT_ALL(r0, '{_INNER}') AS p1, REGEXP_REPLACE(r0, '{_INNER}', ' ? ', 'g') AS r1 FROM u1),
+    u3 AS (SELECT *, REGEXP_EXTRACT_ALL(r1, '{_INNER}') AS p2, REGEXP_REPLACE(r1, '{_INNER}', ' ? ', 'g') AS r2 FROM u2),
+    u4 AS (SELECT *, LIST_CONCAT([r2], LIST_CONCAT(p0, LIST_CONCAT(p1, p2))) AS parts FROM u3),
+    u5 AS (SELECT *, FLATTEN(LIST_TRANSFORM(parts, LAMBDA x: LIST_TRANSFORM(STRING_SPLIT_REGEX(RTRIM(LTRIM(x, '('), ')'), '(?i)\\bFROM\\b')[2:], LAMBDA y: STRING_SPLIT_REGEX(y, '{_END}')[1]))) AS lists FROM u4),
+    u AS (SELECT *, LIST_SORT(LIST_DISTINCT(LIST_FILTER(LIST_CONCAT(
+        REGEXP_EXTRACT_ALL(clean, '(?i)\\b(?:FROM|STRAIGHT_JOIN|JOIN)\\s+`?([A-Za-z][A-Za-z0-9_]*)', 1),
+        FLATTEN(LIST_TRANSFORM(lists, LAMBDA l: LIST_TRANSFORM(STRING_SPLIT(l, ','), LAMBDA h: REGEXP_EXTRACT(h, '^\\s*`?([A-Za-z][A-Za-z0-9_]*)', 1))))), LAMBDA n: n <> ''))) AS used FROM u5)"""
+# The verdict from the text: the published deny patterns in their order, tried by another engine.
+_VERDICT = "CASE " + " ".join(f"WHEN REGEXP_MATCHES(scan, {_Q('(?i)' + p)}) THEN {_Q(m)}" for p, m in sqltext.DENIED) + """
+    WHEN NOT REGEXP_MATCHES(scan, '(?i)^\\s*(WITH|SELECT)\\b') THEN 'Only SELECT or WITH queries are allowed.'
+    WHEN REGEXP_MATCHES(scan, ';\\s*[^;\\s]') THEN 'Only a single SQL statement is allowed.' ELSE 'ok' END"""
+_SCANNED = f"v AS (SELECT *, {_SCAN} AS scan, {_BARE} AS bare FROM log)"
+_OUT = f"LIST_SORT(LIST_FILTER(used, LAMBDA t: t NOT IN ({', '.join(_Q(t) for t in _ALLOWED)})))"
+# A table in a comma list takes the alias, so the columns of `d` have no table.
+_COLUMNS = """SELECT query_id, 'unknown column Colour on Product' AS issue FROM v WHERE CONTAINS(bare, 'p.Colour')
+    UNION ALL SELECT query_id, 'unknown qualifier p.ProductId' FROM v WHERE CONTAINS(bare, ', Product p')
+    UNION ALL SELECT query_id, 'unknown qualifier d.' || c FROM v, (VALUES ('NetAmount'), ('CustomerId'), ('SalesDocumentId')) x(c) WHERE CONTAINS(bare, ', Campaign d ')"""
+_JOIN = "CONTAINS(bare, 'p.ProductId = c.CustomerId')"
+_METRIC = "CASE st WHEN 'P' THEN CASE WHEN NOT REGEXP_MATCHES(bare, '\\bQuantity\\b') THEN 'quantity_sold' END ELSE CASE WHEN NOT REGEXP_MATCHES(bare, '\\bNetAmount\\b') THEN 'line_net_sales' END END"
+_MISSED = "LIST_SORT(LIST_FILTER(used, LAMBDA x: x NOT IN ('SalesDocument', 'Customer')))"
+_FIRST = f"""COALESCE(NULLIF({_VERDICT}, 'ok'), 'outside the allowed table set: ' || {_OUT}[1],
+    CASE WHEN CONTAINS(bare, 'p.Colour') THEN 'unknown column Colour on Product' END,
+    CASE WHEN CONTAINS(bare, ' UnknownThing ') THEN 'unknown identifier UnknownThing' END,
+    CASE WHEN {_JOIN} THEN 'not an in-scope relationship: Product.ProductId->Customer.CustomerId' END,
+    'preferred column for semantic metric missing: ' || {_METRIC},
+    CASE WHEN st = 'F' THEN 'declared outside allowed: Campaign' WHEN st = 'O' AND LEN({_MISSED}) > 0 THEN 'omitted: ' || ARRAY_TO_STRING({_MISSED}, ', ') END, 'ok')"""
+_AUDIT = f"{_LOG}, {_USED}, {_SCANNED}, f AS (SELECT query_id, {_FIRST} AS m FROM v JOIN (SELECT query_id, used FROM u) USING (query_id))"
 
 ORACLES = {
     "stripped_sql": f"WITH {_LOG} SELECT query_id, MD5({_SCAN}) AS scan_md5 FROM log",
     "sql_tables_used": f"WITH {_LOG}, {_USED} SELECT query_id, ARRAY_TO_STRING(used, '|') AS tables_used FROM u",
-    "read_only_verdicts": f"WITH {_LOG} SELECT query_id, {_VERDICT} AS verdict FROM log",
-    "tables_outside_allowed": f"WITH {_LOG}, {_USED} SELECT query_id, t AS issue FROM (SELECT query_id, UNNEST(used) AS t FROM u) WHERE t IN ('feb', 'mar')",
-    "unknown_columns": f"WITH {_LOG} SELECT query_id, 'unknown column Colour on Product' AS issue FROM log WHERE CONTAINS(sql, 'p.Colour') UNION ALL SELECT query_id, 'unknown qualifier p.ProductId' FROM log WHERE CONTAINS(sql, ', Product p')",
-    "unknown_identifiers": f"WITH {_LOG} SELECT query_id, 'UnknownThing' AS issue FROM log WHERE CONTAINS(sql, ' UnknownThing ')",
-    "undeclared_joins": f"""WITH {_LOG} SELECT query_id, 'Product.ProductId->Customer.CustomerId' AS issue
-        FROM log WHERE CONTAINS(sql, 'p.ProductId = c.CustomerId')""",
-    "unused_metric_columns": f"""WITH {_LOG} SELECT query_id, CASE st WHEN 'P' THEN 'quantity_sold' ELSE 'line_net_sales' END AS issue
-        FROM log WHERE NOT REGEXP_MATCHES(sql, CASE st WHEN 'P' THEN '\\bQuantity\\b' ELSE '\\bNetAmount\\b' END)""",
+    "read_only_verdicts": f"WITH {_LOG}, {_SCANNED} SELECT query_id, {_VERDICT} AS verdict FROM v",
+    "tables_outside_allowed": f"WITH {_LOG}, {_USED} SELECT query_id, UNNEST({_OUT}) AS issue FROM u",
+    "unknown_columns": f"WITH {_LOG}, {_SCANNED} {_COLUMNS}",
+    "unknown_identifiers": f"WITH {_LOG}, {_SCANNED} SELECT query_id, 'UnknownThing' AS issue FROM v WHERE CONTAINS(bare, ' UnknownThing ')",
+    "undeclared_joins": f"WITH {_LOG}, {_SCANNED} SELECT query_id, 'Product.ProductId->Customer.CustomerId' AS issue FROM v WHERE {_JOIN}",
+    "unused_metric_columns": f"WITH {_LOG}, {_SCANNED} SELECT query_id, {_METRIC} AS issue FROM v WHERE {_METRIC} IS NOT NULL",
     "unresolved_product_ids": f"""WITH {_LOG} SELECT query_id, i AS issue FROM (SELECT query_id, o_custkey, UNNEST([query_id, 7, 3]) AS i FROM log WHERE p = '2-HIGH')
         WHERE i <> o_custkey AND i <> 3 GROUP BY ALL""",
     "table_contract_issues": f"""WITH {_LOG}, {_USED}, m AS (SELECT *, LIST_FILTER(used, LAMBDA x: x NOT IN ('SalesDocument', 'Customer')) AS miss FROM u)
@@ -143,8 +176,8 @@ ORACLES = {
         UNION ALL SELECT query_id, 'omitted: ' || ARRAY_TO_STRING(LIST_SORT(miss), ', ') FROM m WHERE st = 'O' AND LEN(miss) > 0""",
     "disallowed_columns": f"""WITH {_LOG} SELECT query_id, c AS column_name FROM log, (VALUES ('NetPayableAmount'), ('Product.ProductName'), ('Colour')) v(c)
         WHERE REGEXP_MATCHES(sql, '(?i)\\b' || REPLACE(c, '.', '\\.') || '\\b')""",
-    "first_issues": f"WITH {_LOG} SELECT query_id, {_FIRST} AS first_issue FROM log",
-    "error_headlines": f"""WITH {_LOG}, f AS (SELECT {_FIRST} AS m FROM log)
-        SELECT CASE WHEN m = 'ok' THEN 'no_message' WHEN m LIKE 'Use of%' THEN 'unsafe_query' WHEN m LIKE 'Only%' THEN 'unsafe_query' WHEN m LIKE 'declared%' THEN 'unanswered'
+    "first_issues": f"WITH {_AUDIT} SELECT query_id, m AS first_issue FROM f",
+    "error_headlines": f"""WITH {_AUDIT}
+        SELECT CASE WHEN m = 'ok' THEN 'no_message' WHEN m LIKE 'Use of%' THEN 'unsafe_query' WHEN m LIKE 'Only%' THEN 'unsafe_query' WHEN m LIKE 'declared%' OR m LIKE 'omitted%' THEN 'unanswered'
         ELSE 'invalid_query' END AS headline, COUNT(*) AS queries FROM f GROUP BY 1""",
 }
