@@ -130,15 +130,32 @@ def test_streamed_fold_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, events.fold_runs(df, "run").collect()))
 
 
-def test_streamed_limit_and_reuse_equal_batch(spark, tmp_path):
+@pytest.mark.parametrize("ordered", [True, False])
+def test_streamed_limit_and_reuse_equal_batch(spark, tmp_path, ordered):
+    """Files in order of time or not: hits within the delay are judged as in batch. A last hit moves the watermark past all."""
     hits = random_hits(9, 800, ["a", "b"], 20_000)
-    df = spark.createDataFrame([(k, at(t), i, ok) for k, t, i, ok in hits], "k string, ts timestamp_ntz, id bigint, ok boolean")
-    parts(spark, df, tmp_path / "in", "ts")
+    schema = "k string, ts timestamp_ntz, id bigint, ok boolean"
+    df = spark.createDataFrame([(k, at(t), i, ok) for k, t, i, ok in hits], schema)
+    if ordered:
+        parts(spark, df, tmp_path / "in", "ts")
+    else:
+        for n in range(4):
+            df.filter(F.col("id") % 4 == n).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("end", at(2_000_000), -1, False)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     read = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    limited = run_stream(spark, live.live_rate_limit(read(), "k", "ts", "id", 5000, 4), "append", "limited", tmp_path / "c1")
-    assert {r.order_id: (r.allowed, r.remaining, r.retry_after_ms) for r in limited.collect()} == sequential_limit([h[:3] for h in hits], 5000, 4)
-    reused = run_stream(spark, live.live_reuse(read(), "k", "ts", "id", F.col("ok"), 3000), "append", "reused", tmp_path / "c2")
-    assert {r.order_id: r.cache_hit for r in reused.collect()} == sequential_reuse(hits, 3000)
+    limited = run_stream(spark, live.live_rate_limit(read(), "k", "ts", "id", 5000, 4), "append", f"limited{ordered}", tmp_path / "c1")
+    assert {r.order_id: (r.allowed, r.remaining, r.retry_after_ms) for r in limited.collect() if r.key != "end"} == sequential_limit([h[:3] for h in hits], 5000, 4)
+    reused = run_stream(spark, live.live_reuse(read(), "k", "ts", "id", F.col("ok"), 3000), "append", f"reused{ordered}", tmp_path / "c2")
+    assert {r.order_id: r.cache_hit for r in reused.collect() if r.key != "end"} == sequential_reuse(hits, 3000)
+
+
+def test_ended_runs_drop_their_state(spark, tmp_path):
+    rows = [("r1", 1, "@start", None, None, at(0)), ("r1", 2, "done", None, None, at(1000)), ("r2", 3, "@start", None, None, at(2000)), ("later", 4, "@start", None, None, at(9_000_000))]
+    df = spark.createDataFrame(rows, FRAMES + ", ts timestamp_ntz")
+    parts(spark, df, tmp_path / "in", "ts", 2)
+    stream = live.with_event_time(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "ts", "1 minute")
+    out = run_stream(spark, live.ended_runs(stream, "ts", "5 minutes", "run"), "append", "ended", tmp_path / "cp")
+    assert {r.run: r.status for r in out.collect()} == {"r1": "done", "r2": "streaming"}
 
 
 def test_streamed_durations_close_behind_the_watermark(spark, tmp_path):
