@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.shared import written
 
-SPANS_PER_BUCKET = 4
+SPANS_PER_BUCKET = 16
 #: Buckets of a level that make one of the next.
 FAN = 32
 

@@ -171,30 +171,31 @@ def disallowed_columns_used(sql: Column, disallowed: Column) -> Column:
 
 def audit(log: DataFrame, registry: Registry, sql: str = "sql", allowed: str = "allowed_tables",
           metrics: str | None = None, candidates: str | None = None, declared: str | None = None,
-          exempt_ctes: bool = False) -> DataFrame:
-    """Add every check, and the first issue in checking order (null when the query is fine)."""
+          exempt_ctes: bool = False, first_only: bool = False) -> DataFrame:
+    """Add every check, and the first issue in checking order (null when the query is fine).
+
+    With ``first_only``, a check is not made where an earlier one has found something; its column is null there.
+    """
     none = F.expr(_NONE)
     out = sql_facts(statements(log, sql), registry)
     text = F.col("stripped")
-    out = out.select(
-        "*",
-        outside_tables(F.col(allowed), F.col("tables_used"), F.col("ctes") if exempt_ctes else None).alias("outside_tables"),
-        column_issues(registry).alias("column_issues"),
-        identifier_issues(registry).alias("identifier_issues"),
-        join_issues(registry).alias("join_issues"),
-        (metric_issues(text, F.col(metrics), registry) if metrics else none).alias("metric_issues"),
-        (candidate_id_issues(text, F.col(candidates), registry) if candidates else F.expr("cast(array() as array<bigint>)")).alias("id_issues"),
-        (contract_issue(F.col(declared), F.col(allowed), F.col("tables_used")) if declared else F.lit(None).cast("string")).alias("contract_issue"),
-    ).drop(*FACTS)
-
-    def first(column: str, label: str) -> Column:
-        return F.when(F.size(column) > 0, F.concat(F.lit(label), F.get(column, F.lit(0)).cast("string")))
-
-    return out.withColumn("first_issue", F.coalesce(
-        "read_only_issue", first("outside_tables", "outside the allowed table set: "), first("column_issues", ""),
-        first("identifier_issues", "unknown identifier "), first("join_issues", "not an in-scope relationship: "),
-        first("metric_issues", "preferred column for semantic metric missing: "),
-        first("id_issues", "not in the resolved master-data candidates: "), F.col("contract_issue")))
+    checks = (
+        ("outside_tables", "outside the allowed table set: ", outside_tables(F.col(allowed), F.col("tables_used"), F.col("ctes") if exempt_ctes else None)),
+        ("column_issues", "", column_issues(registry)),
+        ("identifier_issues", "unknown identifier ", identifier_issues(registry)),
+        ("join_issues", "not an in-scope relationship: ", join_issues(registry)),
+        ("metric_issues", "preferred column for semantic metric missing: ", metric_issues(text, F.col(metrics), registry) if metrics else none),
+        ("id_issues", "not in the resolved master-data candidates: ",
+         candidate_id_issues(text, F.col(candidates), registry) if candidates else F.expr("cast(array() as array<bigint>)")),
+    )
+    contract = contract_issue(F.col(declared), F.col(allowed), F.col("tables_used")) if declared else F.lit(None).cast("string")
+    out = out.withColumn("first_issue", F.col("read_only_issue"))
+    for column, label, found in checks:
+        out = out.withColumn(column, F.when(F.col("first_issue").isNull(), found) if first_only else found)
+        said = F.when(F.size(column) > 0, F.concat(F.lit(label), F.get(column, F.lit(0)).cast("string")))
+        out = out.withColumn("first_issue", F.coalesce("first_issue", said))
+    out = out.withColumn("contract_issue", contract)
+    return out.withColumn("first_issue", F.coalesce("first_issue", "contract_issue")).drop(*FACTS)
 
 
 # Phrases in an error text and the class of headline they get, first match first.
