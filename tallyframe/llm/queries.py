@@ -24,7 +24,7 @@ def op3_merged_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_suffix_array_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(table(spark, folder, "documents").select("doc_id", "text")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "repeat_chars", "longest_repeat", "n_repeats")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "repeat_chars", "longest_repeat")
 
 
 #: A conversation that quotes control strings, added to the table.
@@ -82,7 +82,56 @@ QUERIES = {
     "op4_suffix_array_quality": op4_suffix_array_quality,
 }
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES: dict[str, str] = {
+    "op4_suffix_array_quality": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+v AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+r AS (SELECT doc_id, i, k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS n FROM v) WHERE n > 1),
+p AS (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS p FROM r),
+c AS (SELECT doc_id, count(*) AS n_repeat_words, sum(length(w[p])) AS repeat_chars FROM p JOIN d USING (doc_id) GROUP BY doc_id),
+pairs AS (SELECT a.doc_id, a.i, b.i - a.i AS gap FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.k = b.k AND a.i < b.i),
+runs AS (SELECT doc_id, count(*) + 7 AS size FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, gap ORDER BY i) AS island FROM pairs) GROUP BY doc_id, gap, island),
+g AS (SELECT doc_id, max(size) AS longest_repeat FROM runs GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^ 	-
+]') GROUP BY doc_id),
+a AS (
+  SELECT doc_id, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(repeat_chars, 0) AS BIGINT) AS repeat_chars,
+    coalesce(longest_repeat, 0) AS longest_repeat
+  FROM d LEFT JOIN c USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN l USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND repeat_chars <= CAST(0.3 AS DOUBLE) * word_chars AND longest_repeat <= 200 AS kept
+FROM a
+""",
+    "op5_block_anchors": rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+v AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+m AS (SELECT k, min(doc_id) AS owner FROM v GROUP BY k),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM v JOIN m USING (k) WHERE owner < doc_id),
+u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT u.*, g.p IS NOT NULL AS gone FROM u LEFT JOIN g USING (doc_id, p)),
+s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS starts FROM k),
+a AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans,
+    sha256(coalesce(string_agg(x, ' ' ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+  FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)
+""",
+    "op7_parity_sketch_join": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^ 	-
+]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS m FROM d UNION SELECT e.y, r.m FROM r JOIN e ON e.x = r.doc_id)
+SELECT r.doc_id, any_value(coalesce(n.n, 0)) AS n_shingles, min(m) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
+""",
     "op6_suffix_line_dedup": r"""
 WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS parts, text FROM documents WHERE text <> ''),
 l AS (
