@@ -63,3 +63,22 @@ def test_one_of_each(spark, docs):
     kept = similar.one_of_each(df.withColumn("component", df.lang).withColumn("key_a", df.lang))
     assert sorted((r.doc_id, r.text) for r in kept.collect() if r.text) == [(2, same.upper()), (3, "other words here")]
     assert kept.where("text IS NULL").count() == 2
+
+
+def test_stages_take_nulls_long_texts_and_clashing_columns(spark, tmp_path):
+    from tests.llm.conftest import in_use
+    long = " ".join(f"w{i}" for i in range(50_000))
+    rows = [(None, None), (None, ""), (1, None), (1, "a"), (2, long), (2, long), (None, long), (3, "x " * 300), (4, " ".join(f"v{i}" for i in range(40)))]
+    spark.createDataFrame([(None, "w1 w2 w3"), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = in_use(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS), "component", "number", "alone", "w", "n", "hash", "c0", "gone")
+    for table in (df, df.limit(0)):
+        docs = table
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name == "retrieval_packing":
+                pieces = out.collect()
+                assert {r.doc_id for r in pieces} == ({4} if table is df else set()) and sum(r.length for r in pieces) == max([0, *(r.doc_tokens for r in pieces)])
+            else:
+                assert out.columns == docs.columns, name
+                docs = spark.createDataFrame(out.collect(), out.schema)
+        assert [r.doc_id for r in docs.collect()] == ([4] if table is df else [])
