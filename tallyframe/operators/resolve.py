@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.literals import constant, let
 from tallyframe.functions.words import search_text
+from tallyframe.shared import written
 from tallyframe.sources.semantic import Alias, unique
 
 # Points by how a term matches.
@@ -40,14 +41,14 @@ def expand_mentions(mentions: DataFrame, aliases: Sequence[Alias]) -> DataFrame:
     return mentions.withColumn("terms", F.array_distinct(F.concat(own, ring)))
 
 
-def _grams(text: Column) -> Column:
-    """Distinct substrings of one to three characters."""
+def _grams(text: Column, sizes: Sequence[int]) -> Column:
+    """Distinct substrings of the given lengths."""
     def of(n: int) -> Column:
         last = F.length(text) - n + 1
         return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n)))).otherwise(
             F.expr("cast(array() as array<string>)"))
 
-    return F.array_distinct(F.concat(*[of(n) for n in range(1, GRAM + 1)]))
+    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
 
 
 def find_candidates(
@@ -56,7 +57,7 @@ def find_candidates(
     """Every (mention, master row) where a normalised term is a substring of a search column.
 
     A term can only be a substring where its rarest three-character piece occurs, so the two
-    sides meet on that piece alone. Neither side is collected and no pair is cut off. A pair
+    sides meet on that piece alone. Shorter pieces are cut only where a term is shorter. Neither side is collected and no pair is cut off. A pair
     that several terms would find is emitted by the first of them.
     """
     terms = (
@@ -66,11 +67,12 @@ def find_candidates(
         .select("mention", "terms", "normal", F.posexplode("normal").alias("position", "term"))
         .filter("term <> ''")
     )
-    pieces = terms.select("mention", "position", F.explode(F.array_distinct(_pieces(F.col("term")))).alias("gram"))
+    pieces = written(terms.select("mention", "position", F.explode(F.array_distinct(_pieces(F.col("term")))).alias("gram")))
+    sizes = sorted(r[0] for r in pieces.select(F.length("gram")).distinct().collect()) or [GRAM]  # one to three numbers
     fields = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in search_columns]
     rows = master.select(F.col(key).alias("__key"), *search_columns).withColumn("__fields", F.array(*fields))
     # the row goes along with its pieces, so rows with a null or a repeated key need no way back
-    grams = rows.select("*", F.explode(F.array_distinct(F.flatten(F.transform("__fields", _grams)))).alias("gram"))
+    grams = rows.select("*", F.explode(F.array_distinct(F.flatten(F.transform("__fields", lambda f: _grams(f, sizes))))).alias("gram"))
     wanted = pieces.select("gram").distinct()
     frequency = grams.select("gram").join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     rarest = (
