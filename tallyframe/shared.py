@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,18 @@ LOCAL_FOLDER = "/tmp/checkpoints"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Where this package lies.
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers look for this package where the driver has found it. On a cluster it is shipped like any package."""
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+
+
 def shared_folder(spark: SparkSession, name: str = "table") -> str:
     """A new path below spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER

@@ -6,6 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tallyframe.session import build_session  # noqa: E402
+from tallyframe.shared import reach_workers  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -16,4 +17,5 @@ def spark(tmp_path_factory):
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         })
     session.sparkContext.setLogLevel("ERROR")
+    reach_workers(session)
     return session
