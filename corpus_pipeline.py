@@ -11,31 +11,37 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm import decontaminate, lines, packing, quality, similar
 from tallyframe.llm.common import table, written
+from tallyframe.shared import reach_workers
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the repetition rules."""
+    reach_workers(spark)
     return quality.keep(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs go, n_chars follows; a document without a word left goes as a whole."""
+    reach_workers(spark)
     kept = lines.without_repeats(docs).select(*docs.columns).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    reach_workers(spark)
     return similar.one_of_each(docs, size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark window occurs in."""
+    reach_workers(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def retrieval_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of 2048 tokens at most."""
+    reach_workers(spark)
     return packing.pack(docs)
 
 
