@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Only where the session names no spark.checkpoint.dir, as in local tests.
 LOCAL_FOLDER = "/tmp/checkpoints"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go when it is there, and rows reach Python in small batches, as texts may be long.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 #: Where this package lies.
@@ -37,10 +38,12 @@ def written(df: DataFrame) -> DataFrame:
     lie outside the heap, where many small files add up.
     """
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {key: spark.conf.get(key) for key in _WHILE_WRITING}
     try:
+        for key, value in _WHILE_WRITING.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
