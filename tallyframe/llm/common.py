@@ -27,7 +27,7 @@ def row_key(*columns: str) -> tuple[Column, Column]:
     return F.xxhash64(*parts).alias("key_a"), F.xxhash64(F.lit(7), *reversed(parts)).alias("key_b")
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a piece holds about `limit` bytes of `column`, or one row where a single text is longer."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
