@@ -88,7 +88,7 @@ def _probe(window: int, block: int, buckets: int):
                 none = pa.nulls(len(names), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[names] % buckets, pa.int32()), pa.array(ids[names]), lists, none, none, none, none, pa.nulls(len(names), pa.int32())], names=_names(_LIVE))
-            send = np.flatnonzero(~live | (name == high))
+            send = np.flatnonzero(~live | (name == high) | (reference & (name == low)))
             bucket = ((key[send] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             send = send[np.argsort(bucket, kind="stable")]
             out = []

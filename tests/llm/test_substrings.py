@@ -56,3 +56,16 @@ def test_brute_force(spark, docs, monkeypatch, seed, slice_bytes):
 
 def test_empty_table(spark, docs):
     assert substrings.without_copies(docs([])).count() == 0
+
+
+@pytest.mark.parametrize("flip", [False, True])
+def test_smallest_reference_reaches_other_slices(spark, docs, monkeypatch, flip):
+    w = [f"w{i}" for i in range(13)]
+    one = [(1, " ".join(w)), (2, " ".join(["x", *w[:7], "y1", "y2", "y3", "y4", "y5"]))]
+    two = [(3, " ".join(["z", *w]))]
+    rows = two + one if flip else one + two
+    real = substrings.slices
+    monkeypatch.setattr(substrings, "slices", lambda b, c: real(b, c, 80))  # documents 1 and 2 in a slice, 3 in another
+    got = substrings.without_copies(docs([t for _, t in rows], [i for i, _ in rows]).coalesce(1)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=repr) == brute(rows)
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0, 3: 13}
