@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import column, slices
+from tallyframe.llm.common import column, row_key, slices, written
 
 # Tags with quoted values, comments, and elements whose content is not markup; whatever is unclosed runs to the page's end.
 _TOKEN = re.compile(
@@ -170,8 +170,23 @@ def evidence(page: str | None) -> dict[str, list[int]]:
     return seen
 
 
-def learned(pages: DataFrame, html_column: str, most_names: int) -> tuple[dict[str, float], float]:
-    """Weights of names, and what a tag costs, from all pages that label themselves; the `most_names` commonest names are kept."""
+def names_in(page: str | None) -> set[str]:
+    """Classes, ids and roles of all elements of a page."""
+    found = {(name, attributes) for kind, name, attributes in read(page or "") if kind == "open" and name not in _VOID and attributes}
+    return {n for tag, attributes in found for n in names_of(tag, attributes) if n[0] == "."}
+
+
+def _weight(name: str, inside: int, outside: int) -> float:
+    a, b = prior_of(name)
+    return _log_odds(a + inside, b + outside)
+
+
+def learned(pages: DataFrame, html_column: str, most_names: int) -> tuple[dict[str, float], float, DataFrame | None]:
+    """Weights of names, and what a tag costs, from all pages that label themselves.
+
+    Weights of tags and of the `most_names` commonest other names come as a dict; the counts of the names beyond them as a table
+    (name, inside, outside), or None if there are none.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, html_column):
             total: dict[str, list[int]] = {}
@@ -184,17 +199,39 @@ def learned(pages: DataFrame, html_column: str, most_names: int) -> tuple[dict[s
                 [pa.array(list(total), pa.string()), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([v[1] for v in total.values()], pa.int64())],
                 names=["name", "inside", "outside"])
 
-    counts = pages.select(html_column).mapInArrow(run, "name string, inside long, outside long").groupBy("name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    rows = counts.orderBy((F.col("inside") + F.col("outside")).desc(), "name").limit(most_names).collect()
-    seen = {r.name: (r.inside, r.outside) for r in rows}
+    counts = written(
+        pages.select(html_column).mapInArrow(run, "name string, inside long, outside long").groupBy("name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")))
+    dotted, words_in = F.col("name").startswith("."), F.col("inside") + F.col("outside")
+    # Tags are a fixed few; the other names are as many as the pages make them.
+    rows = counts.where(~dotted).collect()
+    common = counts.where(dotted).orderBy(words_in.desc(), "name").limit(most_names + 1).collect()
+    rest = None
+    if len(common) > most_names:
+        edge = common.pop()
+        size = edge.inside + edge.outside
+        rest = counts.where(dotted & ((words_in < size) | (words_in == size) & (F.col("name") >= edge.name)))
+    seen = {r.name: (r.inside, r.outside) for r in [*rows, *common]}
     words, tags = seen.pop(" words", (0, 0)), seen.pop(" tags", (0, 0))
-    weights = {}
-    for name in {*seen, *PRIOR}:
-        inside, outside = (x + y for x, y in zip(prior_of(name), seen.get(name, (0, 0))))
-        weights[name] = _log_odds(inside, outside)
+    weights = {name: _weight(name, *seen.get(name, (0, 0))) for name in {*seen, *PRIOR}}
     # Tags per word outside against inside, as a cost for each tag.
     rate = ((tags[1] + 1) / (words[1] + 1)) / ((tags[0] + 1) / (words[0] + 1))
-    return weights, max(0.05, min(1.0, math.log(max(rate, 1.0)) / 4))
+    return weights, max(0.05, min(1.0, math.log(max(rate, 1.0)) / 4)), rest
+
+
+def _with_own_names(plain: DataFrame, weights: dict[str, float], rest: DataFrame) -> DataFrame:
+    """The pages with `own`: the counts of those of their names that are not among the weights."""
+    keyed = plain.select("*", *row_key("page_id", "html"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "html"):
+            found = [sorted(names_in(page) - weights.keys()) for page in column(piece, "html").to_pylist()]
+            per = pa.array([i for i, names in enumerate(found) for _ in names], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [column(piece, "key_a").take(per), column(piece, "key_b").take(per), pa.array([n for names in found for n in names], pa.string())], names=["key_a", "key_b", "name"])
+
+    own = keyed.select("key_a", "key_b", "html").mapInArrow(run, "key_a long, key_b long, name string").join(rest, "name")
+    own = own.groupBy("key_a", "key_b").agg(F.collect_set(F.struct("name", "inside", "outside")).alias("own"))
+    return keyed.join(own, ["key_a", "key_b"], "left").select("page_id", "url", "html", "own")
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_column: str = "html", most_names: int = 5000) -> DataFrame:
@@ -204,15 +241,24 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_c
     fixed counts for elements and names that such pages lack); tags cost. The stretch of blocks with the largest sum is the main
     text. Inside it, blocks of elements that count against it (menus, adverts, forms, comments and so on) are left out.
 
-    A page is read alone, in slices of a few MB; only counts of names are shuffled. A null or empty page, and one without a block
-    that scores, has an empty text. Ids and urls may be null or repeat; other columns are not read.
+    A page is read alone, in slices of a few MB; only counts of names are shuffled while there are at most `most_names` of them.
+    The weights of so many travel with the code; each page's own names beyond them are joined with the table of counts, and the
+    pages are shuffled once for it, so every counted name has its weight. A null or empty page, and one without a block that
+    scores, has an empty text. Ids and urls may be null or repeat; other columns are not read.
     """
     plain = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html_column).alias("html"))
-    weights, cost = learned(plain, "html", most_names)
+    weights, cost, rest = learned(plain, "html", most_names)
+    joined = rest is not None
+    if joined:
+        plain = _with_own_names(plain, weights, rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "html"):
-            texts = [main_text(page, weights, cost) for page in column(piece, "html").to_pylist()]
+            owns = column(piece, "own").to_pylist() if joined else [None] * piece.num_rows
+            texts = []
+            for page, own in zip(column(piece, "html").to_pylist(), owns):
+                known = weights | {r["name"]: _weight(**r) for r in own} if own else weights
+                texts.append(main_text(page, known, cost))
             yield pa.RecordBatch.from_arrays(
                 [column(piece, "page_id"), column(piece, "url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

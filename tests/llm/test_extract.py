@@ -54,3 +54,15 @@ def test_best_region_is_the_largest_sum():
         s = [rng.randint(-5, 5) for _ in range(rng.randint(0, 12))]
         a, b = extract.best_region(s)
         assert sum(s[a:b]) == max([0] + [sum(s[i:j]) for i in range(len(s)) for j in range(i, len(s) + 1)])
+
+
+def test_names_beyond_the_commonest_have_their_weights(spark):
+    text = "one two three four five six seven eight"
+    pages = [f"<article id=unique-{i}>{'<p>' + text * 9 + '</p>'}<div class=aa><p>{text}</p></div></article><div class=zz><p>{text}</p></div>" for i in range(12)]
+    pages += [f"<div class=zz><p>{text} {text}</p></div><div class=aa><p>wanted words</p></div>", None, ""]
+    pages += pages[-3:]
+    df = spark.createDataFrame([(None if i % 2 else i, "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    whole, few = (sorted((r.page_id or -1, r.text) for r in extract.extract(df, most_names=n).collect()) for n in (5000, 3))
+    assert few == whole
+    assert [t for _, t in few].count("wanted words") == 2 and [t for _, t in few].count("") == 4
+    assert extract.extract(df.limit(0), most_names=0).count() == 0
