@@ -18,7 +18,9 @@ _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|object|canvas)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</(?P=raw)\s*>|.*)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# A whole attribute: its name, then a quoted or bare value if it has one.
+_ATTRIBUTE = re.compile(r"([^\s/=>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?|\"[^\"]*+\"|'[^']*+'")
+_NAMING = frozenset(("class", "id", "role"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -44,7 +46,7 @@ def names_of(tag: str, attributes: str) -> list[str]:
         name, value = name.lower(), "".join(values)
         if name in ("hidden", "aria-hidden"):
             found += ["hidden"] if value.lower() != "false" else []
-        else:
+        elif name in _NAMING:
             found += [f".{v.lower()}" for v in value.split()]
     return found
 

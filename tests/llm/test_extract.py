@@ -66,3 +66,17 @@ def test_names_beyond_the_commonest_have_their_weights(spark):
     assert few == whole
     assert [t for _, t in few].count("wanted words") == 2 and [t for _, t in few].count("") == 4
     assert extract.extract(df.limit(0), most_names=0).count() == 0
+
+
+def test_attributes_are_read_whole(spark):
+    plain = ['style="overflow:hidden"', 'title="hidden gems"', "title='x class=ad id=ad'", 'data-id="ad"', "data-role=banner", ":class='ad'", "xhidden", 'title = "a" data-x=hidden', "'hidden' x=y"]
+    for a in plain:
+        assert extract.names_of("div", " " + a) == [], a
+    named = [
+        ("class=ad", [".ad"]), ('CLASS = "Ad  b"', [".ad", ".b"]), ("id='x'class=\"y\"role=z", [".x", ".y", ".z"]), ("hidden", ["hidden"]), ("/hidden/", ["hidden"]), ("hidden=''", ["hidden"]),
+        ('aria-hidden="true"', ["hidden"]), ("aria-hidden=false", []), ('style="overflow:hidden" class=ad', [".ad"]), ("title=\"it's\" id=x", [".x"]), ("data-a id\n=\n'x'", [".x"]), ("id", []), ("a= =b class=c", [".c"])]
+    for a, want in named:
+        assert extract.names_of("div", " " + a) == want, a
+    text = "one two three four five six seven eight"
+    df = spark.createDataFrame([(i, "u", f"<div {a}><p>{text}</p></div>") for i, a in enumerate([*plain, "hidden"])], "page_id long, url string, html string")
+    assert [r.text for r in extract.extract(df).orderBy("page_id").collect()] == [text] * len(plain) + [""]
