@@ -1,4 +1,4 @@
-"""Line deduplication: runs of lines that stand earlier in the corpus, found by ranking suffixes of line sequences."""
+"""Line deduplication: runs of lines that stand earlier in the corpus, found by ranking the first lines of their suffixes."""
 
 from __future__ import annotations
 
@@ -56,10 +56,11 @@ def _ranked(suffixes: DataFrame, *parts: str) -> DataFrame:
 def repeated_runs(keyed: DataFrame, min_lines: int, long_words: int) -> DataFrame:
     """key_a, key_b, seq, size: stretches of lines that stand earlier in the corpus.
 
-    Prefix doubling over all suffixes: ranked by one line, then by twice as many lines each round from the ranks of the suffix and
-    of the one that starts behind it, until the common prefix is `min_lines` long. Deeper ranks would tell suffixes apart only
-    beyond that length, so they can't change which lines go. Suffixes that share that prefix form an interval whose common
-    prefix is at least so long; all but the first of it are later copies. A maximal repeat is what consecutive ones cover.
+    Prefix doubling, cut to the depth `min_lines`: suffixes are ranked by one line, then by twice as many lines each round from the
+    ranks of the suffix and of the one that starts behind it, until the ranks are `min_lines` deep; with two lines that is one
+    round. Suffixes tied there are not ranked further, so there is no suffix array, no common-prefix length and no maximal repeat.
+    Which lines go is whole all the same: each later run of at least so many lines is the union of its later runs of just so many.
+    All but the first of the suffixes that share a rank are later copies.
     """
     sequences = keyed.mapInArrow(_sequences(long_words), _LINE).dropDuplicates(["key_a", "key_b", "seq"])
     live = single = written(_ranked(written(sequences), "name_a", "name_b"))

@@ -54,3 +54,28 @@ def test_equal_rows(spark, docs):
     got = lines.without_repeats(docs(["x\ny", "x\ny", "x\ny\nz"], [1, 1, 2])).collect()
     assert sorted((r.doc_id, r.text) for r in got) == [(1, "x\ny"), (1, "x\ny"), (2, "z")]
     assert lines.without_repeats(docs([])).count() == 0
+
+
+@pytest.mark.parametrize("least", [2, 3])
+def test_runs_of_any_length(spark, docs, least):
+    """Ranks end at `least` lines, yet every longer run that stands earlier goes too, with nothing beside it."""
+    rng = random.Random(10 + least)
+    passages = [[f"p{i} {j}" for j in range(rng.randint(2, 17))] for i in range(5)]
+    rows = []
+    for i in range(50):
+        s = []
+        for _ in range(rng.randint(1, 4)):
+            p = rng.choice(passages)
+            a = rng.randrange(len(p))
+            s += [*p[a:a + rng.randint(1, 17)], *[f"own {rng.random()}"] * rng.randint(0, 2)]
+        rows.append((i, s))
+    seen, gone = set(), {i: set() for i, _ in rows}
+    for i, s in rows:
+        for a in range(len(s)):
+            for b in range(a + least, len(s) + 1):
+                if (b - a, *s[a:b]) in seen:
+                    gone[i].update(range(a, b))
+                seen.add((b - a, *s[a:b]))
+    got = lines.without_repeats(docs(["\n".join(s) for _, s in rows]).repartition(3), min_lines=least).collect()
+    assert {r.doc_id: r.text for r in got} == {i: "\n".join(x for p, x in enumerate(s) if p not in gone[i]) for i, s in rows}
+    assert sum(map(len, gone.values())) > 50
