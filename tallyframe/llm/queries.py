@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat, decontaminate, extract, lines, packing, private, quality, similar, substrings, warc
+from tallyframe.llm import chat, decontaminate, divergence, extract, language, lines, manifest, packing, private, quality, similar, substrings, warc
 from tallyframe.llm.common import table
 
 
@@ -69,7 +69,22 @@ def op10_prefix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_family_language_machines(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
+
+def op12_path_copied_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.manifest(table(spark, folder, "documents"))
+
+
+def op13_pair_task_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergences(table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "op11_family_language_machines": op11_family_language_machines,
+    "op12_path_copied_manifest": op12_path_copied_manifest,
+    "op13_pair_task_divergence": op13_pair_task_divergence,
     "op7_parity_sketch_join": op7_parity_sketch_join,
     "op6_suffix_line_dedup": op6_suffix_line_dedup,
     "op3_merged_archives": op3_merged_archives,
@@ -209,5 +224,61 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(txt, '' ORDER BY turn NULLS FIRST, role, txt) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(txt) + marks + CASE WHEN same THEN 6 ELSE length(role) + role_marks + 20 END) AS BIGINT) AS formatted_chars
 FROM m GROUP BY conv_id
+""",
+    # CRC-32 bit by bit; the trees and then the ways up as recursions.
+    "op12_path_copied_manifest": r"""
+WITH RECURSIVE i AS (
+  SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)), lambda a, b:
+    list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, 3988292384::BIGINT * (c & 1)))) AS crc
+  FROM documents),
+d AS (
+  SELECT doc_id, coalesce('1' || source, '0') AS g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 2 = 0 AND contains(text, chr(10)) THEN sha256(head || strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), '')) END AS changed
+  FROM i),
+n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS m FROM d),
+t AS (
+  SELECT g, 0 AS lvl, pos, leaf AS h, m FROM n
+  UNION ALL SELECT g, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (m + 2) // 3 FROM t WHERE m > 1 GROUP BY g, lvl, pos // 3, m),
+s AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS m FROM t WHERE m = 1),
+u AS (
+  SELECT 0 AS lvl, pos, h, m FROM s
+  UNION ALL SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (m + 2) // 3 FROM u WHERE m > 1 GROUP BY lvl, pos // 3, m),
+a AS (SELECT g, lvl, pos, h, m FROM t UNION ALL SELECT NULL, lvl, pos, h, m FROM u),
+b AS (
+  SELECT g, lvl, pos, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM a WHERE m > 1 WINDOW w AS (PARTITION BY g, lvl, pos // 3 ORDER BY pos)),
+f AS (
+  SELECT g, pos AS k, 0 AS lvl, pos, coalesce(changed, leaf) AS h, '' AS proof FROM n
+  UNION ALL SELECT f.g, k, f.lvl + 1, f.pos // 3, sha256(l || h || r), proof || l || r FROM f JOIN b ON b.g = f.g AND b.lvl = f.lvl AND b.pos = f.pos),
+o AS (SELECT g, k, arg_max(h, lvl) AS h, arg_max(proof, lvl) AS proof, max(lvl) AS steps FROM f GROUP BY g, k),
+v AS (
+  SELECT o.g, k, 0 AS lvl, s.pos, o.h, proof, steps FROM o JOIN s ON s.g = o.g
+  UNION ALL SELECT v.g, k, v.lvl + 1, v.pos // 3, sha256(l || h || r), proof || l || r, steps + 1 FROM v JOIN b ON b.g IS NULL AND b.lvl = v.lvl AND b.pos = v.pos),
+e AS (SELECT g, k, arg_max(h, lvl) AS h, arg_max(proof, lvl) AS proof, max(steps) AS steps FROM v GROUP BY g, k)
+SELECT doc_id, leaf, s.h AS subroot, root, sha256(proof) AS proof_sha256, e.h AS folded_root, e.h = root AS verified, CASE WHEN changed IS NULL THEN 0 ELSE steps + 1 END AS n_copied
+FROM n JOIN e ON e.g = n.g AND e.k = n.pos JOIN s ON s.g = n.g, (SELECT h AS root FROM u WHERE m = 1)
+""",
+    "op13_pair_task_divergence": rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+u AS (SELECT r, lang, source, unnest(w) AS t FROM w),
+k AS (SELECT lang, t, count(*) AS ln FROM u GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+g AS (SELECT DISTINCT lang, source FROM w),
+c AS (SELECT lang, source, t, count(*) AS n FROM u GROUP BY ALL),
+a AS (SELECT g.lang, g.source, k.t, coalesce(n, 0) AS n, ln FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t),
+b AS (
+  SELECT *, 1 + (1000000000 * CAST(n + 1 AS HUGEINT)) // (sum(n) OVER s + count(*) OVER s) AS p, 1 + (1000000000 * CAST(ln + 1 AS HUGEINT)) // (sum(ln) OVER s + count(*) OVER s) AS q
+  FROM a WINDOW s AS (PARTITION BY lang, source)),
+x AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM b AS a JOIN b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value
+  FROM g JOIN g AS h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN x ON x.lang = g.lang AND x.source = g.source AND x.item = h.source
+  UNION ALL SELECT lang, source, 'term', t, ((p - q) * (p - q)) // q FROM b WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 200
 """,
 }
