@@ -174,6 +174,17 @@ def full_result_comparison(spark, d):
         ("renamed", o, other, {}, None), ("one_value_lost", o, other.withColumn("sum", F.when(F.col("n") > 0, F.lit(1.0))), {}, None),
         ("within_tolerance", o, moved, {"tolerance": 1.0}, None), ("beyond_tolerance", o, moved, {"tolerance": 0.5}, None), ("moved_without_tolerance", o, moved, {}, None),
         ("ranked", placed, placed, ranked, "place"), ("ranking_turned", placed, turned, ranked, "place")]
+    # the same value counts in every column, so that only whole rows tell which column is which
+    days = _t(spark, d, "orders").select("o_orderkey", F.month("o_orderdate").alias("m")).select(
+        "o_orderkey", *[((F.col("m") + F.col("o_orderkey") * k) % 12).alias(f"m{k}") for k in (0, 1, 5, 7)])
+    shuffled = days.select(F.col("m7").alias("a"), F.col("m0").alias("b"), F.col("o_orderkey").alias("key"), F.col("m5").alias("c"), F.col("m1").alias("d"))
+    turn = F.col("key") % 4 == 1
+    crossed = shuffled.select(F.when(turn, F.col("d")).otherwise(F.col("a")).alias("a"), "b", "key", "c", F.when(turn, F.col("a")).otherwise(F.col("d")).alias("d"))
+    rows_of = _t(spark, d, "orders").agg(F.count("*").alias("n"))
+    cases += [
+        ("columns_permuted", days, shuffled, {}, None), ("columns_crossed", days, crossed, {}, None),
+        ("scalar", rows_of, o.agg(F.sum("orders").alias("total")), {"mode": "scalar"}, None),
+        ("scalar_off_by_one", rows_of, rows_of.withColumn("n", F.col("n") + 1), {"mode": "scalar"}, None)]
     rows = [(name, int(compare.compare_results(a, b, compare.Comparison.of(spec), rank))) for name, a, b, spec, rank in cases]
     return spark.createDataFrame(rows, "case string, matches int")
 
@@ -339,6 +350,9 @@ ORACLES = {
         SELECT 'renamed' AS "case", 1 AS matches
         UNION ALL SELECT 'one_value_lost', CAST(ones AS INT) FROM s UNION ALL SELECT 'within_tolerance', CAST(far <= 1.0 AS INT) FROM s
         UNION ALL SELECT 'beyond_tolerance', CAST(far <= 0.5 AS INT) FROM s UNION ALL SELECT 'moved_without_tolerance', CAST(same AS INT) FROM s
+        UNION ALL SELECT 'columns_permuted', 1
+        UNION ALL SELECT 'columns_crossed', CAST(COUNT(*) FILTER (o_orderkey % 4 = 1) = 0 AS INT) FROM orders
+        UNION ALL SELECT 'scalar', CAST(SUM(n) = (SELECT COUNT(*) FROM orders) AS INT) FROM o UNION ALL SELECT 'scalar_off_by_one', CAST(COUNT(*) = COUNT(*) + 1 AS INT) FROM orders
         UNION ALL SELECT 'ranked', CAST(COUNT(*) FILTER (t > before) = 0 AS INT) FROM w UNION ALL SELECT 'ranking_turned', CAST(COUNT(*) FILTER (t > behind) = 0 AS INT) FROM w""",
     "large_number_comparison": """WITH c AS (SELECT COUNT(*) FILTER (event_id % 10 = 0 AND value <> 0) AS n FROM events)
         SELECT CAST(n = 0 AS INT) AS rows_match, n AS missing_rows, n AS extra_rows FROM c""",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.numbers import cell_key, is_numeric_type, numeric_value, round_half_up
+from tallyframe.operators.align import Colouring, alignments
+from tallyframe.operators.pairing import unpaired_keys
 
 SLACK = 1e-6
 
@@ -111,19 +113,27 @@ def column_digests(df: DataFrame, decimals: int = 2, columns: Sequence[str] | No
     return one.select(F.inline(rows))
 
 
-def column_facts(df: DataFrame, decimals: int = 2) -> tuple[int, dict[str, dict]]:
-    """Rows, and of each column its digest, numbers, other values, nulls and range: one aggregate, one row for the driver."""
+_FACTS = ("sum", "xor", "numbers", "other", "nulls", "low", "high")
+
+
+def _facts_row(df: DataFrame, decimals: int) -> DataFrame:
     wanted = [F.count("*").alias("rows")]
-    numbers = {f.name: numeric_value(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields}
-    for i, key in enumerate(_keys(df, df.columns, decimals)):
-        name = df.columns[i]
-        h, v, c = F.xxhash64(key), numbers[name], F.col(f"`{name}`")
+    for i, (f, key) in enumerate(zip(df.schema.fields, _keys(df, df.columns, decimals))):
+        h, v, c = F.xxhash64(key), numeric_value(F.col(f"`{f.name}`"), f.dataType), F.col(f"`{f.name}`")
         wanted += [
             F.sum(h.cast("decimal(20,0)")).alias(f"sum{i}"), F.bit_xor(h).alias(f"xor{i}"), F.count(v).alias(f"numbers{i}"),
             F.count_if(c.isNotNull() & v.isNull()).alias(f"other{i}"), F.count_if(c.isNull()).alias(f"nulls{i}"), F.min(v).alias(f"low{i}"), F.max(v).alias(f"high{i}")]
-    row = df.agg(*wanted).first()
-    names = ("sum", "xor", "numbers", "other", "nulls", "low", "high")
-    return row["rows"], {c: {k: row[f"{k}{i}"] for k in names} | {"typed": is_numeric_type(df.schema[c].dataType)} for i, c in enumerate(df.columns)}
+    return df.agg(*wanted).select("rows", F.array(*[F.struct(*[F.col(f"{k}{i}").alias(k) for k in _FACTS]) for i in range(len(df.columns))]).alias("facts"))
+
+
+def column_facts(*tables: DataFrame, decimals: int = 2) -> list[tuple[int, dict[str, dict]]]:
+    """For each table its rows, and of each column its digest, numbers, other values, nulls and range: one aggregate a table, all in
+    one job, and one row of each for the driver."""
+    rows = [_facts_row(df, decimals).withColumn("at", F.lit(i)) for i, df in enumerate(tables)]
+    found = {r["at"]: r for r in functools.reduce(DataFrame.union, rows).collect()}
+    return [
+        (found[i]["rows"], {f.name: fact.asDict() | {"typed": is_numeric_type(f.dataType)} for f, fact in zip(df.schema.fields, found[i]["facts"])})
+        for i, df in enumerate(tables)]
 
 
 def _is_number(fact: dict) -> bool:
@@ -147,30 +157,35 @@ def near_columns(expected: DataFrame, actual: DataFrame, pairs: Sequence[tuple[s
 
 
 def column_assignments(
-    expected: DataFrame, actual: DataFrame, columns: Sequence[str], spec: Comparison, facts: tuple[dict, dict] | None = None,
+    expected: DataFrame, actual: DataFrame, columns: Sequence[str], spec: Comparison, facts: tuple[dict, dict] | None = None, first: str | None = None,
 ) -> Iterator[dict[str, str]]:
     """Injective mappings of expected to actual columns that have the same values, or numbers within the tolerance.
 
-    One row per side reaches the driver. Under a tolerance a number column may stand for another if counts, ranges and then, where several
+    Without a tolerance, partition refinement gives mappings under which the rows agree (`align.alignments`), one for each column
+    that `first` can stand for. Under a tolerance a number column may stand for another if counts, ranges and then, where several
     are left, the sorted values agree, which one pass decides for all pairs; every other column has to have the same digest.
     """
-    left, right = facts or (column_facts(expected.select(*[f"`{c}`" for c in columns]), spec.decimals)[1], column_facts(actual, spec.decimals)[1])
-    same = lambda c, a: (left[c]["sum"], left[c]["xor"]) == (right[a]["sum"], right[a]["xor"])
-    if spec.tolerance > 0:
-        bound = spec.tolerance + 1e-9
-
-        def close(c: str, a: str) -> bool:
-            x, y = left[c], right[a]
-            if (x["numbers"], x["nulls"], x["other"]) != (y["numbers"], y["nulls"], y["other"]):
-                return False
-            return not x["numbers"] or abs(x["low"] - y["low"]) <= bound and abs(x["high"] - y["high"]) <= bound
-
-        maybe = [(c, a) for c in columns if _is_number(left[c]) for a in actual.columns if close(c, a)]
-        several = len({c for c, _ in maybe}) < len(maybe)  # else the check of the one assignment decides anyway
-        near = near_columns(expected, actual, maybe, spec.tolerance) if several else set(maybe)
-        options = {c: [a for a in actual.columns if ((c, a) in near if _is_number(left[c]) else same(c, a))] for c in columns}
+    if facts is None:
+        (_, left), (_, right) = column_facts(expected.select(*[f"`{c}`" for c in columns]), actual, decimals=spec.decimals)
     else:
-        options = {c: [a for a in actual.columns if same(c, a)] for c in columns}
+        left, right = facts
+    if spec.tolerance <= 0:
+        signs = [{c: (str(f["sum"]), f["xor"]) for c, f in side.items()} for side in (left, right)]
+        yield from alignments(expected.select(*[f"`{c}`" for c in columns]), actual, Colouring.of(*signs), spec.decimals, first)
+        return
+    same = lambda c, a: (left[c]["sum"], left[c]["xor"]) == (right[a]["sum"], right[a]["xor"])
+    bound = spec.tolerance + 1e-9
+
+    def close(c: str, a: str) -> bool:
+        x, y = left[c], right[a]
+        if (x["numbers"], x["nulls"], x["other"]) != (y["numbers"], y["nulls"], y["other"]):
+            return False
+        return not x["numbers"] or abs(x["low"] - y["low"]) <= bound and abs(x["high"] - y["high"]) <= bound
+
+    maybe = [(c, a) for c in columns if _is_number(left[c]) for a in actual.columns if close(c, a)]
+    several = len({c for c, _ in maybe}) < len(maybe)  # else the check of the one assignment decides anyway
+    near = near_columns(expected, actual, maybe, spec.tolerance) if several else set(maybe)
+    options = {c: [a for a in actual.columns if ((c, a) in near if _is_number(left[c]) else same(c, a))] for c in columns}
 
     def choose(i: int, used: tuple[str, ...]) -> Iterator[dict[str, str]]:
         if i == len(columns):
@@ -181,7 +196,7 @@ def column_assignments(
             if a not in used:
                 yield from choose(i + 1, (*used, a))
 
-    return choose(0, ())
+    yield from choose(0, ())
 
 
 def _ordered_batches(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -282,108 +297,42 @@ def tolerance_violations(
     return uneven.union(short).distinct()
 
 
-def _match_block(columns: Sequence[str], bound: float):
-    """Bipartite matching of one block: every row of one side must find its own partner."""
-
-    def matched(left: pd.DataFrame, right: pd.DataFrame) -> bool:
-        if len(left) != len(right):
-            return False
-        a, b = (np.nan_to_num(x[list(columns)].to_numpy(dtype=float), nan=np.inf) for x in (left, right))
-        order = np.argsort(b[:, 0], kind="stable")
-        b = b[order]
-        partner, taken = np.full(len(b), -1), np.full(len(a), -1)  # of the right rows, and of the left ones
-
-        def near(i: int) -> np.ndarray:
-            lo, hi = np.searchsorted(b[:, 0], [a[i, 0] - bound, a[i, 0] + bound], side="left")
-            hi = np.searchsorted(b[:, 0], a[i, 0] + bound, side="right")
-            window = b[lo:hi]
-            same = (window == a[i]) | (np.abs(window - a[i]) <= bound)
-            return lo + np.flatnonzero(same.all(axis=1))
-
-        for start in range(len(a)):
-            parent, queue, seen, end = {}, [start], set(), -1
-            while queue and end < 0:
-                i = queue.pop()
-                for j in near(i):
-                    if j in seen:
-                        continue
-                    seen.add(j)
-                    parent[j] = i
-                    if partner[j] < 0:
-                        end = j
-                        break
-                    queue.append(partner[j])
-            if end < 0:
-                return False
-            while True:
-                i = parent[end]
-                previous = int(taken[i])
-                partner[end], taken[i] = i, end
-                if i == start:
-                    break
-                end = previous
-        return True
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        with np.errstate(invalid="ignore"):
-            ok = matched(left, right)
-        key = (left if len(left) else right)["key"].iloc[0]
-        return pd.DataFrame({"key": [] if ok else [key]}, dtype=object)
-
-    return run
-
-
 def multi_tolerance_violations(
     expected: DataFrame, actual: DataFrame, keys: Sequence[str], values: Sequence[str], tolerance: float,
     mapping: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Exact keys whose rows cannot be paired with every number within the tolerance.
-
-    Rows of one key are cut into blocks that no pairing can cross: runs of occupied cells of
-    the first number, each cell as wide as the tolerance. Only one block at a time is matched.
-    """
+    """Exact keys whose rows cannot be paired with every number within the tolerance (`pairing.unpaired_keys`)."""
     mapping = mapping or {}
-    bound = tolerance + 1e-9
 
-    def side(df: DataFrame, rename) -> DataFrame:
+    def side(df: DataFrame, number: int, rename) -> DataFrame:
         key = F.to_json(F.array(*_keys(df, [rename(k) for k in keys], 2))) if keys else F.lit("")
         numbers = [numeric_value(F.col(f"`{rename(v)}`"), df.schema[rename(v)].dataType).alias(f"v{i}") for i, v in enumerate(values)]
-        laid = df.select(key.alias("key"), *numbers)
-        return laid.withColumn("cell", F.floor(F.col("v0") / bound))
-
-    left, right = side(expected, lambda c: c), side(actual, lambda c: mapping.get(c, c))
-    cells = left.select("key", "cell").union(right.select("key", "cell")).distinct()
-    order = W.partitionBy("key").orderBy("cell")
-    blocks = cells.select(
-        F.col("key").alias("block_key"), F.col("cell").alias("block_cell"),
-        (F.col("cell") - F.row_number().over(order)).alias("block"))
-    same = (F.col("key") == F.col("block_key")) & F.col("cell").eqNullSafe(F.col("block_cell"))
-    named = [f"v{i}" for i in range(len(values))]
-    placed = [d.join(blocks, same).select("key", F.coalesce("block", F.lit(-(2**62))).alias("block"), *named) for d in (left, right)]
-    return (
-        placed[0].groupBy("key", "block").cogroup(placed[1].groupBy("key", "block"))
-        .applyInPandas(_match_block(named, bound), "key string").distinct()
-    )
+        return df.select(key.alias("key"), F.lit(number).alias("side"), *numbers)
+
+    rows = side(expected, 0, lambda c: c).union(side(actual, 1, lambda c: mapping.get(c, c)))
+    return unpaired_keys(rows, [f"v{i}" for i in range(len(values))], tolerance + 1e-9)
 
 
 def compare_results(expected: DataFrame, actual: DataFrame, spec: Comparison, rank: str | None = None) -> bool:
     """Do two results agree by value? Column names, row order and extra columns do not matter.
 
-    Only one row of facts a side and verdicts reach the driver: two aggregates, one pass over column pairs under a tolerance,
-    and a check for each assignment that these leave, which is one unless columns hold the same values.
+    Only one row of facts a side and verdicts reach the driver. Without a tolerance a few rounds of refinement align the columns
+    and one exact check of the rows follows. Under a tolerance it is one pass over column pairs and a check for each assignment
+    that it leaves, which is one unless columns hold the same values.
     """
     columns = list(spec.compare_columns or [c for c in expected.columns if c != rank])
     shown = actual.drop(rank) if rank else actual
     if len(shown.columns) < len(columns):
         return False
-    (rows, left), (others, right) = (column_facts(df, spec.decimals) for df in (expected.select(*[f"`{c}`" for c in columns]), shown))
+    (rows, left), (others, right) = column_facts(expected.select(*[f"`{c}`" for c in columns]), shown, decimals=spec.decimals)
     if rows != others:
         return False
     if rows == 0:
         return True
     numbers = [c for c in columns if _is_number(left[c])]
     primary = (spec.value_columns or tuple(numbers) or (None,))[0]
-    for mapping in column_assignments(expected, shown, columns, spec, (left, right)):
+    ranked = spec.mode == "ranked" and primary is not None
+    for mapping in column_assignments(expected, shown, columns, spec, (left, right), primary if ranked else None):
         if spec.tolerance > 0 and numbers:
             exact = [c for c in columns if c not in numbers]
             check = tolerance_violations if len(numbers) == 1 else multi_tolerance_violations
@@ -393,7 +342,7 @@ def compare_results(expected: DataFrame, actual: DataFrame, spec: Comparison, ra
             same = difference_rows(expected, actual, columns, mapping, spec.decimals).isEmpty()
         if not same:
             continue
-        if spec.mode != "ranked" or primary is None:
+        if not ranked:
             return True
         if rank is None:
             raise ValueError("a ranked comparison needs the name of the rank column")

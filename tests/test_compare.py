@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import compare as C
+from tallyframe.operators.pairing import candidate_pairs, unpaired_keys
 from tallyframe.operators.quality import SignalChecks, check_failures, verify_results
 
 
@@ -92,6 +93,42 @@ def test_tolerance_against_brute_force(spark, width):
         assert {r.key for r in single.collect()} == expected
 
 
+@pytest.mark.parametrize("block_pairs", [0, 6, 100_000])
+def test_pairing_over_the_cluster(spark, block_pairs):
+    """Blocks in one task and blocks by augmenting rounds give what trying all pairings gives; equal rows count as often as they are."""
+    rng = random.Random(31)
+    rows, want = [], set()
+    for key in range(14):
+        a = [(rng.randint(0, 4) * 0.8, rng.choice([0.0, 0.5, None])) for _ in range(rng.randint(1, 6))]
+        b = [(x + rng.choice([-0.8, 0, 0.8, 0.9]), y if y is None else y + rng.choice([0, 0.4])) for x, y in rng.sample(a, len(a))]
+        if key == 3:
+            b.pop()
+        rows += [(f"k{key}", 0, *r) for r in a] + [(f"k{key}", 1, *r) for r in b]
+        if not brute(a, b, 1.0):
+            want.add(f"k{key}")
+    table = spark.createDataFrame(rows, "key string, side int, v0 double, v1 double")
+    got = unpaired_keys(table, ["v0", "v1"], 1.0 + 1e-9, block_pairs=block_pairs)
+    assert sorted(r.key for r in got.collect()) == sorted(want) and 0 < len(want) < 14
+    assert unpaired_keys(table.limit(0), ["v0", "v1"], 1.0).count() == 0
+
+
+def test_a_chain_needs_long_ways(spark):
+    """Left rows 0.9 apart, right rows shifted: with one more at the end only the way through the whole chain pairs all."""
+    def chain(n, shift):
+        return spark.createDataFrame([("k", 0, 0.9 * i, 0.0) for i in range(n)] + [("k", 1, 0.9 * (i + shift), 0.0) for i in range(n)], "key string, side int, v0 double, v1 double")
+    assert unpaired_keys(chain(12, 1), ["v0", "v1"], 1.0, block_pairs=0).isEmpty()
+    assert [r.key for r in unpaired_keys(chain(12, 2), ["v0", "v1"], 1.0, block_pairs=0).collect()] == ["k"]
+
+
+def test_a_dense_key_spreads(spark):
+    """One key, rows that all hang together: no task gets most of them."""
+    left = spark.range(20_000).select(F.lit("k").alias("key"), F.lit(0).alias("side"), (F.col("id") * 0.5).alias("v0"), F.lit(0.0).alias("v1"))
+    nodes = left.union(left.withColumn("side", F.lit(1))).withColumn("units", F.lit(1)).withColumn("id", F.monotonically_increasing_id())
+    joined = candidate_pairs(nodes, ["v0", "v1"], 1.0).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in joined) > 90_000 and max(r["count"] for r in joined) < 40_000
+    assert unpaired_keys(left.union(left.withColumn("side", F.lit(1)).withColumn("v0", F.col("v0") + 0.4)), ["v0", "v1"], 1.0).isEmpty()
+
+
 def test_tolerance_comparison(spark):
     spec = C.Comparison(tolerance=1.0)
     gold = frame(spark, [("a", 100.5)])
@@ -129,6 +166,66 @@ def test_tolerance_tells_similar_columns_apart(spark):
     assert not C.compare_results(left, right.withColumn("y", F.col("y") + F.when(F.col("y") > 19, 0.0).otherwise(0.9) * (F.col("y") > 18).cast("int")), C.Comparison(tolerance=0.05))
 
 
+def jobs(spark, name, run):
+    spark.sparkContext.setJobGroup(name, "")
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_eight_columns_with_the_same_values(spark):
+    """All columns hold 0 to 39 in other orders: a few jobs say that no mapping exists, and find the one that does."""
+    rng = random.Random(5)
+    columns = [rng.sample(range(40), 40) for _ in range(8)]
+    rows = list(zip(*columns))
+    names = [f"c{i}" for i in range(8)]
+    gold = spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names))
+    order = rng.sample(range(8), 8)
+    other = [tuple(r[i] for i in order) for r in rows]
+    swapped = [list(r) for r in other]
+    swapped[3][2], swapped[9][2] = swapped[9][2], swapped[3][2]
+    schema = ", ".join(f"x{i} int" for i in range(8))
+    for case, table, want in (("same", other, True), ("swapped", [tuple(r) for r in swapped], False)):
+        got, n = jobs(spark, f"eight-{case}", lambda table=table: C.compare_results(gold, spark.createDataFrame(table, schema), C.Comparison()))
+        assert got is want and n < 12, (case, n)
+    found = list(C.column_assignments(gold, spark.createDataFrame(other, schema), names, C.Comparison()))
+    assert found == [{f"c{order[i]}": f"x{i}" for i in range(8)}]
+
+
+def test_alignment_against_brute_force(spark):
+    """Few values, equal columns, columns beyond the expected ones, and every mapping tried."""
+    rng = random.Random(12)
+    seen = set()
+    for case in range(14):
+        n, width, extra = rng.randint(1, 5), rng.randint(1, 4), rng.randint(0, 1)
+        rows = [tuple(rng.randint(0, 1 + case % 2) for _ in range(width)) for _ in range(n)]
+        if case % 3 == 0:
+            rows = [(*r[:-1], r[0]) for r in rows]
+        order = rng.sample(range(width), width)
+        other = [[r[i] for i in order] + [rng.randint(0, 1) for _ in range(extra)] for r in rng.sample(rows, n)]
+        if case % 2:
+            other[0][0], other[-1][0] = other[-1][0], other[0][0]
+        want = any(sorted(tuple(r[i] for i in p) for r in other) == sorted(rows) for p in itertools.permutations(range(width + extra), width))
+        a = spark.createDataFrame(rows, ", ".join(f"c{i} int" for i in range(width)))
+        b = spark.createDataFrame([tuple(r) for r in other], ", ".join(f"x{i} int" for i in range(width + extra)))
+        assert C.compare_results(a, b, C.Comparison()) is want, (rows, other)
+        seen.add(want)
+    assert seen == {True, False}
+
+
+def test_symmetric_columns_are_parted_by_trial(spark):
+    """Each column is the other's mirror, so digests of columns never differ; the ranked column may be either."""
+    rows = [(0, 1, 5.0, 5.0), (1, 0, 5.0, 5.0), (2, 2, 1.0, 1.0)]
+    a = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "place int, u int, v int, t double, w double")
+    b = a.select("place", F.col("v").alias("p"), F.col("w").alias("q"), F.col("u").alias("r"), F.col("t").alias("s"))
+    assert C.compare_results(a, b, C.Comparison.of({"mode": "ranked", "value_columns": ["t"]}), rank="place")
+    firsts = [m["t"] for m in C.column_assignments(a.drop("place"), b.drop("place"), ["u", "v", "t", "w"], C.Comparison(), first="t")]
+    assert sorted(firsts) == ["q", "s"]
+    broken = b.withColumn("s", F.when(F.col("place") == 0, 1.0).when(F.col("place") == 2, 5.0).otherwise(F.col("s")))
+    assert not C.compare_results(a, broken, C.Comparison.of({"mode": "ranked", "value_columns": ["t"]}), rank="place")
+
+
 def test_strict(spark):
     a = frame(spark, GOLD)
     assert C.strict_equal(a, a.select(F.col("total").alias("TOTAL"), F.col("name").alias("Name"))).first()["rows_match"]
