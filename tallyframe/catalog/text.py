@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyframe.catalog import sqltools as S
 from tallyframe.catalog.questions import QUESTIONS_SQL, questions
 from tallyframe.functions.words import normalize_tokens, singular, split_words, token_variants
-from tallyframe.operators.matching import Matcher, question_context
+from tallyframe.operators.matching import Matcher, nearest_examples, once_per_text, question_context
 from tallyframe.operators.paths import shortest_paths
 from tallyframe.operators.prefixes import estimate_tokens, prefix_groups
 from tallyframe.plans.retail_layer import COLUMN_COMMENTS, DESCRIPTIONS, EXAMPLES, RETAIL_CATALOGUE, RETAIL_LAYER
@@ -68,7 +68,16 @@ def normalized_questions(spark, d):
 
 
 def _planned(spark, d):
-    return _matcher().plan(question_context(questions(spark, d)))
+    return once_per_text(questions(spark, d), "text", lambda texts: _matcher().plan(question_context(texts)))
+
+
+def _scored(spark, d):
+    m = _matcher()
+    return once_per_text(questions(spark, d), "text", lambda texts: m.score_tables(m.plan(question_context(texts))))
+
+
+def _retrieved(spark, d):
+    return once_per_text(questions(spark, d), "text", _matcher().retrieve)
 
 
 def semantic_matches(spark, d):
@@ -89,35 +98,46 @@ def clarification_matches(spark, d):
 
 
 def lexical_table_scores(spark, d):
-    scored = _matcher().score_tables(_planned(spark, d))
-    return scored.select("question_id", F.inline_outer("table_scores")).filter(F.col("lexical") > 0).select(
+    return _scored(spark, d).select("question_id", F.inline_outer("table_scores")).filter(F.col("lexical") > 0).select(
         "question_id", F.col("name").alias("table_name"), F.col("lexical").cast("bigint").alias("lexical"))
 
 
 def semantic_table_boosts(spark, d):
-    scored = _matcher().score_tables(_planned(spark, d))
-    return scored.select("question_id", F.inline_outer("table_scores")).filter(F.col("semantic") > 0).select(
+    return _scored(spark, d).select("question_id", F.inline_outer("table_scores")).filter(F.col("semantic") > 0).select(
         "question_id", F.col("name").alias("table_name"), F.col("semantic").cast("bigint").alias("semantic"))
 
 
 def retrieved_tables(spark, d):
     """Top four tables, then the required ones, per question."""
-    return _matcher().retrieve(questions(spark, d)).select("question_id", F.array_join("selected", "|").alias("selected"))
+    return _retrieved(spark, d).select("question_id", F.array_join("selected", "|").alias("selected"))
 
 
 def connector_tables(spark, d):
     """Tables that lie on the shortest foreign-key path between two selected tables."""
-    return _matcher().retrieve(questions(spark, d)).select(
+    return _retrieved(spark, d).select(
         "question_id", F.explode_outer("connectors").alias("connector")).filter("connector IS NOT NULL")
 
 
+def _examples(found):
+    return found.select("question_id", F.posexplode_outer("examples").alias("p", "e")).filter("p IS NOT NULL").select(
+        "question_id", (F.col("p") + 1).cast("bigint").alias("position"), F.col("e.question").alias("example"))
+
+
 def similar_examples(spark, d):
-    return (
-        _matcher().examples_for(question_context(questions(spark, d)))
-        .select("question_id", F.posexplode_outer("examples").alias("p", "e"))
-        .filter("p IS NOT NULL")
-        .select("question_id", (F.col("p") + 1).cast("bigint").alias("position"), F.col("e.question").alias("example"))
-    )
+    return _examples(once_per_text(questions(spark, d), "text", lambda texts: _matcher().examples_for(question_context(texts))))
+
+
+def stored_examples(spark, d):
+    """A question for each order's customer and month, with the tables that answer it."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    asked = F.concat(F.lit("Backlog of customer "), F.col("o_custkey").cast("string"), F.lit(" from "), F.date_format("o_orderdate", "MMMM yyyy"))
+    return o.select(asked.alias("question"), F.array(F.lit("SalesDocument"), F.lit("Customer")).alias("tables"))
+
+
+def similar_stored_examples(spark, d):
+    """The nearest two of as many stored questions as there are orders."""
+    store = stored_examples(spark, d)
+    return _examples(once_per_text(questions(spark, d), "text", lambda texts: nearest_examples(question_context(texts), store)))
 
 
 def region_paths(spark, d):
@@ -149,7 +169,7 @@ QUERIES = {
     for f in (
         document_words, document_tokens, singular_forms, inflection_variants, month_phrases, normalized_questions,
         semantic_matches, clarification_matches, lexical_table_scores, semantic_table_boosts, retrieved_tables,
-        connector_tables, similar_examples, region_paths, document_token_estimates, prompt_prefix_groups,
+        connector_tables, similar_examples, similar_stored_examples, region_paths, document_token_estimates, prompt_prefix_groups,
     )
 }
 
@@ -284,6 +304,11 @@ ORACLES = {
         s AS (SELECT tid, example, COUNT(*) AS shared FROM qt JOIN et USING (token) JOIN e USING (eid) GROUP BY tid, example),
         r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY tid ORDER BY shared DESC, example) AS position FROM s)
         SELECT question_id, position, example FROM questions JOIN q USING (text) JOIN r USING (tid) WHERE position <= 2""",
+    "similar_stored_examples": f"""WITH {_CONTEXT}, ex AS (SELECT DISTINCT 'Backlog of customer ' || o_custkey || ' from ' || STRFTIME(o_orderdate, '%B %Y') AS example FROM orders),
+        e AS (SELECT *, ROW_NUMBER() OVER () AS eid FROM ex), et AS ({S.tokens_of('e', 'eid', 'example')}),
+        s AS (SELECT tid, eid, COUNT(*) AS shared FROM qt JOIN et USING (token) GROUP BY tid, eid),
+        r AS (SELECT tid, example, ROW_NUMBER() OVER (PARTITION BY tid ORDER BY shared DESC, example) AS position FROM s JOIN e USING (eid))
+        SELECT question_id, position, example FROM questions JOIN q USING (text) JOIN r USING (tid) WHERE position <= 2""",
     "region_paths": """WITH RECURSIVE e AS (
             SELECT 'C' || LPAD(CAST(c_custkey AS VARCHAR), 12, '0') AS a, 'N' || LPAD(CAST(c_nationkey AS VARCHAR), 12, '0') AS b FROM customer
             UNION ALL SELECT 'S' || LPAD(CAST(s_suppkey AS VARCHAR), 12, '0'), 'N' || LPAD(CAST(s_nationkey AS VARCHAR), 12, '0') FROM supplier

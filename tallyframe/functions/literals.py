@@ -8,10 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-class Weights(dict):
-    """A constant map from text to whole number."""
-
-
 def _type(value) -> str:
     if isinstance(value, bool):
         return "boolean"
@@ -19,8 +15,6 @@ def _type(value) -> str:
         return "int"
     if isinstance(value, float):
         return "double"
-    if isinstance(value, Weights):
-        return "map<string,int>"
     if isinstance(value, dict):
         return "struct<" + ",".join(f"{k}:{_type(v)}" for k, v in value.items()) + ">"
     if isinstance(value, (list, tuple)):
@@ -31,7 +25,7 @@ def _type(value) -> str:
 def constant(value) -> Column:
     """A nested constant (text, numbers, lists, dicts as structs). The optimizer folds it once."""
     kind = _type(value)
-    if not isinstance(value, Weights) and not isinstance(value, (list, dict)):
+    if not isinstance(value, (list, dict)):
         return F.lit(value)
     return F.from_json(F.lit(json.dumps(value)), kind)
 

@@ -1,20 +1,21 @@
 """Dictionary matching and table retrieval over a table of texts.
 
-The dictionary is a table that the tokens of the texts are joined with; it has no size limit. The
-catalogue of tables and the stored examples are configuration, held as folded constants.
+The dictionary, the catalogue of tables and the stored examples are tables that the tokens of the texts are joined with; they have
+no size limit. Rows that have the same tokens are matched once.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyframe.functions.dates import month_references, normalize_months
-from tallyframe.functions.literals import Weights, constant, let
+from tallyframe.functions.literals import constant, let
 from tallyframe.functions.words import normalize_tokens, split_words, token_variants, variant_set
 from tallyframe.operators.paths import shortest_paths
 from tallyframe.sources.semantic import Catalogue, SemanticLayer, unique
@@ -182,17 +183,18 @@ class Matcher:
         )
         return df.withColumn("join_hints", hints)
 
-    def score_tables(self, df: DataFrame) -> DataFrame:
-        """Add ``table_scores``: lexical + semantic score of every catalogue table, best first."""
-        weighted = []
-        for t in self.catalogue.tables:
-            per: dict[str, int] = {}
-            for field, text in self._fields(t).items():
-                for token in self._lex[text][1]:
-                    per[token] = per.get(token, 0) + FIELD_WEIGHTS[field]
-            weighted.append({"name": t.name, "weights": Weights(per)})
-        catalogue = constant(weighted)
+    def postings(self, spark: SparkSession) -> DataFrame:
+        """token, table, weight: what each token of a table's fields adds to its score."""
+        fields = [(t.name, FIELD_WEIGHTS[field], text) for t in self.catalogue.tables for field, text in self._fields(t).items()]
+        rows = spark.createDataFrame(fields, "table string, weight int, text string")
+        return rows.select("table", "weight", F.explode(normalize_tokens(F.col("text"))).alias("token")).groupBy("token", "table").agg(F.sum("weight").cast("int").alias("weight"))
 
+    def score_tables(self, df: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+        """Add ``table_scores``: lexical + semantic score of each catalogue table that has any, best first.
+
+        ``postings`` (token, table, weight) may be any table; by default it is made from the catalogue. Tokens and boosts are joined
+        with it once for each distinct set of them.
+        """
         def boost(column: str, kind: str) -> Column:
             base, step = BOOSTS[kind]
             return F.flatten(F.transform(column, lambda e: F.transform(e["tables"], lambda t: F.struct(
@@ -202,23 +204,17 @@ class Matcher:
             t.alias("table"), F.lit(BOOSTS["join"]).alias("points")))))
         df = df.withColumn(
             "boosts", F.concat(boost("entities", "entity"), boost("metrics", "metric"), boost("filters", "filter"), joins)
-        )
-
-        def scored(t: Column, ctx: Column) -> Column:
-            lexical = F.aggregate(
-                ctx["tokens"], F.lit(0), lambda a, k: a + F.coalesce(F.try_element_at(t["weights"], k), F.lit(0))
-            )
-            semantic = F.aggregate(
-                ctx["boosts"], F.lit(0), lambda a, b: a + F.when(b["table"] == t["name"], b["points"]).otherwise(0)
-            )
-            return let(F.struct(lexical.alias("l"), semantic.alias("s")), lambda v: F.struct(
-                (-(v["l"] + v["s"])).alias("negated"), t["name"].alias("name"),
-                v["l"].alias("lexical"), v["s"].alias("semantic")))
-
-        known = F.array_distinct(F.flatten(F.transform(catalogue, lambda t: F.map_keys(t["weights"]))))
-        context = F.struct(F.array_intersect("tokens", known).alias("tokens"), F.col("boosts").alias("boosts"))
-        scores = let(context, lambda ctx: F.array_sort(F.transform(catalogue, lambda t: scored(t, ctx))))
-        return df.withColumn("table_scores", scores)
+        ).withColumn("context", F.sha2(F.to_json(F.struct(F.array_sort("tokens").alias("t"), F.array_sort("boosts").alias("b"))), 256))
+        contexts = df.groupBy("context").agg(F.any_value("tokens").alias("tokens"), F.any_value("boosts").alias("boosts"))
+        postings = self.postings(df.sparkSession) if postings is None else postings
+        lexical = contexts.select("context", F.explode(F.array_distinct("tokens")).alias("token")).join(postings, "token").select(
+            "context", "table", F.col("weight").alias("lexical"), F.lit(0).alias("semantic"))
+        semantic = contexts.select("context", F.inline("boosts")).select("context", "table", F.lit(0).alias("lexical"), F.col("points").alias("semantic"))
+        sums = lexical.union(semantic).groupBy("context", "table").agg(F.sum("lexical").cast("int").alias("lexical"), F.sum("semantic").cast("int").alias("semantic"))
+        entry = F.struct((-(F.col("lexical") + F.col("semantic"))).alias("negated"), F.col("table").alias("name"), "lexical", "semantic")
+        scores = sums.groupBy("context").agg(F.array_sort(F.collect_list(entry)).alias("table_scores"))
+        none = F.expr("cast(array() as array<struct<negated:int,name:string,lexical:int,semantic:int>>)")
+        return df.join(scores, "context", "left").withColumn("table_scores", F.coalesce("table_scores", none)).drop("context")
 
     def retrieve(self, df: DataFrame, max_tables: int = 4, max_hops: int = 3) -> DataFrame:
         """Add ``selected`` (top tables, then required ones) and ``connectors`` between them."""
@@ -249,13 +245,9 @@ class Matcher:
         return F.array_except(F.array_distinct(inner), selected)
 
     def examples_for(self, df: DataFrame, limit: int = 2, min_score: int = 1) -> DataFrame:
-        """Add ``examples``: the stored questions that share most tokens."""
-        stored = constant([{"question": q, "tokens": self._lex[q][1], "tables": list(t)} for q, t in self.examples])
-        scored = let(F.col("tokens"), lambda tokens: F.transform(stored, lambda e: F.struct(
-            (-F.size(F.array_intersect(tokens, e["tokens"]))).alias("negated"),
-            e["question"].alias("question"), e["tables"].alias("tables"))))
-        kept = F.filter(F.array_sort(scored), lambda s: -s["negated"] >= min_score)
-        return df.withColumn("examples", F.slice(kept, 1, limit))
+        """Add ``examples``: the configured questions that share most tokens."""
+        stored = df.sparkSession.createDataFrame([(q, list(t)) for q, t in self.examples], "question string, tables array<string>")
+        return nearest_examples(df, stored, limit, min_score)
 
 
 @functools.cache
@@ -268,3 +260,34 @@ def _catalogue_paths(catalogue: Catalogue, max_hops: int) -> dict[str, list[str]
     tables = spark.createDataFrame([(n,) for n in sorted({n for e in catalogue.edges for n in e})], "table string")
     rows = shortest_paths(edges, tables, max_hops).filter(F.size("path") > 2).collect()
     return {f"{r.src}>{r.dst}": r.path[1:-1] for r in rows}
+
+
+def nearest_examples(df: DataFrame, stored: DataFrame, limit: int = 2, min_score: int = 1) -> DataFrame:
+    """Add ``examples``: of the stored questions (question, tables) the ``limit`` that share most tokens with each row's ``tokens``,
+    ties by question.
+
+    Stored questions with the same tokens share one score, so of each token set only the first ``limit`` are kept. Sets meet rows
+    over token postings, once for each distinct token set of the rows; the best of each are kept before they are shuffled.
+    """
+    named = lambda tokens: F.sha2(F.array_join(F.array_sort(tokens), " "), 256)
+    first = lambda keys, *order: W.partitionBy(*keys).orderBy(*order)
+    sets = stored.select("question", "tables", F.array_distinct(normalize_tokens(F.col("question"))).alias("own")).withColumn("set", named("own"))
+    kept = sets.dropDuplicates(["question"]).withColumn("n", F.row_number().over(first(["set"], "question"))).where(F.col("n") <= limit)
+    postings = sets.groupBy("set").agg(F.any_value("own").alias("own")).select("set", F.explode("own").alias("token"))
+    rows = df.withColumn("context", named("tokens"))
+    contexts = rows.groupBy("context").agg(F.any_value("tokens").alias("tokens")).select("context", F.explode(F.array_distinct("tokens")).alias("token"))
+    shared = contexts.join(postings, "token").groupBy("context", "set").agg(F.count("*").cast("int").alias("shared")).where(F.col("shared") >= min_score)
+    # a set counts at least as much as its first question, so sets beyond the limit can't be among the best
+    lead = kept.where("n = 1").select("set", F.col("question").alias("lead"))
+    best = shared.join(lead, "set").withColumn("n", F.row_number().over(first(["context"], F.desc("shared"), "lead"))).where(F.col("n") <= limit).drop("n", "lead")
+    ranked = best.join(kept.drop("n", "own"), "set").withColumn("n", F.row_number().over(first(["context"], F.desc("shared"), "question"))).where(F.col("n") <= limit)
+    entry = F.struct((-F.col("shared")).alias("negated"), "question", "tables")
+    found = ranked.groupBy("context").agg(F.array_sort(F.collect_list(entry)).alias("examples"))
+    none = F.expr("cast(array() as array<struct<negated:int,question:string,tables:array<string>>>)")
+    return rows.join(found, "context", "left").withColumn("examples", F.coalesce("examples", none)).drop("context")
+
+
+def once_per_text(df: DataFrame, text: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` applied to the distinct texts, and its columns joined back to every row that has the text; a null text keeps its row."""
+    known = work(df.select(text).where(F.col(text).isNotNull()).distinct())
+    return df.join(known, text, "left")
