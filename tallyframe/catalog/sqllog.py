@@ -59,8 +59,8 @@ def sql_log(spark, d):
     )
 
 
-def _audited(spark, d, first_only=False):
-    return sqlaudit.audit(sql_log(spark, d), REGISTRY, metrics="metrics", candidates="candidates", declared="declared_tables", first_only=first_only)
+def _audited(spark, d):
+    return sqlaudit.audit_by_template(sql_log(spark, d), REGISTRY, metrics="metrics", candidates="candidates", declared="declared_tables")
 
 
 def stripped_sql(spark, d):
@@ -89,12 +89,12 @@ def disallowed_columns(spark, d):
 
 
 def first_issues(spark, d):
-    return _audited(spark, d, first_only=True).select("query_id", F.coalesce("first_issue", F.lit("ok")).alias("first_issue"))
+    return _audited(spark, d).select("query_id", F.coalesce("first_issue", F.lit("ok")).alias("first_issue"))
 
 
 def error_headlines(spark, d):
     kind = sqlaudit.headline_class(F.col("first_issue")).alias("headline")
-    return _audited(spark, d, first_only=True).groupBy(kind).agg(F.count("*").alias("queries"))
+    return _audited(spark, d).groupBy(kind).agg(F.count("*").alias("queries"))
 
 
 QUERIES = {

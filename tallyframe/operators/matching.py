@@ -18,6 +18,7 @@ from tallyframe.functions.dates import month_references, normalize_months
 from tallyframe.functions.literals import constant, let
 from tallyframe.functions.words import normalize_tokens, split_words, token_variants, variant_set
 from tallyframe.operators.paths import shortest_paths
+from tallyframe.shared import written
 from tallyframe.sources.semantic import Catalogue, SemanticLayer, unique
 
 # Weights of a token by where it occurs, and boosts by what was recognised.
@@ -266,25 +267,42 @@ def nearest_examples(df: DataFrame, stored: DataFrame, limit: int = 2, min_score
     """Add ``examples``: of the stored questions (question, tables) the ``limit`` that share most tokens with each row's ``tokens``,
     ties by question.
 
-    Stored questions with the same tokens share one score, so of each token set only the first ``limit`` are kept. Sets meet rows
-    over token postings, once for each distinct token set of the rows; the best of each are kept before they are shuffled.
+    Stored questions with the same tokens share one score, so of each token set only the first ``limit`` are kept. Distinct token
+    sets of the rows look up sets by their rarest stored token first, then by twice as many tokens a round: a set that holds none
+    of the tokens looked up shares at most those left over, so a row is done once its ``limit`` best share more than that. Rows with
+    none left are done with all of them. The best of each are kept before they are shuffled.
     """
     named = lambda tokens: F.sha2(F.array_join(F.array_sort(tokens), " "), 256)
     first = lambda keys, *order: W.partitionBy(*keys).orderBy(*order)
     sets = stored.select("question", "tables", F.array_distinct(normalize_tokens(F.col("question"))).alias("own")).withColumn("set", named("own"))
-    kept = sets.dropDuplicates(["question"]).withColumn("n", F.row_number().over(first(["set"], "question"))).where(F.col("n") <= limit)
-    postings = sets.groupBy("set").agg(F.any_value("own").alias("own")).select("set", F.explode("own").alias("token"))
+    kept = written(sets.dropDuplicates(["question"]).withColumn("n", F.row_number().over(first(["set"], "question"))).where(F.col("n") <= limit))
+    # a set counts by its first question, so sets beyond the limit can't be among the best
+    postings = written(kept.where("n = 1").select(F.explode("own").alias("token"), "set", "own", F.col("question").alias("lead")))
+    counts = postings.groupBy("token").agg(F.count("*").alias("stored"))
     rows = df.withColumn("context", named("tokens"))
     contexts = rows.groupBy("context").agg(F.any_value("tokens").alias("tokens")).select("context", F.explode(F.array_distinct("tokens")).alias("token"))
-    shared = contexts.join(postings, "token").groupBy("context", "set").agg(F.count("*").cast("int").alias("shared")).where(F.col("shared") >= min_score)
-    # a set counts at least as much as its first question, so sets beyond the limit can't be among the best
-    lead = kept.where("n = 1").select("set", F.col("question").alias("lead"))
-    best = shared.join(lead, "set").withColumn("n", F.row_number().over(first(["context"], F.desc("shared"), "lead"))).where(F.col("n") <= limit).drop("n", "lead")
-    ranked = best.join(kept.drop("n", "own"), "set").withColumn("n", F.row_number().over(first(["context"], F.desc("shared"), "question"))).where(F.col("n") <= limit)
+    by_rarity = F.array_sort(F.collect_list(F.struct("stored", "token")))
+    live = written(contexts.join(counts, "token").groupBy("context").agg(by_rarity.alias("cells")).select("context", F.col("cells.token").alias("tokens")))
+    looked_up, done = 1, []
+    while not live.isEmpty():
+        probes = live.select("context", "tokens", F.explode(F.slice("tokens", 1, looked_up)).alias("token")).join(postings, "token")
+        if looked_up > 1:
+            probes = probes.dropDuplicates(["context", "set"])
+        scored = probes.select("context", "set", "lead", F.size(F.array_intersect("tokens", "own")).alias("shared"), (F.size("tokens") - looked_up).alias("left_over"))
+        best = written(scored.withColumn("n", F.row_number().over(first(["context"], F.desc("shared"), "lead"))).where(F.col("n") <= limit))
+        settled = written(best.groupBy("context").agg(F.when(F.count("*") == limit, F.min("shared")).otherwise(0).alias("least"), F.any_value("left_over").alias("left_over")).where(
+            "left_over <= 0 OR least > left_over").select("context"))
+        done.append(best.join(settled, "context", "left_semi").select("context", "set", "shared"))
+        live = written(live.join(settled, "context", "left_anti"))
+        looked_up *= 2
+    if not done:
+        return rows.drop("context").withColumn("examples", F.expr("cast(array() as array<struct<negated:int,question:string,tables:array<string>>>)"))
+    found = functools.reduce(DataFrame.union, done).where(F.col("shared") >= min_score).join(kept.drop("n", "own"), "set")
+    ranked = found.withColumn("n", F.row_number().over(first(["context"], F.desc("shared"), "question"))).where(F.col("n") <= limit)
     entry = F.struct((-F.col("shared")).alias("negated"), "question", "tables")
-    found = ranked.groupBy("context").agg(F.array_sort(F.collect_list(entry)).alias("examples"))
+    listed = ranked.groupBy("context").agg(F.array_sort(F.collect_list(entry)).alias("examples"))
     none = F.expr("cast(array() as array<struct<negated:int,question:string,tables:array<string>>>)")
-    return rows.join(found, "context", "left").withColumn("examples", F.coalesce("examples", none)).drop("context")
+    return rows.join(listed, "context", "left").withColumn("examples", F.coalesce("examples", none)).drop("context")
 
 
 def once_per_text(df: DataFrame, text: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Only where the session names no spark.checkpoint.dir, as in local tests.
+#: Only under a local master that names no spark.checkpoint.dir, as in tests.
 LOCAL_FOLDER = "/tmp/checkpoints"
 #: While a table is written: shuffle files go when it is there, and rows reach Python in small batches, as texts may be long.
 _WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
@@ -26,8 +27,11 @@ def reach_workers(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession, name: str = "table") -> str:
-    """A new path below spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER
+    """A new path below spark.checkpoint.dir. A machine's own folder will do for a local master only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or LOCAL_FOLDER
     return f"{base.rstrip('/')}/tallyframe-{name}-{uuid.uuid4().hex}"
 
 

@@ -107,3 +107,24 @@ def test_disallowed_columns_match_whole_words(spark):
     ("Only read-only SQL is allowed.", "unsafe_query"), ('SQL references table "x" which is outside the allowed table set.', "invalid_query"), ("boom", "unanswered")])
 def test_headlines(spark, message, kind):
     assert one(spark, A.headline_class(F.col("sql")), message) == kind
+
+
+def test_templates_give_what_statements_give(spark):
+    """Numbers in every place: names, strings, comments, decimals, lists of ids, functions, fences."""
+    registry = A.Registry(
+        {"Product": ["ProductId", "Name2"], "Sale": ["SaleId", "ProductId", "Net"], "T2": ["C3"]}, [("Sale", "ProductId", "Product", "ProductId")],
+        {"net_sales": ["Sale.Net"]})
+    bodies = [
+        "SELECT Name2 FROM Product WHERE ProductId = {n}", "SELECT C{n} FROM T2 WHERE C3 > {n}.5", "SELECT x.C3 FROM T{n} x", "SELECT SLEEP({n})", "SELECT {n}; SELECT 2 FROM T2",
+        "SELECT Net FROM Sale s JOIN Product p ON s.ProductId = p.ProductId WHERE p.ProductId IN ({n}, 7,{n}) -- {n} FROM T9", "```sql\nSELECT '{n} FROM T{n}', \"{n}\" FROM Product\n```",
+        "SELECT 1e{n}, Name{n} FROM Product LIMIT {n}", "SELECT Net FROM Sale JOIN Product ON Sale.SaleId = Product.ProductId AND Sale.Net={n}", "", "DELETE FROM T2 WHERE C3 = {n}",
+        "WITH a{n} AS (SELECT Net FROM Sale) SELECT * FROM a{n}, Product WHERE ProductId={n}", "/*!{n} x */ SELECT 1 FROM `Product` WHERE `ProductId` = {n}"]
+    rows = [(i, b.replace("{n}", str(n)), allowed, ["net_sales"] if n % 2 else [], [2, 7] if n < 30 else [], declared)
+            for i, (b, n, allowed, declared) in enumerate(
+                (b, n, a, d) for b in bodies for n in (1, 2, 13, 300) for a, d in ((["Product", "Sale", "T2"], None), (["Product"], ["Product", "T2"])))]
+    rows.append((len(rows), None, ["Product"], [], [], None))
+    log = spark.createDataFrame(rows, "id int, sql string, allowed_tables array<string>, metrics array<string>, candidates array<bigint>, declared array<string>")
+    options = {"metrics": "metrics", "candidates": "candidates", "declared": "declared"}
+    columns = ["id", "tables_used", "read_only_issue", "outside_tables", "column_issues", "identifier_issues", "join_issues", "metric_issues", "id_issues", "contract_issue", "first_issue"]
+    one, other = (sorted(f(log, registry, **options).select(*columns).collect(), key=lambda r: r.id) for f in (A.audit, A.audit_by_template))
+    assert one == other and len({r.first_issue for r in one}) > 8 and any(r.id_issues for r in one)

@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions import dates, words
-from tallyframe.operators.matching import Matcher, question_context
+from tallyframe.operators.matching import Matcher, nearest_examples, once_per_text, question_context
 from tallyframe.operators.paths import shortest_paths
 from tallyframe.operators.prefixes import prefix_groups
 from tallyframe.plans.retail_layer import EXAMPLES, RETAIL_CATALOGUE, RETAIL_LAYER
@@ -134,3 +136,26 @@ def test_a_dictionary_of_any_size(spark):
     df = question_context(spark.createDataFrame([("sales of gadget19999 frame and gadget7 frames",), (None,), ("nothing",)], "text string"))
     rows = [[m["name"] for m in r["matches"]] for r in dictionary.matched(df).collect()]
     assert sorted(rows) == [[], [], ["gadget7 frames", "gadget19999 frames"]]
+
+
+def test_nearest_examples_against_brute_force(spark):
+    rng = random.Random(6)
+    pool = ["brand", "customer", "region", "march", "1997", "alpha", "beta", "gamma", "delta", "sigma"]
+    said = lambda n: " ".join(rng.sample(pool, n))
+    stored = sorted({said(rng.randint(1, 5)) for _ in range(60)} | {"brand customer", "customer brand", "Customer  brand", "xyzzy"})
+    asked = [said(rng.randint(1, 7)) for _ in range(40)] + ["nothing known", "xyzzy", ""]
+    store = spark.createDataFrame([(q, ["T"]) for q in stored] * 2, "question string, tables array<string>")
+    rows = spark.createDataFrame([(i, a) for i, a in enumerate(asked)], "id int, text string")
+    got = {r.id: [e["question"] for e in r.examples] for r in nearest_examples(question_context(rows), store, 2).collect()}
+    words = lambda t: set(t.lower().split())
+    for i, a in enumerate(asked):
+        best = sorted((-len(words(a) & words(q)), q) for q in stored if words(a) & words(q))[:2]
+        assert got[i] == [q for _, q in best], (a, got[i], best)
+    assert {len(r.examples) for r in nearest_examples(question_context(rows), store.limit(0)).collect()} == {0}
+
+
+def test_each_text_is_worked_on_once(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "b")], "id int, text string")
+    seen = []
+    out = once_per_text(rows, "text", lambda t: seen.append(t.count()) or t.withColumn("size", F.length("text")))
+    assert sorted((r.id, r.size) for r in out.collect()) == [(1, 1), (2, 1), (3, None), (4, 1)] and seen == [2]
