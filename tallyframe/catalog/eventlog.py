@@ -142,7 +142,8 @@ ORACLES = {
     "event_stages": f"""SELECT ['planning', 'resolving_entities', 'generating_sql', 'validating', 'executing', 'shaping'][{_STAGE_NO} + 1] AS stage,
         COUNT(*) AS events FROM events GROUP BY 1""",
     "trace_durations": f"""WITH {_TRACE_SQL} SELECT day, event, COUNT(*) AS events, CAST(SUM({_MS}) AS DOUBLE) AS total_ms,
-        ROUND(CAST(SUM({_MS}) AS DOUBLE) / COUNT(*), 3) AS mean_ms, CAST(MAX({_MS}) AS DOUBLE) AS max_ms FROM t GROUP BY day, event""",
+        ROUND(CAST(SUM({_MS}) AS DOUBLE) / COUNT(*), 3) AS mean_ms, CAST(MAX({_MS}) AS DOUBLE) AS max_ms,
+        CAST(QUANTILE_DISC({_MS}, 0.5) AS DOUBLE) AS p50_ms, CAST(QUANTILE_DISC({_MS}, 0.95) AS DOUBLE) AS p95_ms FROM t GROUP BY day, event""",
     "run_duration_totals": f"""WITH {_TRACE_SQL} SELECT user_id, day, COUNT(*) AS events, CAST(SUM({_MS}) AS DOUBLE) AS total_ms FROM t GROUP BY 1, 2""",
     "question_outcomes": f"""WITH {_TRACE_SQL} SELECT user_id, day, CAST(MAX(CEIL(value / 10)) AS BIGINT) AS attempts,
         CAST(COALESCE(BOOL_OR(event = 'question.completed' AND value > 1), FALSE) AS INT) AS success,

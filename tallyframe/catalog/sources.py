@@ -9,7 +9,7 @@ from tallyframe.catalog.questions import questions
 from tallyframe.catalog.sqllog import _CTE, _OK
 from tallyframe.plans.retail import orders_as_retail
 from tallyframe.shared import shared_folder
-from tallyframe.sources import contract, readers, sinks
+from tallyframe.sources import contract, readers, semantic, sinks
 from tallyframe.sources.retail_schema import Reference, conform, registry_frames
 
 
@@ -29,6 +29,22 @@ def duplicate_line_keys(spark, d):
         "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "row_count")
 
 
+def layer_file_relations(spark, d):
+    """The brands and sizes of the parts as a semantic-layer file, written, read again and split into its relations."""
+    parts = _t(spark, d, "part")
+    brands = parts.groupBy("p_brand").agg(F.sort_array(F.collect_set(F.col("p_size").cast("string"))).alias("sizes"))
+    entity = F.struct(F.concat(F.lit(" "), F.col("p_brand")).alias("name"), F.col("sizes").alias("synonyms"), F.array(F.lit("part"), F.lit("part")).alias("preferred_tables"))
+    metric = F.struct(F.concat(F.lit("units of "), F.col("p_brand")).alias("name"), F.lit("COUNT(*)").alias("preferred_expression"), F.array(F.col("p_brand")).alias("synonyms"))
+    unnamed = F.array(F.struct(F.lit(" ").alias("name"), F.array(F.lit("x")).alias("synonyms"), F.array(F.lit("y")).alias("preferred_tables")))
+    file = brands.agg(F.to_json(F.struct(F.concat(F.sort_array(F.collect_list(entity)), unnamed).alias("entities"), F.sort_array(F.collect_list(metric)).alias("metrics"))).alias("value"))
+    path = shared_folder(spark, "layer")
+    file.coalesce(1).write.text(path)
+    frames = semantic.layer_frames(spark, semantic.read_layer_at(spark, path))
+    joined = lambda c: F.array_join(c, "|")
+    return frames["entities"].select(F.lit("entity").alias("relation"), "name", joined("synonyms").alias("synonyms"), joined("tables").alias("tables"), F.lit(0).alias("counts")).union(
+        frames["metrics"].select(F.lit("metric"), "name", joined("synonyms"), joined("tables"), F.col("counts").cast("int")))
+
+
 def orphan_references(spark, d):
     tables = {t: _t(spark, d, t) for t in ("orders", "lineitem", "customer", "part", "supplier", "labels", "documents")}
     small = tables["part"].filter("p_size <= 25")
@@ -163,7 +179,7 @@ def csv_round_trip(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (lineitem_contract, duplicate_line_keys, orphan_references, registry_references, table_signatures, signature_sees_nulls, files_signature_checks, case_file_by_tag,
+    for f in (lineitem_contract, duplicate_line_keys, layer_file_relations, orphan_references, registry_references, table_signatures, signature_sees_nulls, files_signature_checks, case_file_by_tag,
               seeded_nations, narrowed_registry, typed_orders,
               normalized_cases, trace_round_trip, report_round_trip, csv_round_trip)
 }
@@ -177,6 +193,9 @@ def _orphan(child: str, column: str, parent: str, key: str, label: str | None =
 ORACLES = {
     "lineitem_contract": """SELECT 'domain' AS rule, 'l_returnflag' AS "column", COUNT(*) AS rows FROM lineitem WHERE l_returnflag NOT IN ('A', 'R') HAVING COUNT(*) > 0""",
     "duplicate_line_keys": """SELECT l_orderkey, l_linenumber, COUNT(*) AS row_count FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) > 1""",
+    "layer_file_relations": """WITH s AS (SELECT DISTINCT p_brand, CAST(p_size AS VARCHAR) AS size FROM part)
+        SELECT 'entity' AS relation, p_brand AS name, STRING_AGG(size, '|' ORDER BY size) AS synonyms, 'part' AS tables, 0 AS counts FROM s GROUP BY p_brand
+        UNION ALL SELECT DISTINCT 'metric', 'units of ' || p_brand, p_brand, '', 1 FROM part""",
     "orphan_references": " UNION ALL ".join((
         _orphan("orders", "o_custkey", "customer", "c_custkey"), _orphan("lineitem", "l_orderkey", "orders", "o_orderkey"),
         _orphan("lineitem", "l_partkey", "(SELECT * FROM part WHERE p_size <= 25)", "p_partkey"),

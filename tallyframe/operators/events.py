@@ -81,12 +81,22 @@ def fold_runs(frames: DataFrame, *keys: str) -> DataFrame:
     return folded_state(frames.groupBy(*keys).agg(*fold_aggregates()))
 
 
+#: Shares of the durations that lie at or below a reported one, and the share of a group by which its place may be off.
+QUANTILES = {"p50_ms": 0.5, "p95_ms": 0.95}
+QUANTILE_ERROR = 1 / 10_000
+
+
+def duration_quantiles(ms: Column) -> list[Column]:
+    """Quantiles by a sketch that tasks merge; exact for groups of fewer than 1 / QUANTILE_ERROR."""
+    return [F.percentile_approx(ms.cast("double"), share, round(1 / QUANTILE_ERROR)).alias(name) for name, share in QUANTILES.items()]
+
+
 def event_durations(trace: DataFrame, *keys: str) -> DataFrame:
-    """Count, total, mean and greatest duration in milliseconds, at three decimals."""
+    """Count, total, mean, greatest duration and quantiles in milliseconds, at three decimals."""
     ms = F.round("duration_ms", 3).cast("decimal(20,3)")
     return trace.groupBy(*keys).agg(
         F.count("*").alias("events"), F.sum(ms).cast("double").alias("total_ms"),
-        F.round(F.avg(ms).cast("double"), 3).alias("mean_ms"), F.max(ms).cast("double").alias("max_ms"))
+        F.round(F.avg(ms).cast("double"), 3).alias("mean_ms"), F.max(ms).cast("double").alias("max_ms"), *duration_quantiles(ms))
 
 
 def duration_between(started: Column, ended: Column) -> Column:

@@ -70,7 +70,8 @@ def read_cases(spark: SparkSession, path: str, case_id: str | None = None, tag:
 
 
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TRACE_SCHEMA).json(path)
+    """Trace lines; folders of single batches (see sinks.append_trace) are read like any file."""
+    return spark.read.schema(TRACE_SCHEMA).option("recursiveFileLookup", "true").json(path)
 
 
 def stream_trace(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:

@@ -93,6 +93,11 @@ def read_layer(path: str, **roles) -> SemanticLayer:
         return layer_from(json.load(handle), **roles)
 
 
+def read_layer_at(spark: SparkSession, path: str, **roles) -> SemanticLayer:
+    """Read a semantic-layer JSON file, of a size that one row holds, from any store that Spark reads."""
+    return layer_from(json.loads(spark.read.text(path, wholetext=True).first()[0]), **roles)
+
+
 def layer_from(raw: dict, **roles) -> SemanticLayer:
     def named(key: str) -> list[dict]:
         items = raw.get(key)

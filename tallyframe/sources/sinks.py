@@ -13,13 +13,17 @@ from tallyframe.operators.profile import title
 from tallyframe.sources.retail_schema import with_defaults
 
 
-def append_trace(events: DataFrame, path: str) -> None:
-    """Append events as JSON lines."""
-    events.write.mode("append").json(path)
+def append_trace(events: DataFrame, path: str, batch: str | int | None = None) -> None:
+    """Append events as JSON lines. With a ``batch`` the append may be repeated: it has a folder of its own, which a retry replaces."""
+    if batch is None:
+        events.write.mode("append").json(path)
+    else:
+        events.write.mode("overwrite").json(f"{path.rstrip('/')}/batch={batch}")
 
 
 def stream_trace_to(events: DataFrame, path: str, checkpoint: str):
-    """Append a stream of events as JSON lines; the caller starts and stops the query."""
+    """Append a stream of events as JSON lines; the caller starts and stops the query. Spark's file sink keeps a list of whole
+    batches beside the files, so readers through Spark see no line of a batch that was written twice."""
     return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyframe.operators.anchored import epoch_millis
-from tallyframe.operators.events import fold_aggregates, folded_state
+from tallyframe.operators.events import QUANTILES, duration_quantiles, fold_aggregates, folded_state
 
 
 def with_event_time(df: DataFrame, column: str, delay: str = "10 minutes") -> DataFrame:
@@ -38,7 +38,7 @@ def live_durations(trace: DataFrame, at: str, window: str, *keys: str) -> DataFr
     ms = F.round("duration_ms", 3).cast("decimal(20,3)")
     return trace.groupBy(F.window(at, window).alias("w"), *keys).agg(
         F.count("*").alias("events"), F.sum(ms).cast("double").alias("total_ms"), F.max(ms).cast("double").alias("max_ms"),
-    ).select(F.col("w.start").alias("window_start"), *keys, "events", "total_ms", "max_ms")
+        *duration_quantiles(ms)).select(F.col("w.start").alias("window_start"), *keys, "events", "total_ms", "max_ms", *QUANTILES)
 
 
 _STATE = "start bigint, count bigint, t array<bigint>, order_id array<bigint>, ok array<boolean>"

@@ -32,6 +32,23 @@ def test_names(name, bucket, identifier):
     assert (profile.is_bucket(name), profile.is_identifier(name)) == (bucket, identifier)
 
 
+def test_samples_of_all_columns_in_one_scan(spark):
+    rows = [(i * 7 % 50, None if i % 3 else f"t{i * 7 % 50}", float(i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "k int, t string, v double").repartition(5)
+    found = {r.column: r.samples for r in profile.column_samples(df, ["k"], 4).collect()}
+    by = sorted(rows)
+    assert found == {"k": ["0", "1", "2", "3"], "t": [t for _, t, _ in by if t][:4], "v": [str(v) for _, _, v in by][:4]}
+    assert profile.column_samples(df.where("false"), ["k"]).count() == 0
+
+
+def test_repeated_append_leaves_no_double_line(spark, tmp_path):
+    lines = spark.range(6).select(F.lit("question.started").alias("event"), F.col("id").cast("int").alias("attempt"))
+    folder = str(tmp_path / "trace")
+    for batch in (0, 1, 1):  # the writer of batch 1 died before it could say so
+        sinks.append_trace(lines.where(F.col("attempt") % 2 == batch), folder, batch)
+    assert sorted(r.attempt for r in readers.read_trace(spark, folder).collect()) == list(range(6))
+
+
 def test_insights(spark):
     rows = [(1, datetime.date(2026, 1, 1), "x", 5.0), (2, datetime.date(2026, 2, 1), "y", 9.0), (3, datetime.date(2026, 3, 1), "z", 9.0)]
     df = spark.createDataFrame(rows, "order_id int, day date, name string, total double")
