@@ -247,7 +247,7 @@ def tolerance_violations(
     On one number the best pairing is in sorted order, so it exists exactly when at every
     point no more values of one side lie at or below x than of the other at or below
     x + tolerance. Equal values are folded first; the prefix sums are taken over ranges of
-    (key, value), so a hot key spreads over many tasks and each sends one summary per batch.
+    (key, value), so a hot key spreads over many tasks and each sends one summary of it.
     """
     mapping = mapping or {}
     bound = tolerance + 1e-9
@@ -279,20 +279,34 @@ def tolerance_violations(
         ])).alias("x")
     ).select("key", "x.*")
 
+    none = 2**62
+
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId()
-        for number, b in enumerate(batches):
+        """A row for each key and test in the partition: its sum, and the lowest sum reached at a demand."""
+        part, held = TaskContext.get().partitionId(), None
+        columns = ["key", "test", "total", "low"]
+        for b in batches:
             if not len(b):
                 continue
             grouped = b.groupby(["key", "test"], sort=False)
-            low = grouped["step"].cumsum().where(b["demand"] == 1, 2**62)
-            out = b.assign(low=low).groupby(["key", "test"], sort=False).agg(total=("step", "sum"), low=("low", "min")).reset_index()
-            yield out.assign(part=part, number=number)[["key", "test", "part", "number", "total", "low"]]
+            low = grouped["step"].cumsum().where(b["demand"] == 1, none)
+            out = b.assign(low=low).groupby(["key", "test"], sort=False).agg(total=("step", "sum"), low=("low", "min")).reset_index()[columns]
+            if held is not None:  # sorted by key, so only the first may go on from the batch before
+                key, test, total, lowest = held
+                if (out.at[0, "key"], out.at[0, "test"]) == (key, test):
+                    here = out.at[0, "low"]
+                    out.loc[0, ["total", "low"]] = [total + out.at[0, "total"], min(lowest, none if here >= none else total + here)]
+                else:
+                    yield pd.DataFrame([held], columns=columns).assign(part=part)[["key", "test", "part", "total", "low"]]
+            held = tuple(out.iloc[-1])
+            if len(out) > 1:
+                yield out.iloc[:-1].assign(part=part)[["key", "test", "part", "total", "low"]]
+        if held is not None:
+            yield pd.DataFrame([held], columns=columns).assign(part=part)[["key", "test", "part", "total", "low"]]
 
     laid = _ordered_batches(events, ["key", "test", "at", "demand"])
-    reports = laid.mapInPandas(summarise, "key string, test string, part int, number int, total bigint, low bigint")
-    before = F.coalesce(
-        F.sum("total").over(W.partitionBy("key", "test").orderBy("part", "number").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    reports = laid.mapInPandas(summarise, "key string, test string, part int, total bigint, low bigint")
+    before = F.coalesce(F.sum("total").over(W.partitionBy("key", "test").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     short = reports.withColumn("before", before).filter((F.col("low") < 2**62) & (F.col("before") + F.col("low") < 0)).select("key")
     return uneven.union(short).distinct()
 

@@ -96,11 +96,11 @@ def _saturated(edges: pd.DataFrame) -> bool:
 
 
 def _unpaired_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keys of the blocks, sorted by number, that cannot be paired; a block may come in several batches."""
+    """Keys of the blocks, sorted by key and number, that cannot be paired; a block may come in several batches."""
     held: list[pd.DataFrame] = []
     for batch in batches:
-        for block, rows in batch.groupby("block", sort=False):
-            if held and held[0]["block"].iloc[0] != block:
+        for name, rows in batch.groupby(["key", "block"], sort=False):
+            if held and (held[0]["key"].iloc[0], held[0]["block"].iloc[0]) != name:
                 whole, held = pd.concat(held), []
                 if not _saturated(whole):
                     yield whole[["key"]].head(1)
@@ -190,10 +190,11 @@ class _Flow:
 def unpaired_keys(rows: DataFrame, values: Sequence[str], bound: float, block_pairs: int = 100_000) -> DataFrame:
     """The keys whose rows of both sides cannot all be paired within the bound; rows: key, side (0 or 1), values.
 
-    Equal rows are one row with so many units. Rows of both sides that may be paired are a table, joined on grid cells; blocks
-    that no pairing crosses are its connected components. A block of up to `block_pairs` pairs is decided by itself, many blocks a
-    task. Larger blocks are decided over the cluster: augmenting rounds send units along ways found breadth first, for all keys at
-    once, until every unit is sent or a key's ways meet no room. Work grows with the pairs that are near each other in the data.
+    Equal rows are one row with so many units. Rows of both sides that may be paired are a table, joined on grid cells. A key of up
+    to `block_pairs` pairs is decided by itself, many keys a task. A larger key is cut into blocks that no pairing crosses, the
+    connected components of its pairs, and blocks of up to so many pairs are decided the same way. Larger blocks are decided over
+    the cluster: augmenting rounds send units along ways found breadth first, for all keys at once, until every unit is sent or a
+    key's ways meet no room. Work grows with the pairs that are near each other in the data.
 
     A null number is paired with a null. No rows give no keys.
     """
@@ -201,17 +202,24 @@ def unpaired_keys(rows: DataFrame, values: Sequence[str], bound: float, block_pa
     nodes = written(folded.withColumn("id", F.monotonically_increasing_id()))
     pairs = written(candidate_pairs(nodes, values, bound))
     sign = F.when(F.col("side") == 0, F.col("units")).otherwise(-F.col("units"))
-    uneven = nodes.groupBy("key").agg(F.sum(sign).alias("surplus")).where("surplus <> 0").select("key")
-    alone = nodes.join(pairs.select(F.col("l").alias("id")).union(pairs.select("r")).distinct(), "id", "left_anti").select("key")
-    bad = written(uneven.union(alone).distinct())
-    live = pairs.join(bad, "key", "left_anti")
-    named = live.join(blocks(live).withColumnRenamed("node", "l"), "l")
-    sizes = named.groupBy("block").agg(F.count("*").alias("pairs"))
-    sized = written(named.join(sizes, "block"))
-    small = sized.where(F.col("pairs") <= block_pairs).select("block", "key", "l", "r", "l_units", "r_units")
-    bad = bad.union(small.repartition("block").sortWithinPartitions("block").mapInPandas(_unpaired_blocks, small.select("key").schema))
-    large = sized.where(F.col("pairs") > block_pairs)
-    if large.isEmpty():
+    ends = pairs.select(F.col("l").alias("id")).union(pairs.select("r")).distinct().withColumn("met", F.lit(True))
+    keys = written(nodes.join(ends, "id", "left").groupBy("key").agg(F.sum(sign).alias("surplus"), F.count_if(F.col("met").isNull()).alias("alone")).join(
+        pairs.groupBy("key").agg(F.count("*").alias("pairs")), "key", "left"))
+    bad = keys.where("surplus <> 0 OR alone > 0").select("key")
+    live = keys.where("surplus = 0 AND alone = 0")
+    shape = ["key", "block", "l", "r", "l_units", "r_units"]
+    parts = pairs.join(live.where(F.col("pairs") <= block_pairs).select("key"), "key", "left_semi").withColumn("block", F.lit(0).cast("long")).select(*shape)
+    wide = live.where(F.col("pairs") > block_pairs).select("key")
+    large = None
+    if not wide.isEmpty():
+        named = pairs.join(wide, "key", "left_semi")
+        named = named.join(blocks(named).withColumnRenamed("node", "l"), "l")
+        sized = written(named.join(named.groupBy("block").agg(F.count("*").alias("pairs")), "block"))
+        parts = parts.union(sized.where(F.col("pairs") <= block_pairs).select(*shape))
+        large = sized.where(F.col("pairs") > block_pairs)
+    alone = parts.repartition("key", "block").sortWithinPartitions("key", "block").mapInPandas(_unpaired_blocks, parts.select("key").schema)
+    bad = bad.union(alone)
+    if large is None or large.isEmpty():
         return bad.distinct()
     flow = _Flow(large)
     flow.greedy(4)

@@ -120,6 +120,20 @@ def test_a_chain_needs_long_ways(spark):
     assert [r.key for r in unpaired_keys(chain(12, 2), ["v0", "v1"], 1.0, block_pairs=0).collect()] == ["k"]
 
 
+def test_one_summary_a_key_and_task(spark):
+    """Small batches: a key's sums go on from batch to batch, within a task and over tasks."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        left = spark.range(600).select(F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("k"), (F.col("id") * 0.7).alias("v"))
+        for shift, want in ((0.5, []), (1.4, ['["s:a"]', '["s:b"]'])):
+            moved = left.withColumn("v", F.col("v") + shift)
+            assert sorted(r.key for r in C.tolerance_violations(left, moved, ["k"], "v", 0.6).collect()) == want
+        one = left.withColumn("v", F.when((F.col("k") == "b") & (F.col("v") > 200) & (F.col("v") < 203), F.col("v") + 9).otherwise(F.col("v")))
+        assert [r.key for r in C.tolerance_violations(left, one, ["k"], "v", 0.6).collect()] == ['["s:b"]']
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_a_dense_key_spreads(spark):
     """One key, rows that all hang together: no task gets most of them."""
     left = spark.range(20_000).select(F.lit("k").alias("key"), F.lit(0).alias("side"), (F.col("id") * 0.5).alias("v0"), F.lit(0.0).alias("v1"))
