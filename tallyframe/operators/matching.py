@@ -286,9 +286,9 @@ def nearest_examples(df: DataFrame, stored: DataFrame, limit: int = 2, min_score
     looked_up, done = 1, []
     while not live.isEmpty():
         probes = live.select("context", "tokens", F.explode(F.slice("tokens", 1, looked_up)).alias("token")).join(postings, "token")
-        if looked_up > 1:
-            probes = probes.dropDuplicates(["context", "set"])
         scored = probes.select("context", "set", "lead", F.size(F.array_intersect("tokens", "own")).alias("shared"), (F.size("tokens") - looked_up).alias("left_over"))
+        if looked_up > 1:
+            scored = scored.dropDuplicates(["context", "set"])
         best = written(scored.withColumn("n", F.row_number().over(first(["context"], F.desc("shared"), "lead"))).where(F.col("n") <= limit))
         settled = written(best.groupBy("context").agg(F.when(F.count("*") == limit, F.min("shared")).otherwise(0).alias("least"), F.any_value("left_over").alias("left_over")).where(
             "left_over <= 0 OR least > left_over").select("context"))
