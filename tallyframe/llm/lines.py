@@ -1,8 +1,9 @@
-"""Line deduplication: runs of lines that stand earlier in the corpus, found by ranking the first lines of their suffixes."""
+"""Line deduplication: a suffix array over the line names of all documents, its common-prefix intervals, and the runs that repeat."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -13,100 +14,219 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import column, covered, row_key, slices, written
 
 _SPACES = " \t\n\r\x0b\x0c"
-_LINE = "doc_id long, key_a long, key_b long, seq int, name_a long, name_b long, long boolean"
+_KEYS = ["key_a", "key_b"]
+_NAMES = "doc_id long, key_a long, key_b long, name_a array<long>, name_b array<long>, long array<boolean>"
+_STATE = "doc_id long, key_a long, key_b long, rank array<long>, tied array<boolean>, later array<boolean>"
+_SUFFIX = "doc_id long, key_a long, key_b long, seq int, rank long, behind long, own_a long, own_b long, own_seq int"
+_PARTS = ("rank", "behind", "own_a", "own_b", "own_seq")
+_RUN = "array<struct<start:int,end:int,copy_doc:bigint,copy_start:int>>"
 
 
-def _sequences(long_words: int):
-    """A row for each line with words: its number among such lines of the document, the line's 128-bit name, and whether it is long."""
+class Level(NamedTuple):
+    """Suffixes ranked by their first `depth` lines: a row for each document with the ranks of all its lines, -1 for a line that does
+    not repeat; whether others share the rank; whether an earlier one does, for those that were ranked anew at this depth."""
+    depth: int
+    ranks: DataFrame
+
+
+def _name_arrays(long_words: int):
+    """A row for each document: the 128-bit names of its lines with words, and which are long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
-            names, seqs, longs, counts = [], [], [], []
+            names, longs, ends = [], [], [0]
             for text in column(piece, "text").to_pylist():
                 lines = [x for x in (text or "").split("\n") if x.strip(_SPACES)]
                 names += [xxhash.xxh3_128_digest(x.encode()) for x in lines]
                 longs += [len(x.encode().split()) >= long_words for x in lines]
-                seqs.append(np.arange(len(lines), dtype=np.int32))
-                counts.append(len(lines))
-            per = np.repeat(np.arange(piece.num_rows), counts)
-            name = np.frombuffer(b"".join(names), ">i8").reshape(-1, 2)
+                ends.append(len(names))
+            name, ends = np.frombuffer(b"".join(names), ">i8").reshape(-1, 2).astype(np.int64), pa.array(ends, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [column(piece, c).take(pa.array(per)) for c in ("doc_id", "key_a", "key_b")]
-                + [pa.array(np.concatenate(seqs) if seqs else [], pa.int32()), pa.array(name[:, 0].astype(np.int64)), pa.array(name[:, 1].astype(np.int64)), pa.array(longs, pa.bool_())],
-                names=[f.split()[0] for f in _LINE.split(", ")])
+                [column(piece, c) for c in ("doc_id", *_KEYS)]
+                + [pa.ListArray.from_arrays(ends, v) for v in (pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(longs, pa.bool_()))],
+                names=["doc_id", *_KEYS, "name_a", "name_b", "long"])
     return run
 
 
-def _place() -> Column:
-    """Order of all lines: by document id (null last), then by row and line."""
-    return F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "key_a", "key_b", "seq")
+def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column, and where each row's begin; a null list is empty."""
+    lists = column(batch, name)
+    values = lists.flatten()
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return values, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
-def _ranked(suffixes: DataFrame, *parts: str) -> DataFrame:
-    """Suffixes whose first lines, given by `parts`, repeat: their rank in the order of the parts, and whether an earlier one has the same.
+def _tied_suffixes(step: int):
+    """A row for each suffix that shares its rank, with the rank of the suffix `step` lines behind. One with nothing behind it that
+    repeats is told apart by its place."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, ends = _flat(batch, "rank")
+            rank, tied = values.to_numpy(zero_copy_only=False), _flat(batch, "tied")[0].to_numpy(zero_copy_only=False).astype(bool)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            seq = np.arange(len(rank)) - ends[row]
+            at = np.flatnonzero(tied)
+            inside = at + step < ends[row[at] + 1]
+            behind = np.where(inside, rank[np.minimum(at + step, len(rank) - 1)], -1) if len(at) else np.empty(0, np.int64)
+            keys = [column(batch, c).take(pa.array(row[at])) for c in ("doc_id", *_KEYS)]
+            alone = behind < 0
+            own = [np.where(alone, k.to_numpy(zero_copy_only=False), 0).astype(np.int64) for k in keys[1:]]
+            yield pa.RecordBatch.from_arrays(
+                [*keys, pa.array(seq[at], pa.int32()), pa.array(rank[at], pa.int64()), pa.array(behind, pa.int64()), *map(pa.array, own), pa.array(np.where(alone, seq[at], 0), pa.int32())],
+                names=[f.split()[0] for f in _SUFFIX.split(", ")])
+    return run
 
-    The names of equal beginnings are summed and sorted over the cluster; a rank is a name's place in that order. What is left of
-    the suffixes is those in an interval of two or more.
-    """
-    names = suffixes.groupBy(*parts).agg(F.min(_place()).alias("first"), F.count("*").alias("copies")).where("copies > 1").select(*parts, "first")
-    order = written(names.repartitionByRange(*parts).sortWithinPartitions(*parts).withColumn("rank_here", F.monotonically_increasing_id()))
-    return (
-        suffixes.join(order, list(parts)).select("doc_id", "key_a", "key_b", "seq", "long", F.col("rank_here").alias("rank"), (_place() != F.col("first")).alias("later")))
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds `before`: how many suffixes stand before a name in its task."""
+    total = 0
+    for batch in batches:
+        n = column(batch, "n").to_numpy()
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total + np.cumsum(n) - n, pa.int64())], names=[*batch.schema.names, "before"])
+        total += int(n.sum())
 
-def repeated_runs(keyed: DataFrame, min_lines: int, long_words: int) -> DataFrame:
-    """key_a, key_b, seq, size: stretches of lines that stand earlier in the corpus.
 
-    Prefix doubling, cut to the depth `min_lines`: suffixes are ranked by one line, then by twice as many lines each round from the
-    ranks of the suffix and of the one that starts behind it, until the ranks are `min_lines` deep; with two lines that is one
-    round. Suffixes tied there are not ranked further, so there is no suffix array, no common-prefix length and no maximal repeat.
-    Which lines go is whole all the same: each later run of at least so many lines is the union of its later runs of just so many.
-    All but the first of the suffixes that share a rank are later copies.
+def _place() -> Column:
+    """Order of all lines: by document id (null last), then by row and line."""
+    return F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "key_a", "key_b", "seq")
+
+
+def _ranked(suffixes: DataFrame, least: int) -> DataFrame:
+    """Suffixes with their new rank: how many stand before their name in the order of `_PARTS`. Names of fewer than `least` suffixes are left out.
+
+    Names are summed, sorted over the cluster and counted up in each task; the tasks' totals, one number a task, give the rest. Every
+    bucket of suffixes that shared a rank is here as a whole, so new ranks stay between those of its neighbours.
     """
-    sequences = keyed.mapInArrow(_sequences(long_words), _LINE).dropDuplicates(["key_a", "key_b", "seq"])
-    live = single = written(_ranked(written(sequences), "name_a", "name_b"))
-    depth = 1
-    while depth < min_lines:
-        step = min(depth, min_lines - depth)
-        behind = live.select("key_a", "key_b", (F.col("seq") - step).alias("seq"), F.col("rank").alias("rank_behind"))
-        live = written(_ranked(live.drop("later").join(behind, ["key_a", "key_b", "seq"]), "rank", "rank_behind"))
+    spark = suffixes.sparkSession
+    names = suffixes.groupBy(*_PARTS).agg(F.min(_place()).alias("first"), F.count("*").alias("n")).where(F.col("n") >= least)
+    order = names.repartitionByRange(*_PARTS).sortWithinPartitions(*_PARTS).withColumn("task", F.spark_partition_id())
+    order = written(order.mapInArrow(_running, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in order.schema] + ["before long"])))
+    totals = sorted(order.groupBy("task").agg(F.sum("n").alias("n")).collect())  # one row a task
+    shifts = spark.createDataFrame([(t.task, sum(x.n for x in totals[:i])) for i, t in enumerate(totals)], "task int, shift long")
+    order = order.join(F.broadcast(shifts), "task").withColumn("before", F.col("before") + F.col("shift")).drop("task", "shift")
+    starts = order.groupBy("rank").agg(F.min("before").alias("start"))
+    fresh = order.join(starts, "rank").select(*_PARTS, "first", "n", (F.col("rank") + F.col("before") - F.col("start")).alias("fresh"))
+    cell = F.struct("seq", F.col("fresh").alias("rank"), (F.col("n") > 1).alias("tied"), (_place() != F.col("first")).alias("later"))
+    return suffixes.join(fresh, list(_PARTS)).groupBy(*_KEYS).agg(F.collect_list(cell).alias("fresh"))
+
+
+def _renewed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rank arrays with the new ranks put in."""
+    for batch in batches:
+        values, ends = _flat(batch, "rank")
+        cells, cell_ends = _flat(batch, "fresh")
+        rank, tied, later = values.to_numpy(zero_copy_only=False).copy(), np.zeros(len(values), bool), np.zeros(len(values), bool)
+        at = np.repeat(ends[:-1], np.diff(cell_ends)) + cells.field("seq").to_numpy(zero_copy_only=False)
+        rank[at] = cells.field("rank").to_numpy(zero_copy_only=False)
+        tied[at] = cells.field("tied").to_numpy(zero_copy_only=False)
+        later[at] = cells.field("later").to_numpy(zero_copy_only=False)
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), v) for v in (pa.array(rank, pa.int64()), pa.array(tied), pa.array(later))]
+        yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in ("doc_id", *_KEYS)], *lists], names=[f.split()[0] for f in _STATE.split(", ")])
+
+
+def suffix_array(names: DataFrame, min_lines: int) -> list[Level]:
+    """Prefix doubling until no two suffixes share a rank: one level for each depth, `min_lines` among them. The last level's ranks are places in the suffix array
+    of the lines that repeat; any other line ends what suffixes can have in common. Later rounds carry only the suffixes that are still tied."""
+    cells = F.transform("name_a", lambda a, i: F.struct(i.alias("seq"), a.alias("a"), F.get("name_b", i).alias("b")))
+    single = names.select("doc_id", *_KEYS, F.explode(cells).alias("c")).select(
+        "doc_id", *_KEYS, "c.seq", F.lit(0).cast("long").alias("rank"), F.col("c.a").alias("behind"), F.col("c.b").alias("own_a"), F.lit(0).cast("long").alias("own_b"), F.lit(0).alias("own_seq"))
+    state = names.select("doc_id", *_KEYS, F.transform("name_a", lambda a: F.lit(-1).cast("long")).alias("rank"))
+    levels, depth, step, fresh = [], 0, 1, _ranked(single, 2)
+    while True:
         depth += step
-    long = single.where("later AND long").select("key_a", "key_b", "seq", F.lit(1).alias("size"))
-    return live.where("later").select("key_a", "key_b", "seq", F.lit(min_lines).alias("size")).union(long)
+        state = written(state.join(fresh.hint("merge"), _KEYS, "left").mapInArrow(_renewed, _STATE))
+        levels.append(Level(depth, state))
+        if depth >= min_lines and state.where(F.exists("tied", lambda t: t)).isEmpty():
+            return levels
+        step = min(depth, min_lines - depth) if depth < min_lines else depth
+        fresh = _ranked(written(state.mapInArrow(_tied_suffixes(step), _SUFFIX)), 1)
+
+
+def _looked_up(pairs: DataFrame, side: str, level: Level) -> DataFrame:
+    """Pairs with the rank, at this level, of the suffix `lines` lines behind one side's; all pairs of a document are looked up in its array."""
+    keys = [f"{side}_{k}" for k in _KEYS]
+    rest = [c for c in pairs.columns if c not in keys]
+    ranks = level.ranks.select(*[F.col(k).alias(f"{side}_{k}") for k in _KEYS], F.col("rank").alias("ranks"))
+    by_doc = pairs.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("all"))
+    found = F.transform("all", lambda p: F.struct(*[p[c].alias(c) for c in rest], F.get("ranks", p[f"{side}_seq"] + p["lines"]).alias(f"{side}_rank")))
+    return by_doc.join(ranks.hint("merge"), keys).select(*keys, F.inline(found))
+
+
+def maximal_runs(levels: list[Level], min_lines: int) -> DataFrame:
+    """Neighbours in the suffix array that share `min_lines` lines or more and have no equal line before them: a_ and b_ doc_id, key_a,
+    key_b, seq, and `lines`, the length of their common prefix. Neither end of such a run can be moved outwards.
+
+    The array is cut where fewer than `min_lines` lines are common. Neighbours with equal lines before them lie inside a longer run.
+    A common prefix is measured from the deepest level down: equal ranks at a depth mean so many equal lines.
+    """
+    of = {v.depth: v.ranks for v in levels}
+    arrays = (
+        levels[-1].ranks.select("doc_id", *_KEYS, "rank")
+        .join(of[min_lines].select(*_KEYS, F.col("rank").alias("cut")).hint("merge"), _KEYS)
+        .join(of[1].select(*_KEYS, F.col("rank").alias("base")).hint("merge"), _KEYS))
+    cells = F.transform("rank", lambda r, i: F.struct(
+        i.alias("seq"), r.alias("rank"), F.get("cut", i).alias("cut"), F.when(i > 0, F.get("base", i - 1)).otherwise(-1).alias("before")))
+    suffixes = written(arrays.select("doc_id", *_KEYS, F.inline(F.filter(cells, lambda c: c["rank"] >= 0))))
+    side = lambda s, shift: suffixes.select(*[F.col(c).alias(f"{s}_{c}") for c in ("doc_id", *_KEYS, "seq", "before")], F.col("rank") + shift, "cut").toDF(
+        *[f"{s}_{c}" for c in ("doc_id", *_KEYS, "seq", "before")], "rank", "cut")
+    pairs = side("a", 1).join(side("b", 0), ["rank", "cut"]).where("a_before <> b_before OR a_before < 0").drop("rank", "cut", "a_before", "b_before")
+    pairs = written(pairs.withColumn("lines", F.lit(0)))
+    for level in reversed(levels[:-1]):
+        pairs = _looked_up(_looked_up(pairs, "a", level), "b", level)
+        pairs = written(pairs.withColumn("lines", F.col("lines") + F.when(F.expr("a_rank >= 0 AND a_rank = b_rank"), level.depth).otherwise(0)).drop("a_rank", "b_rank"))
+    return pairs
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = 2, long_words: int = 20) -> DataFrame:
     """The documents with their later copies of repeated lines deleted: the columns of the input (text replaced by what is kept) and
-    n_lines, n_removed, removed_runs (lines, end exclusive).
+    n_lines, n_removed, removed_runs (lines, end exclusive), maximal_runs.
 
     A run goes if it has `min_lines` lines or more and also stands earlier, in a document with a smaller id or further up; so does a
     single line of `long_words` words or more. Runs are judged on the input. Lines are compared exactly. A line without words
     belongs to the line before it and goes with it; a run is not interrupted by it.
 
+    All suffixes in one interval of the suffix array with `min_lines` common lines, but the first of them in the corpus, begin a later
+    copy; the lines of these copies together are the later runs of any length. maximal_runs (see `maximal_runs`) says from where to where,
+    counted in lines with words, a document has a run that cannot be made longer, and the place of the neighbour it shares it with,
+    whichever of the two stays.
+
     Scale: ranks are made of summed names, never of a group's rows; a line that a third of all documents have is one name, joined
-    back in a join that Spark can split. Texts are shuffled once, by row.
+    back in a join that Spark can split. A document's ranks are one row, smaller than its text. Rounds grow with the logarithm of the longest repeated run.
 
     A null text stays null and an empty one empty. A null doc_id comes after all others. Equal rows are one document, in as many
     rows. Input columns that have a result column's name are replaced by it.
     """
-    made = ("n_lines", "n_removed", "removed_runs")
+    made = ("n_lines", "n_removed", "removed_runs", "maximal_runs")
     rest = docs.select(*[c for c in docs.columns if c not in made])
     plain = rest.toDF(*[f"c{i}" for i in range(len(rest.columns))])
     at = {c: f"c{i}" for i, c in enumerate(rest.columns)}
     keyed = plain.select("*", *row_key(at[doc_id], at[text]))
-    runs = repeated_runs(keyed.select(F.col(at[doc_id]).cast("long").alias("doc_id"), "key_a", "key_b", F.col(at[text]).alias("text")), min_lines, long_words)
-    spans = written(runs.groupBy("key_a", "key_b").agg(F.collect_set(F.struct("seq", "size")).alias("gone")))
-    names = plain.columns
-    # always by a shuffle of both sides: the spans grow with the texts, and small corpora then behave like large ones
-    marked = keyed.join(spans.hint("merge"), ["key_a", "key_b"], "left").select(*plain.columns, "gone")
+    read = keyed.select(F.col(at[doc_id]).cast("long").alias("doc_id"), *_KEYS, F.col(at[text]).alias("text"))
+    names = written(read.mapInArrow(_name_arrays(long_words), _NAMES).dropDuplicates(_KEYS))
+    levels = suffix_array(names.select("doc_id", *_KEYS, "name_a", "name_b"), min_lines)
+    pairs = maximal_runs(levels, min_lines)
+    ends = [pairs.select(*[F.col(f"{x}_{k}").alias(k) for k in _KEYS], F.struct(
+        F.col(f"{x}_seq").alias("start"), (F.col(f"{x}_seq") + F.col("lines")).alias("end"), F.col(f"{y}_doc_id").alias("copy_doc"), F.col(f"{y}_seq").alias("copy_start")).alias("run"))
+        for x, y in ("ab", "ba")]
+    runs = ends[0].union(ends[1]).groupBy(*_KEYS).agg(F.sort_array(F.collect_set("run")).alias("maximal_runs"))
+    of = {v.depth: v.ranks.select(*_KEYS, "later") for v in levels}
+    # always by a shuffle of both sides: the marks grow with the texts, and small corpora then behave like large ones
+    marks = written(
+        names.select(*_KEYS, "long").join(of[min_lines].withColumnRenamed("later", "later_run").hint("merge"), _KEYS)
+        .join(of[1].withColumnRenamed("later", "later_line").hint("merge"), _KEYS).join(runs.hint("merge"), _KEYS, "left")
+        .select(*_KEYS, "later_run", F.zip_with("later_line", "long", lambda a, b: a & b).alias("later_line"), "maximal_runs"))
+    columns = plain.columns
+    marked = keyed.join(marks.hint("merge"), _KEYS).select(*columns, "later_run", "later_line", F.coalesce("maximal_runs", F.array().cast(_RUN)).alias("maximal_runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, at[text]):
             texts, sizes, removed, spans = [], [], [], []
-            for t, gone in zip(column(piece, at[text]).to_pylist(), column(piece, "gone").to_pylist()):
+            later_run, ends = _flat(piece, "later_run")
+            later_run, later_line = (v.to_numpy(zero_copy_only=False).astype(bool) for v in (later_run, _flat(piece, "later_line")[0]))
+            for i, t in enumerate(column(piece, at[text]).to_pylist()):
                 lines = t.split("\n") if t else []
                 owner = np.cumsum([bool(x.strip(_SPACES)) for x in lines], dtype=np.int64) - 1
-                n = int(owner[-1]) + 1 if len(lines) else 0
-                out = covered(n, np.array([g["seq"] for g in gone or ()], np.int64), np.array([g["size"] for g in gone or ()], np.int64))
+                here = slice(ends[i], ends[i + 1])
+                out = covered(ends[i + 1] - ends[i], np.flatnonzero(later_run[here]), min_lines) | later_line[here]
                 drop = [o >= 0 and bool(out[o]) for o in owner]
                 edge = np.flatnonzero(np.diff(np.array(drop, np.int8), prepend=0, append=0))
                 texts.append("\n".join(x for x, d in zip(lines, drop) if not d) if t is not None else None)
@@ -115,9 +235,9 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 spans.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
             made_columns = {at[text]: pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays(
-                [made_columns.get(c, column(piece, c)) for c in names]
-                + [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                names=[*names, *made])
+                [made_columns.get(c, column(piece, c)) for c in columns]
+                + [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), column(piece, "maximal_runs")],
+                names=[*columns, *made])
 
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in plain.schema] + ["n_lines long, n_removed long, removed_runs array<struct<start:int,end:int>>"])
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in plain.schema] + [f"n_lines long, n_removed long, removed_runs array<struct<start:int,end:int>>, maximal_runs {_RUN}"])
     return marked.mapInArrow(cut, schema).toDF(*rest.columns, *made)

@@ -38,7 +38,9 @@ def op5_block_anchors(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_suffix_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = lines.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", "n_lines", "n_removed", F.size("removed_runs").cast("long").alias("n_runs"), F.sha2("text", 256).alias("kept_sha256"))
+    return kept.select(
+        "doc_id", "n_lines", "n_removed", F.size("removed_runs").cast("long").alias("n_runs"), F.sha2("text", 256).alias("kept_sha256"),
+        F.coalesce(F.array_max(F.transform("maximal_runs", lambda r: r["end"] - r["start"])), F.lit(0)).cast("long").alias("longest_run"))
 
 
 def op7_parity_sketch_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -148,7 +150,7 @@ r AS (SELECT doc_id, doc_id AS m FROM d UNION SELECT e.y, r.m FROM r JOIN e ON e
 SELECT r.doc_id, any_value(coalesce(n.n, 0)) AS n_shingles, min(m) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
 """,
     "op6_suffix_line_dedup": r"""
-WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS parts, text FROM documents WHERE text <> ''),
+WITH RECURSIVE raw AS (SELECT doc_id, string_split(text, chr(10)) AS parts, text FROM documents WHERE text <> ''),
 l AS (
   SELECT doc_id, i, parts[i] AS line, CAST(sum(CAST(regexp_matches(parts[i], '[^\x20\x09-\x0D]') AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS seq
   FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM raw)),
@@ -165,10 +167,19 @@ m AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER
 a AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_runs,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-  FROM m GROUP BY doc_id)
+  FROM m GROUP BY doc_id),
+ids AS (SELECT doc_id, seq, dense_rank() OVER (ORDER BY line) AS id, count(*) OVER (PARTITION BY line) AS copies FROM s),
+u AS (
+  SELECT 1 AS size, doc_id, seq, id AS name FROM ids WHERE copies > 1
+  UNION ALL
+  SELECT size + 1, doc_id, seq, next_name FROM (
+    SELECT u.size, u.doc_id, u.seq, dense_rank() OVER (ORDER BY u.name, ids.id) AS next_name, count(*) OVER (PARTITION BY u.name, ids.id) AS copies
+    FROM u JOIN ids ON ids.doc_id = u.doc_id AND ids.seq = u.seq + u.size)
+  WHERE copies > 1),
+longest AS (SELECT doc_id, CAST(max(size) AS BIGINT) AS longest_run FROM u WHERE size > 1 GROUP BY doc_id)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
-  CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept_sha256, sha256('')) END AS kept_sha256
-FROM documents LEFT JOIN a USING (doc_id)
+  CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept_sha256, sha256('')) END AS kept_sha256, coalesce(longest_run, 0) AS longest_run
+FROM documents LEFT JOIN a USING (doc_id) LEFT JOIN longest USING (doc_id)
 """,
     # Base 32 from the hexadecimal digest: five bits a letter.
     "op3_merged_archives": r"""
