@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -17,14 +18,17 @@ _SPACES = " \t\n\r\x0b\x0c"
 _KEYS = ["key_a", "key_b"]
 _NAMES = "doc_id long, key_a long, key_b long, name_a array<long>, name_b array<long>, long array<boolean>"
 _STATE = "doc_id long, key_a long, key_b long, rank array<long>, tied array<boolean>, later array<boolean>"
-_SUFFIX = "doc_id long, key_a long, key_b long, seq int, rank long, behind long, own_a long, own_b long, own_seq int"
-_PARTS = ("rank", "behind", "own_a", "own_b", "own_seq")
+_SUFFIX = "doc_id long, key_a long, key_b long, seq int, rank long, behind array<long>"
+_PARTS = ("rank", "behind")
+#: Doublings of the depth in one round; each level is read at most 2^_DOUBLINGS - 1 times for a common prefix.
+_DOUBLINGS = 3
 _RUN = "array<struct<start:int,end:int,copy_doc:bigint,copy_start:int>>"
 
 
 class Level(NamedTuple):
     """Suffixes ranked by their first `depth` lines: a row for each document with the ranks of all its lines, -1 for a line that does
-    not repeat; whether others share the rank; whether an earlier one does, for those that were ranked anew at this depth."""
+    not repeat; whether others share the rank; whether an earlier one does, told up to the least depth of a run only. Deeper levels
+    hold the documents that had a tied suffix before."""
     depth: int
     ranks: DataFrame
 
@@ -55,23 +59,31 @@ def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return values, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
-def _tied_suffixes(step: int):
-    """A row for each suffix that shares its rank, with the rank of the suffix `step` lines behind. One with nothing behind it that
-    repeats is told apart by its place."""
+def _tied_suffixes(step: int, reads: int):
+    """A row for each suffix that shares its rank, with the ranks of the suffixes `step`, 2 `step`, ... lines behind, `reads` of them.
+    The first that no other shares ends the list, as it decides. Where nothing that repeats is left, -1 and the suffix's own place end it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, ends = _flat(batch, "rank")
             rank, tied = values.to_numpy(zero_copy_only=False), _flat(batch, "tied")[0].to_numpy(zero_copy_only=False).astype(bool)
             row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            seq = np.arange(len(rank)) - ends[row]
             at = np.flatnonzero(tied)
-            inside = at + step < ends[row[at] + 1]
-            behind = np.where(inside, rank[np.minimum(at + step, len(rank) - 1)], -1) if len(at) else np.empty(0, np.int64)
-            keys = [column(batch, c).take(pa.array(row[at])) for c in ("doc_id", *_KEYS)]
-            alone = behind < 0
-            own = [np.where(alone, k.to_numpy(zero_copy_only=False), 0).astype(np.int64) for k in keys[1:]]
+            row, seq = row[at], at - ends[row[at]]
+            keys = [column(batch, c).take(pa.array(row)) for c in ("doc_id", *_KEYS)]
+            cells, used = np.empty((len(at), reads + 3), np.int64), np.zeros((len(at), reads + 3), bool)
+            open_, ended = np.ones(len(at), bool), np.zeros(len(at), bool)
+            for k in range(reads):
+                far = at + (k + 1) * step
+                inside = far < ends[row + 1]
+                far = np.where(inside, far, at)
+                cells[:, k], used[:, k] = np.where(inside, rank[far], -1), open_
+                ended |= open_ & (cells[:, k] < 0)
+                open_ &= inside & tied[far]
+            cells[:, reads:] = np.stack([*[k.to_numpy(zero_copy_only=False) for k in keys[1:]], seq], 1)
+            used[:, reads:] = ended[:, None]
+            sizes = np.concatenate([[0], np.cumsum(used.sum(1))])
             yield pa.RecordBatch.from_arrays(
-                [*keys, pa.array(seq[at], pa.int32()), pa.array(rank[at], pa.int64()), pa.array(behind, pa.int64()), *map(pa.array, own), pa.array(np.where(alone, seq[at], 0), pa.int32())],
+                [*keys, pa.array(seq, pa.int32()), pa.array(rank[at], pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(cells[used]))],
                 names=[f.split()[0] for f in _SUFFIX.split(", ")])
     return run
 
@@ -90,22 +102,25 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "key_a", "key_b", "seq")
 
 
-def _ranked(suffixes: DataFrame, least: int) -> DataFrame:
+def _ranked(suffixes: DataFrame, least: int, marks: bool) -> DataFrame:
     """Suffixes with their new rank: how many stand before their name in the order of `_PARTS`. Names of fewer than `least` suffixes are left out.
+    With `marks` also whether an equal one stands earlier.
 
     Names are summed, sorted over the cluster and counted up in each task; the tasks' totals, one number a task, give the rest. Every
     bucket of suffixes that shared a rank is here as a whole, so new ranks stay between those of its neighbours.
     """
     spark = suffixes.sparkSession
-    names = suffixes.groupBy(*_PARTS).agg(F.min(_place()).alias("first"), F.count("*").alias("n")).where(F.col("n") >= least)
+    first = [F.min(_place()).alias("first")] if marks else []
+    names = suffixes.groupBy(*_PARTS).agg(F.count("*").alias("n"), *first).where(F.col("n") >= least)
     order = names.repartitionByRange(*_PARTS).sortWithinPartitions(*_PARTS).withColumn("task", F.spark_partition_id())
     order = written(order.mapInArrow(_running, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in order.schema] + ["before long"])))
     totals = sorted(order.groupBy("task").agg(F.sum("n").alias("n")).collect())  # one row a task
     shifts = spark.createDataFrame([(t.task, sum(x.n for x in totals[:i])) for i, t in enumerate(totals)], "task int, shift long")
     order = order.join(F.broadcast(shifts), "task").withColumn("before", F.col("before") + F.col("shift")).drop("task", "shift")
     starts = order.groupBy("rank").agg(F.min("before").alias("start"))
-    fresh = order.join(starts, "rank").select(*_PARTS, "first", "n", (F.col("rank") + F.col("before") - F.col("start")).alias("fresh"))
-    cell = F.struct("seq", F.col("fresh").alias("rank"), (F.col("n") > 1).alias("tied"), (_place() != F.col("first")).alias("later"))
+    fresh = order.join(starts, "rank").withColumn("fresh", F.col("rank") + F.col("before") - F.col("start")).drop("before", "start")
+    later = _place() != F.col("first") if marks else F.lit(False)
+    cell = F.struct("seq", F.col("fresh").alias("rank"), (F.col("n") > 1).alias("tied"), later.alias("later"))
     return suffixes.join(fresh, list(_PARTS)).groupBy(*_KEYS).agg(F.collect_list(cell).alias("fresh"))
 
 
@@ -124,31 +139,41 @@ def _renewed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def suffix_array(names: DataFrame, min_lines: int) -> list[Level]:
-    """Prefix doubling until no two suffixes share a rank: one level for each depth, `min_lines` among them. The last level's ranks are places in the suffix array
-    of the lines that repeat; any other line ends what suffixes can have in common. Later rounds carry only the suffixes that are still tied."""
-    cells = F.transform("name_a", lambda a, i: F.struct(i.alias("seq"), a.alias("a"), F.get("name_b", i).alias("b")))
-    single = names.select("doc_id", *_KEYS, F.explode(cells).alias("c")).select(
-        "doc_id", *_KEYS, "c.seq", F.lit(0).cast("long").alias("rank"), F.col("c.a").alias("behind"), F.col("c.b").alias("own_a"), F.lit(0).cast("long").alias("own_b"), F.lit(0).alias("own_seq"))
-    state = names.select("doc_id", *_KEYS, F.transform("name_a", lambda a: F.lit(-1).cast("long")).alias("rank"))
-    levels, depth, step, fresh = [], 0, 1, _ranked(single, 2)
+    """Prefix doubling until no two suffixes share a rank. The levels are the depths up to `min_lines`, and then every depth that is
+    2^_DOUBLINGS times the one before: a round reads the ranks of that many stretches at once. The last level's ranks are places in the
+    suffix array of the lines that repeat; any other line ends what suffixes can have in common. Rounds beyond `min_lines` carry only
+    documents with suffixes that are still tied, as a suffix is told apart by ranks of its own document."""
+    cells = F.transform("name_a", lambda a, i: F.struct(i.alias("seq"), F.array(a, F.get("name_b", i)).alias("behind")))
+    single = names.select("doc_id", *_KEYS, F.explode(cells).alias("c")).select("doc_id", *_KEYS, "c.seq", F.lit(0).cast("long").alias("rank"), "c.behind")
+    state, how = names.select("doc_id", *_KEYS, F.transform("name_a", lambda a: F.lit(-1).cast("long")).alias("rank")), "left"
+    levels, depth, fresh = [], 1, _ranked(single, 2, marks=True)
+    open_ = F.exists("tied", lambda t: t)
     while True:
-        depth += step
-        state = written(state.join(fresh.hint("merge"), _KEYS, "left").mapInArrow(_renewed, _STATE))
-        levels.append(Level(depth, state))
-        if depth >= min_lines and state.where(F.exists("tied", lambda t: t)).isEmpty():
-            return levels
-        step = min(depth, min_lines - depth) if depth < min_lines else depth
-        fresh = _ranked(written(state.mapInArrow(_tied_suffixes(step), _SUFFIX)), 1)
-
-
-def _looked_up(pairs: DataFrame, side: str, level: Level) -> DataFrame:
-    """Pairs with the rank, at this level, of the suffix `lines` lines behind one side's; all pairs of a document are looked up in its array."""
+        levels.append(Level(depth, written(state.join(fresh.hint("merge"), _KEYS, how).mapInArrow(_renewed, _STATE))))
+        state = levels[-1].ranks
+        if depth < min_lines:
+            step, reads = min(depth, min_lines - depth), 1
+        elif state.where(open_).isEmpty():
+            settled = [v.ranks.where(~open_) for v in levels if v.depth >= min_lines]
+            return [*levels[:-1], Level(depth, reduce(DataFrame.union, settled))]
+        else:
+            state, how = state.where(open_), "inner"
+            step, reads = depth, 2 ** _DOUBLINGS - 1
+        depth += step * reads
+        fresh = _ranked(state.mapInArrow(_tied_suffixes(step, reads), _SUFFIX), 1, marks=depth <= min_lines)
+
+
+def _looked_up(pairs: DataFrame, side: str, level: Level, reads: int) -> DataFrame:
+    """Pairs with the ranks, at this level, of the suffixes `lines`, `lines` + depth, ... lines behind one side's, `reads` of them; all
+    pairs of a document are looked up in its array. A document that the level lacks has no tied suffix there."""
     keys = [f"{side}_{k}" for k in _KEYS]
     rest = [c for c in pairs.columns if c not in keys]
     ranks = level.ranks.select(*[F.col(k).alias(f"{side}_{k}") for k in _KEYS], F.col("rank").alias("ranks"))
     by_doc = pairs.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("all"))
-    found = F.transform("all", lambda p: F.struct(*[p[c].alias(c) for c in rest], F.get("ranks", p[f"{side}_seq"] + p["lines"]).alias(f"{side}_rank")))
-    return by_doc.join(ranks.hint("merge"), keys).select(*keys, F.inline(found))
+    places = F.array(*[F.lit(i * level.depth) for i in range(reads)])
+    found = F.transform("all", lambda p: F.struct(
+        *[p[c].alias(c) for c in rest], F.transform(places, lambda x: F.get("ranks", p[f"{side}_seq"] + p["lines"] + x)).alias(f"{side}_rank")))
+    return by_doc.join(ranks.hint("merge"), keys, "left").select(*keys, F.inline(found))
 
 
 def maximal_runs(levels: list[Level], min_lines: int) -> DataFrame:
@@ -170,9 +195,12 @@ def maximal_runs(levels: list[Level], min_lines: int) -> DataFrame:
         *[f"{s}_{c}" for c in ("doc_id", *_KEYS, "seq", "before")], "rank", "cut")
     pairs = side("a", 1).join(side("b", 0), ["rank", "cut"]).where("a_before <> b_before OR a_before < 0").drop("rank", "cut", "a_before", "b_before")
     pairs = written(pairs.withColumn("lines", F.lit(0)))
-    for level in reversed(levels[:-1]):
-        pairs = _looked_up(_looked_up(pairs, "a", level), "b", level)
-        pairs = written(pairs.withColumn("lines", F.col("lines") + F.when(F.expr("a_rank >= 0 AND a_rank = b_rank"), level.depth).otherwise(0)).drop("a_rank", "b_rank"))
+    same = F.zip_with("a_rank", "b_rank", lambda a, b: F.coalesce((a >= 0) & (a == b), F.lit(False)))
+    for level, deeper in reversed(list(zip(levels, levels[1:]))):
+        reads = -(-deeper.depth // level.depth) - 1  # a longer common prefix shows at the deeper level
+        pairs = _looked_up(_looked_up(pairs, "a", level, reads), "b", level, reads)
+        first_other = F.array_position(F.concat(same, F.array(F.lit(False))), False)
+        pairs = written(pairs.withColumn("lines", (F.col("lines") + (first_other - 1) * level.depth).cast("int")).drop("a_rank", "b_rank"))
     return pairs
 
 
@@ -190,7 +218,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     whichever of the two stays.
 
     Scale: ranks are made of summed names, never of a group's rows; a line that a third of all documents have is one name, joined
-    back in a join that Spark can split. A document's ranks are one row, smaller than its text. Rounds grow with the logarithm of the longest repeated run.
+    back in a join that Spark can split. A document's ranks are one row, smaller than its text. Rounds grow with the logarithm of the longest repeated run,
+    and carry only documents that still have tied suffixes.
 
     A null text stays null and an empty one empty. A null doc_id comes after all others. Equal rows are one document, in as many
     rows. Input columns that have a result column's name are replaced by it.
