@@ -56,40 +56,46 @@ def find_candidates(
 ) -> DataFrame:
     """Every (mention, master row) where a normalised term is a substring of a search column.
 
-    A term can only be a substring where its rarest three-character piece occurs, so the two
-    sides meet on that piece alone. Shorter pieces are cut only where a term is shorter. Neither side is collected and no pair is cut off. A pair
-    that several terms would find is emitted by the first of them.
+    A term can only be a substring where its rarest three-character piece occurs, so terms and the distinct texts of the
+    rows meet on that piece alone; what they find is joined back to the rows. Shorter pieces are cut only where a term is shorter.
+    Neither side is collected and no pair is cut off. A pair that several terms would find is emitted by the first of them.
+
+    Spark judges a table by the size of its files, which says little about rows that repeat a few texts or are cut into pieces.
+    So only pieces are sent to every task, of which normalised terms have at most 37 ** 3 + 37 ** 2 + 37 different ones; the
+    joins that carry rows, texts or mentions are merges.
     """
-    terms = (
+    terms = written(
         expanded.select("mention", "terms")
         .distinct()
         .select("mention", "terms", F.transform("terms", search_text).alias("normal"))
         .select("mention", "terms", "normal", F.posexplode("normal").alias("position", "term"))
         .filter("term <> ''")
     )
-    pieces = written(terms.select("mention", "position", F.explode(F.array_distinct(_pieces(F.col("term")))).alias("gram")))
+    pieces = terms.select("mention", "position", F.explode(F.array_distinct(_pieces(F.col("term")))).alias("gram"))
     sizes = sorted(r[0] for r in pieces.select(F.length("gram")).distinct().collect()) or [GRAM]  # one to three numbers
     fields = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in search_columns]
     rows = master.select(F.col(key).alias("__key"), *search_columns).withColumn("__fields", F.array(*fields))
-    # the row goes along with its pieces, so rows with a null or a repeated key need no way back
-    grams = rows.select("*", F.explode(F.array_distinct(F.flatten(F.transform("__fields", lambda f: _grams(f, sizes))))).alias("gram"))
-    wanted = pieces.select("gram").distinct()
-    frequency = grams.select("gram").join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = (
-        pieces.join(frequency, "gram", "left")
+    texts = written(rows.select("__fields").distinct())
+    grams = texts.select("__fields", F.explode(F.array_distinct(F.flatten(F.transform("__fields", lambda f: _grams(f, sizes))))).alias("gram"))
+    among = lambda some: grams.join(F.broadcast(some.select("gram").distinct()), "gram", "left_semi")
+    frequency = among(pieces).groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = written(
+        pieces.join(F.broadcast(frequency), "gram", "left")
         .groupBy("mention", "position")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
         .filter("best.n > 0")
         .select("mention", "position", F.col("best.gram").alias("gram"))
     )
-    blocked = terms.join(rarest, ["mention", "position"])
-    pairs = grams.join(blocked, "gram")
+    blocked = terms.hint("merge").join(rarest, ["mention", "position"])
     holds = lambda t: F.exists("__fields", lambda f: F.contains(f, t))
     first = F.get(F.filter(F.col("normal"), lambda t: (t != "") & holds(t)), F.lit(0))
-    return (
-        pairs.filter(F.array_position("normal", first) == F.col("position") + 1)
-        .drop("gram", "position", "term", "__fields")
+    found = (
+        among(rarest).hint("merge").join(blocked, "gram")
+        .filter(F.array_position("normal", first) == F.col("position") + 1)
+        .select("__fields", "mention", "terms", "normal")
     )
+    # every row with the text, whether its key is null or repeated
+    return rows.hint("merge").join(found, "__fields").drop("__fields")
 
 
 def _pieces(term: Column) -> Column:

@@ -117,6 +117,16 @@ def test_candidates_equal_a_full_scan(spark):
     assert got == want
 
 
+def test_candidates_send_no_rows_to_every_task(spark, tmp_path):
+    spark.createDataFrame([(i, f"red bolt {i % 3}") for i in range(3000)], "id int, name string").write.parquet(str(tmp_path / "m"))
+    mentions = resolve.expand_mentions(spark.createDataFrame([("red",), ("bolt 1",)], "mention string"), ())
+    found = resolve.find_candidates(mentions, spark.read.parquet(str(tmp_path / "m")), "id", ["name"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # small files, many rows: only pieces may travel, which joins of rows can't do
+    assert "Inner, Build" not in plan and "Inner" in plan
+    assert sorted(r.mention for r in found.collect()) == ["bolt 1"] * 1000 + ["red"] * 3000
+
+
 STATUS = [(True, True, ["a"], ["a"], [], "pass"), (True, True, ["a"], ["a"], ["x"], "disallowed_column_used"), (True, False, ["a"], ["a"], [], "low_signal_success"),
           (False, True, ["a"], ["b"], [], "retrieval_miss"), (False, True, ["a"], ["a", "b"], ["x"], "result_mismatch")]
 
