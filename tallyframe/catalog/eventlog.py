@@ -57,7 +57,7 @@ def trace_durations(spark, d):
 
 
 def run_duration_totals(spark, d):
-    return events.event_durations(_trace(spark, d), "user_id", "day").select("user_id", "day", "events", "total_ms")
+    return events.event_totals(_trace(spark, d), "user_id", "day").select("user_id", "day", "events", "total_ms")
 
 
 def question_outcomes(spark, d):

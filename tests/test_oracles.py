@@ -3,6 +3,7 @@
 import datetime
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tools.check_oracle import table
@@ -23,3 +24,14 @@ def test_usage_without_cached_tokens(spark, tmp_path):
     rows = [(1, 0, "assistant", "a" * 50), (2, 0, "user", "b" * 60), (2, 1, "assistant", "c" * 600), (3, 0, "user", "short"), (3, 1, "assistant", "d" * 41), (4, 0, "user", None)]
     got, want = both(spark, tmp_path, "conversation_usage", conversations=spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     assert got == want and len(got[1]) == 3
+
+
+def test_durations_are_exact(spark, tmp_path):
+    """A group of more durations than a sketch tells apart, means that end in a five, equal, null and lone durations."""
+    day = datetime.datetime(2024, 1, 1, 1, tzinfo=datetime.timezone.utc)
+    rows = [(i, day, 1, "click", (i * 7919 % 30011) / 100) for i in range(25_000)]
+    rows += [(30_000 + 100 * g + i, day + datetime.timedelta(days=g), 1, "purchase", (g * 37 + i * i) % 1009 / 100) for g in range(1, 60) for i in range(g)]
+    rows += [(90_000 + i, day, 2, "purchase", v) for i, v in enumerate([0.0, None, 5.0, 5.0, 5.0])] + [(99_999, None, 3, "click", 1.0)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got, want = both(spark, tmp_path, "trace_durations", events=df)
+    assert got == want and len(got[1]) == 62
