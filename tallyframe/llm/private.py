@@ -104,52 +104,67 @@ def features(spans: DataFrame) -> DataFrame:
         "letter_before": F.col("before").rlike(r"[A-Za-z]$"), "letter_after": F.col("after").rlike(r"^[A-Za-z]"),
         "digit_near": F.col("before").rlike(r"[0-9][.,:/ ]?$") | F.col("after").rlike(r"^[.,:/ ]?[0-9]"),
     } | {f"near_{k}": near.rlike(p) for k, p in CONTEXT.items()}
+    values |= {n: F.least(values[n], F.lit(_MOST)) for n in ("digits", "length", "groups", "longest_group", "signs")}
     return spans.withColumns({name: values[name].cast("double") for name in FEATURES})
 
 
-def accepted(spans: DataFrame, sample: int, precision: float, floor: float) -> DataFrame | None:
+#: Digits, lengths and groups beyond this say no more, so a feature has few values and the trees try a split between any two.
+_MOST = 64
+#: Probabilities are compared in steps of this part.
+_GRID = 10_000
+
+
+def folded(spans: DataFrame, *labels: str) -> DataFrame:
+    """Equal rows of features and labels as one row with their number as its weight."""
+    return features(spans).groupBy(*labels, *FEATURES).agg(F.count("*").cast("double").alias("weight"))
+
+
+def accepted(spans: DataFrame, precision: float, floor: float) -> DataFrame | None:
     """The matches of the wider patterns that the trees accept, with their probability; None where there is nothing to learn or judge.
 
-    Labels: what the base patterns matched, true where the rule of the kind holds. Half of at most `sample` such rows, those with
-    the smallest hashes of all documents', fit the trees; the other half gives the threshold, the least probability from which
-    on `precision` of them hold, never under `floor`.
+    Labels: what the base patterns matched, true where the rule of the kind holds. Half of all such rows, by their hashes, fit the
+    trees; the other half gives the threshold, the least probability (in steps of 1 / _GRID) from which on `precision` of them hold, never
+    under `floor`. Equal rows are folded into one with a weight, so the fit grows with the different rows of features, and
+    the threshold comes from one count for each step.
     """
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     more = spans.where("more")
     if more.isEmpty():
         return None
-    pick = F.xxhash64("key_a", "key_b", "kind", "start")
-    labelled = features(spans.where(~F.col("more")).orderBy(pick, "key_a", "key_b", "kind", "start").limit(sample)).withColumn("label", F.col("holds").cast("double")).withColumn("half", F.pmod(pick, F.lit(2)))
-    labelled = written(labelled.select("label", "half", *FEATURES))
+    half = F.pmod(F.xxhash64("key_a", "key_b", "kind", "start"), F.lit(2)).alias("half")
+    labelled = written(folded(spans.where(~F.col("more")).select("*", F.col("holds").cast("double").alias("label"), half), "label", "half").orderBy("half", "label", *FEATURES))
     if labelled.where("half = 0").select("label").distinct().count() < 2:
         return None
-    model = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=11).fit(assembler.transform(labelled.where("half = 0")))
+    # the candidates for splits come from at least max(10,000, maxBins ** 2) rows, which no folded table of these features reaches in practice
+    model = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=11, maxBins=512, weightCol="weight").fit(assembler.transform(labelled.where("half = 0")))
     chance = vector_to_array("probability")[1].alias("chance")
-    held = sorted(model.transform(assembler.transform(labelled.where("half = 1"))).select(chance, "label").collect(), reverse=True)  # at most `sample` rows
-    threshold, right = 1.0, 0
-    for n, row in enumerate(held, 1):
-        right += row.label > 0
-        if right >= precision * n and (n == len(held) or held[n].chance < row.chance):
-            threshold = row.chance
+    step = F.floor(F.col("chance") * _GRID)
+    held = model.transform(assembler.transform(labelled.where("half = 1"))).select("weight", "label", chance)
+    counts = held.groupBy(step.alias("step")).agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("right")).collect()  # at most _GRID rows
+    threshold, n, right = _GRID, 0.0, 0.0
+    for row in sorted(counts, reverse=True):
+        n, right = n + row.n, right + row.right
+        if right >= precision * n:
+            threshold = row.step
     kept = model.transform(assembler.transform(features(more))).select("*", chance)
-    return kept.where(F.col("chance") >= max(threshold, floor)).select("key_a", "key_b", "kind", "start", "end", "chance")
+    return kept.where((step >= threshold) & (F.col("chance") >= floor)).select("key_a", "key_b", "kind", "start", "end", "chance")
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 4000, precision: float = 0.99, floor: float = 0.9) -> DataFrame:
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", precision: float = 0.99, floor: float = 0.9) -> DataFrame:
     """One row per document: doc_id, base and spans, arrays of (start, kind, end) in order; positions are code points, kind numbers KINDS.
 
     base: matches of the base patterns whose rule holds. spans: those, and matches of wider patterns that overlap none of them and
     that boosted trees accept by format and context (see `accepted`); of overlapping accepted ones the most probable stays.
 
     Scale: a text is scanned once where it stands; only matches are shuffled, by document. A running sum over a document's
-    matches gives their places. The sample that fits the trees is bounded by `sample`.
+    matches gives their places. The trees are fitted on half of all base matches, equal ones folded.
 
     A null or empty text has no spans. Equal rows get equal spans, each its own row; a null doc_id stays null. Other columns are not read.
     """
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).select("doc_id", "text", *row_key("doc_id", "text"))
     found = written(judged(written(matches(keyed))))
     base = found.where("holds").select("key_a", "key_b", "kind", "start", "end", F.lit(None).cast("double").alias("chance"))
-    extra = accepted(found, sample, precision, floor)
+    extra = accepted(found, precision, floor)
     both = base if extra is None else base.union(extra)
     cell = F.struct("start", "kind", "end", "chance")
     by_doc = both.groupBy("key_a", "key_b").agg(F.sort_array(F.collect_set(cell)).alias("all"))

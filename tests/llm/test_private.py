@@ -59,3 +59,19 @@ def test_rows(spark, docs):
     got = private.find(docs(["a@b.c", "a@b.c", None, "x"], [None, None, 1, 1])).select("doc_id", private.as_text("spans").alias("t"), private.count_of("base", "email").alias("n"))
     assert sorted(map(tuple, got.collect()), key=repr) == [(1, "", 0), (1, "", 0), (None, "email:0:5", 1), (None, "email:0:5", 1)]
     assert private.find(docs([])).count() == 0
+
+
+def test_trees_learn_from_every_match(spark, docs, monkeypatch):
+    """Far more matches than any sample: the weights of the rows that fit the trees and give the threshold add up to all of them."""
+    seen = []
+    real = private.folded
+
+    def counted(spans, *labels):
+        rows = real(spans, *labels)
+        seen.append((rows.agg({"weight": "sum"}).first()[0], spans.count()))
+        return rows
+
+    monkeypatch.setattr(private, "folded", counted)
+    text = " ".join(f"write ab{i}@host.com or 1.{i % 400}.3.4" for i in range(4000))
+    private.find(docs([text, "phone (456) 555-2186 please"])).count()
+    assert [w for w, _ in seen] == [n for _, n in seen] and seen[0][0] >= 8000
