@@ -267,20 +267,28 @@ def nearest_examples(df: DataFrame, stored: DataFrame, limit: int = 2, min_score
     """Add ``examples``: of the stored questions (question, tables) the ``limit`` that share most tokens with each row's ``tokens``,
     ties by question.
 
-    Stored questions with the same tokens share one score, so of each token set only the first ``limit`` are kept. Distinct token
+    Only tokens that some row has can be shared. Stored questions with the same such tokens share one score, so of each set of them only
+    the first ``limit`` are kept, before anything is joined: what remains grows with the sets of asked tokens, not with the store. Distinct token
     sets of the rows look up sets by their rarest stored token first, then by twice as many tokens a round: a set that holds none
     of the tokens looked up shares at most those left over, so a row is done once its ``limit`` best share more than that. Rows with
     none left are done with all of them. The best of each are kept before they are shuffled.
     """
     named = lambda tokens: F.sha2(F.array_join(F.array_sort(tokens), " "), 256)
     first = lambda keys, *order: W.partitionBy(*keys).orderBy(*order)
-    sets = stored.select("question", "tables", F.array_distinct(normalize_tokens(F.col("question"))).alias("own")).withColumn("set", named("own"))
-    kept = written(sets.dropDuplicates(["question"]).withColumn("n", F.row_number().over(first(["set"], "question"))).where(F.col("n") <= limit))
+    rows = df.withColumn("context", named("tokens"))
+    contexts = written(rows.groupBy("context").agg(F.any_value("tokens").alias("tokens")).select("context", F.explode(F.array_distinct("tokens")).alias("token")))
+    vocabulary = written(contexts.select("token").distinct())
+    asked = lambda questions: questions.select("question", F.explode(F.array_distinct(normalize_tokens(F.col("question")))).alias("token")).join(vocabulary, "token")
+    # a set by two hashes of 64 bits and its size; a question's tokens are where its copies were folded, so one shuffle does for both
+    marks = [F.bit_xor(F.xxhash64("token")).alias("one"), F.bit_xor(F.xxhash64(F.lit(7), "token")).alias("other"), F.count("*").alias("size")]
+    sets = asked(stored.select("question").distinct()).groupBy("question").agg(*marks)
+    leading = written(sets.withColumn("n", F.row_number().over(first(["one", "other", "size"], "question"))).where(F.col("n") <= limit).select("question", "n"))
+    own = asked(leading).groupBy("question").agg(F.array_sort(F.collect_list("token")).alias("own"))
+    tables = stored.join(leading, "question", "left_semi").groupBy("question").agg(F.any_value("tables").alias("tables"))
+    kept = written(leading.join(own, "question").join(tables, "question").withColumn("set", named("own")))
     # a set counts by its first question, so sets beyond the limit can't be among the best
     postings = written(kept.where("n = 1").select(F.explode("own").alias("token"), "set", "own", F.col("question").alias("lead")))
     counts = postings.groupBy("token").agg(F.count("*").alias("stored"))
-    rows = df.withColumn("context", named("tokens"))
-    contexts = rows.groupBy("context").agg(F.any_value("tokens").alias("tokens")).select("context", F.explode(F.array_distinct("tokens")).alias("token"))
     by_rarity = F.array_sort(F.collect_list(F.struct("stored", "token")))
     live = written(contexts.join(counts, "token").groupBy("context").agg(by_rarity.alias("cells")).select("context", F.col("cells.token").alias("tokens")))
     looked_up, done = 1, []

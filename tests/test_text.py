@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions import dates, words
+from tallyframe.operators import matching
 from tallyframe.operators.matching import Matcher, nearest_examples, once_per_text, question_context
 from tallyframe.operators.paths import shortest_paths
 from tallyframe.operators.prefixes import prefix_groups
@@ -154,6 +155,17 @@ def test_nearest_examples_against_brute_force(spark):
     assert {len(r.examples) for r in nearest_examples(question_context(rows), store.limit(0)).collect()} == {0}
 
 
+def test_examples_are_folded_to_the_asked_tokens(spark, monkeypatch):
+    """Stored questions that differ in tokens nobody asks for are looked up once, however many they are."""
+    store = spark.createDataFrame([(f"backlog of customer x{i:05d} in {m}", ["T"]) for i in range(2000) for m in ("march", "june")], "question string, tables array<string>")
+    rows = spark.createDataFrame([(1, "best customer"), (2, "customer in june")], "id int, text string")
+    sizes, real = [], matching.written
+    monkeypatch.setattr(matching, "written", lambda df: sizes.append((made := real(df)).count()) or made)
+    got = {r.id: [e["question"] for e in r.examples] for r in nearest_examples(question_context(rows), store, 2).collect()}
+    assert got == {1: [f"backlog of customer x00000 in {m}" for m in ("june", "march")], 2: [f"backlog of customer x0000{i} in june" for i in (0, 1)]}
+    assert max(sizes) < 50
+
+
 def test_each_text_is_worked_on_once(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "b")], "id int, text string")
     seen = []
