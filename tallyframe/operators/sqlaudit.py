@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import sqltext as S
 from tallyframe.functions.literals import constant, let
+from tallyframe.shared import written
 
 _NONE = "cast(array() as array<string>)"
 ID_LABEL = "not in the resolved master-data candidates: "
@@ -224,7 +225,8 @@ def audit_by_template(log: DataFrame, registry: Registry, sql: str = "sql", allo
     names = sorted(registry.id_columns, key=lambda c: (-len(c), c))
     found = found.withColumn("contract_issue", contract).withColumn("compares_ids", F.size(S.ids_compared(S.strip_literals(F.col("cleaned")), names)) > 0)
     added = ("tables_used", "read_only_issue", "outside_tables", "column_issues", "identifier_issues", "join_issues", "metric_issues", "contract_issue", "first_issue", "compares_ids")
-    out = marked.drop("template").join(found.select("template_key", *added), "template_key").drop("template_key")
+    # written, so that Spark knows how few templates there are and the statements stay where they are
+    out = marked.drop("template").join(written(found.select("template_key", *added)), "template_key").drop("template_key")
     own = S.clean_output(F.col(sql))
     none = F.expr("cast(array() as array<bigint>)")
     ids = F.when(F.col("compares_ids"), candidate_id_issues(S.strip_literals(own), F.col(candidates), registry)).otherwise(none) if candidates else none

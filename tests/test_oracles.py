@@ -35,3 +35,15 @@ def test_durations_are_exact(spark, tmp_path):
     df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     got, want = both(spark, tmp_path, "trace_durations", events=df)
     assert got == want and len(got[1]) == 62
+
+
+def _orders(spark, folder):
+    rows = [(i, i % 50, "OFP"[i % 3], 1.0, datetime.datetime(1995, 1, 1), ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")[i % 5]) for i in range(3000)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{folder}/orders.parquet")
+
+
+def test_statements_stay_where_they_are(spark, tmp_path):
+    """Templates go to the statements; a log of small files is not sent to every task."""
+    _orders(spark, tmp_path)
+    plan = entry.queries()["first_issues"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
