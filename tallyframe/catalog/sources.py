@@ -69,7 +69,7 @@ def table_signatures(spark, d):
     """Two differently laid out copies of the orders have the same signature; a changed copy has not."""
     o = _t(spark, d, "orders")
     base = contract.table_signature(o)
-    again = contract.table_signature(o.repartition(3, "o_custkey"))
+    again = contract.table_signature(o.hint("rebalance", "o_custkey"))
     changed = contract.table_signature(o.withColumn("o_totalprice", F.col("o_totalprice") + 1))
     same = lambda other: base.unionByName(other).distinct().agg((F.count("*") == 1).cast("int").alias("same"))
     return same(again).select(F.lit("moved").alias("copy"), "same").unionByName(same(changed).select(F.lit("changed").alias("copy"), "same"))
@@ -89,7 +89,7 @@ def files_signature_checks(spark, d):
     docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("value"))
     base = contract.files_signature(docs)
     variants = {
-        "moved": docs.repartition(5, "value"), "changed": docs.withColumn("value", F.when(F.col("path") == "1", "other").otherwise(F.col("value"))), "lost": docs.filter("path <> '1'")}
+        "moved": docs.hint("rebalance", "value"), "changed": docs.withColumn("value", F.when(F.col("path") == "1", "other").otherwise(F.col("value"))), "lost": docs.filter("path <> '1'")}
     parts = [base.unionByName(contract.files_signature(v)).distinct().agg((F.count("*") == 1).cast("int").alias("same")).select(F.lit(k).alias("copy"), "same") for k, v in variants.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

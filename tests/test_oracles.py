@@ -47,3 +47,11 @@ def test_statements_stay_where_they_are(spark, tmp_path):
     _orders(spark, tmp_path)
     plan = entry.queries()["first_issues"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
+def test_moved_copies_have_as_many_parts_as_they_need(spark, tmp_path):
+    _orders(spark, tmp_path)
+    spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("files_signature_checks", "table_signatures"):
+        plan = entry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "REBALANCE_PARTITIONS_BY_COL" in plan and "REPARTITION_BY_NUM" not in plan, name
