@@ -7,12 +7,18 @@ that enters it to the anchor that leaves it. These functions are composed as a t
 that follow each other make a wider one, level by level, and the entering anchors come back down
 the same way. No group holds more than FAN functions of one level, or the hits of one bucket.
 Hits of one key and millisecond are folded first, so a bucket is bounded by its length.
+
+A function is a run of rows: an entering window that ends at or before ``upto`` leaves as ``leave``, for the
+smallest such ``upto``. A hit is the step from itself to itself. Python gets the sorted rows of many groups
+at once, as most keys have few hits in a bucket.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +28,8 @@ from tallyframe.shared import written
 SPANS_PER_BUCKET = 16
 #: Buckets of a level that make one of the next.
 FAN = 32
+#: Rows that Python takes together, and the rest of the group they end in.
+ROWS_AT_ONCE = 20_000
 
 
 def epoch_millis(column: str) -> Column:
@@ -30,122 +38,169 @@ def epoch_millis(column: str) -> Column:
     return F.floor(F.timestamp_diff("MICROSECOND", start, F.col(column).cast("timestamp_ntz")) / 1000).cast("bigint")
 
 
-def _transition(span: int, width: int):
-    """One bucket as a function: an entering window that ends at or before upto[i] leaves as leave[i]."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        key, bucket = rows["key"].iloc[0], int(rows["bucket"].iloc[0])
-        t = np.sort(rows.loc[rows["opens"], "t"].to_numpy(dtype=np.int64))
-        if not len(t):
-            return pd.DataFrame({"key": [key], "bucket": [bucket], "upto": [t], "leave": [t]})
-        follows = np.searchsorted(t, t + span)
-        chain = np.where(follows < len(t), follows, np.arange(len(t)))
+class _Steps:
+    """The sorted steps of whole groups, with the anchor that enters a group as a row without ``upto`` before them."""
+
+    def __init__(self, rows: pa.Table, span: int):
+        first, entry = np.asarray(rows["first"]), np.asarray(rows["upto"].is_null())
+        self.keys = rows.filter(rows["first"])["key"]
+        group, leave = np.cumsum(first) - 1, np.asarray(rows["leave"])
+        self.enters = np.zeros(len(self.keys), bool)
+        self.enters[group[entry]] = True
+        self.entering = np.zeros(len(self.keys), np.int64)
+        self.entering[group[entry]] = leave[entry]
+        self.rows = rows.filter(rows["upto"].is_valid())
+        self.group, self.leave, self.upto = group[~entry], leave[~entry], np.asarray(self.rows["upto"])
+        self.end = np.cumsum(np.bincount(self.group, minlength=len(self.keys)))
+        self.begin = np.concatenate([[0], self.end[:-1]])
+        some = self.begin < self.end
+        self._low, self._high = np.zeros((2, len(self.keys)), np.int64)
+        self._low[some], self._high[some] = self.upto[self.begin[some]], self.upto[self.end[some] - 1]
+        # one ascending number for group and time: the groups' ranges one after the other
+        wide = self._high - self._low + 2
+        self._offset = np.cumsum(wide) - wide
+        self._place = self._offset[self.group] + self.upto - self._low[self.group]
+        follows = self.at_or_after(self.group, self.leave + span)
+        self.ends = follows == self.end[self.group]
+        self.follows = np.where(self.ends, np.arange(len(follows)), follows)
+
+    def at_or_after(self, group: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """The place of the first step of each group that is not before t; the group's end if there is none."""
+        return np.searchsorted(self._place, self._offset[group] + np.clip(t, self._low[group], self._high[group] + 1) - self._low[group])
+
+    def left_by(self) -> np.ndarray:
+        """The anchor that leaves the group when each step is the first one taken."""
+        chain = self.follows
         while True:
             further = chain[chain]
             if (further == chain).all():
-                break
+                return self.leave[chain]
             chain = further
-        entries = min(int(np.searchsorted(t, bucket * width + span)) + 1, len(t))
-        leave = t[chain[:entries]]
-        last = np.append(leave[1:] != leave[:-1], True)
-        return pd.DataFrame({"key": [key], "bucket": [bucket], "upto": [t[:entries][last]], "leave": [leave[last]]})
-
-    return run
 
+    def taken(self, span: int) -> np.ndarray:
+        """Which steps are taken from the anchor that enters each group."""
+        group = np.arange(len(self.keys))
+        place = np.where(self.enters, self.at_or_after(group, self.entering + span), self.begin)
+        place = place[place < self.end]
+        found = np.zeros(len(self.upto), bool)
+        while len(place):
+            found[place] = True
+            place = self.follows[place[~self.ends[place]]]
+        return found
+
+
+def _in_groups(work: Callable[[pa.Table], pa.Table]):
+    """Run over sorted rows, many whole groups at once; ``first`` marks the first row of a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in (b.slice(i, ROWS_AT_ONCE // 2) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE // 2)):
+            starts = np.flatnonzero(np.asarray(batch["first"])) if count >= ROWS_AT_ONCE else []
+            if len(starts):
+                cut = int(starts[-1])
+                yield from work(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()).to_batches()
+                batch, held, count = batch.slice(cut), [], 0
+            held.append(batch)
+            count += batch.num_rows
+        if count:
+            yield from work(pa.Table.from_batches(held).combine_chunks()).to_batches()
 
-def _leaving(upto: np.ndarray, leave: np.ndarray, anchor: int | None, span: int) -> int | None:
-    i = 0 if anchor is None else int(np.searchsorted(upto, anchor + span))
-    return int(leave[i]) if i < len(upto) else anchor
+    return run
 
 
 def _joined(span: int, width: int):
-    """Buckets that follow each other as one function; `width` is that of the bucket they make."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("bucket")
-        key, parent = rows["key"].iloc[0], int(rows["bucket"].iloc[0]) // FAN
-        upto, leave = np.empty(0, np.int64), np.empty(0, np.int64)
-        for first, then in zip(reversed(rows["upto"].tolist()), reversed(rows["leave"].tolist())):
-            if not len(first):
-                continue
-            onward = np.array([_leaving(upto, leave, int(x), span) for x in then], np.int64)
-            beyond = upto > first[-1]
-            upto, leave = np.concatenate([first, upto[beyond]]), np.concatenate([onward, leave[beyond]])
-            last = np.append(leave[1:] != leave[:-1], True)
-            upto, leave = upto[last], leave[last]
+    """The steps of each bucket of this width as one function."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        steps = _Steps(rows, span)
+        group, upto, leave = steps.group, steps.upto, steps.left_by()
         # a window that enters ends within a span of the bucket's start
-        keep = int(np.searchsorted(upto, parent * width + span)) + 1
-        return pd.DataFrame({"key": [key], "bucket": [parent], "upto": [upto[:keep]], "leave": [leave[:keep]]})
+        every = np.arange(len(steps.keys))
+        entries = steps.at_or_after(every, upto[steps.begin] // width * width + span)
+        last = np.append((leave[1:] != leave[:-1]) | (group[1:] != group[:-1]), True)
+        place = np.arange(len(upto))
+        last[entries[entries < steps.end]] = True
+        keep = last & (place <= entries[group])
+        return pa.table({"key": steps.keys.take(pa.array(group[keep])), "upto": upto[keep], "leave": leave[keep]})
 
-    return run
+    return _in_groups(work)
 
 
-def _spread(span: int):
-    """The anchor that enters each of some buckets that follow each other, from the one that enters the first."""
+def _spread(span: int, width: int):
+    """The anchor that enters each bucket of this width, if any, from the one that enters the wider bucket around it."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("bucket")
-        first = rows["entering"].iloc[0]
-        anchor, entering = None if pd.isna(first) else int(first), []
-        for upto, leave in zip(rows["upto"], rows["leave"]):
-            entering.append(anchor)
-            anchor = _leaving(upto, leave, anchor, span)
-        return pd.DataFrame({"key": rows["key"], "bucket": rows["bucket"], "entering": pd.array(entering, dtype="Int64")})
+    def work(rows: pa.Table) -> pa.Table:
+        steps = _Steps(rows, span)
+        group, bucket, place = steps.group, steps.upto // width, np.arange(len(steps.upto))
+        before = np.append(-1, np.maximum.accumulate(np.where(steps.taken(span), place, -1)))[:-1]
+        inside = before >= steps.begin[group]
+        entering = np.where(inside, steps.leave[before], steps.entering[group])
+        head = np.append(True, (group[1:] != group[:-1]) | (bucket[1:] != bucket[:-1]))[:len(place)]
+        keep = head & (inside | steps.enters[group])
+        return pa.table({"key": steps.keys.take(pa.array(group[keep])), "bucket": bucket[keep], "entering": entering[keep]})
 
-    return run
+    return _in_groups(work)
 
 
-def _assign(span: int):
-    """Window start of each instant of one bucket, or null when no window is open."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        t = rows["t"].to_numpy(dtype=np.int64)
-        opening = t[rows["opens"].to_numpy(dtype=bool)]
-        first = rows["entering"].dropna()
-        starts = [int(first.iloc[0])] if len(first) else []
-        i = int(np.searchsorted(opening, starts[0] + span)) if starts else 0
-        while i < len(opening):
-            starts.append(int(opening[i]))
-            i = int(np.searchsorted(opening, opening[i] + span))
-        known = np.array(starts, dtype=np.int64)
-        place = np.searchsorted(known, t, side="right") - 1
-        start = np.where(place >= 0, known[place] if len(known) else 0, 0)
-        open_now = (place >= 0) & (t < start + span)
-        return pd.DataFrame({"key": rows["key"].to_numpy(), "t": t, "start": pd.Series(start, dtype="Int64").where(pd.Series(open_now))})
+def _opened(span: int):
+    """The hits that open a window."""
 
-    return run
+    def work(rows: pa.Table) -> pa.Table:
+        steps = _Steps(rows, span)
+        taken = steps.taken(span)
+        return pa.table({"key": steps.keys.take(pa.array(steps.group[taken])), "start": steps.upto[taken], "mark": steps.rows["mark"].filter(pa.array(taken))})
+
+    return _in_groups(work)
+
+
+def _bucket(t: str, width: int) -> Column:
+    return F.floor(F.col(t) / width).cast("bigint")
+
+
+def _sorted(steps: DataFrame, width: int, entering: DataFrame | None = None) -> DataFrame:
+    """The steps of each bucket of this width in order, behind the anchor that enters it; the key once a group."""
+    rows = steps.withColumn("bucket", _bucket("upto", width))
+    if entering is not None:
+        rows = rows.unionByName(entering.withColumnRenamed("entering", "leave"), allowMissingColumns=True)
+    first = F.row_number().over(W.partitionBy("key", "bucket").orderBy(F.col("upto").asc_nulls_first())) == 1
+    rows = rows.withColumn("first", first)
+    return rows.select("first", F.when(F.col("first"), F.col("key")).alias("key"), *[c for c in rows.columns if c not in ("first", "key", "bucket")])
 
 
-def anchored_starts(instants: DataFrame, span: int) -> DataFrame:
-    """Window start of every (key, t): ``instants`` holds distinct key, t (ms, not null) and opens (may it open a window).
+def anchored_windows(opening: DataFrame, span: int) -> DataFrame:
+    """The windows of each key (key, start, mark): ``opening`` holds distinct key and t (ms, not null) that may open one, and mark, kept with it.
 
-    A null key is a key. The number of levels comes from the first and the last instant.
+    A null key is a key. Time counts from the first instant, so all of it lies in one bucket at last; how many levels that takes comes from the last one.
     """
-    kind = instants.schema["key"].dataType.simpleString()
+    opening = written(opening)
+    kind, mark = (opening.schema[c].dataType.simpleString() for c in ("key", "mark"))
+    low, high = opening.agg(F.min("t"), F.max("t")).first()
+    low, high = low or 0, high or 0
+    since = F.col("t") - low
+    steps = opening.select("key", since.alias("upto"), since.alias("leave"))
+    levels, width = [], span * SPANS_PER_BUCKET
+    while high - low >= width:
+        steps = written(_sorted(steps, width).mapInArrow(_joined(span, width), f"key {kind}, upto bigint, leave bigint"))
+        levels.append((steps, width))
+        width *= FAN
+    entering = None
+    for steps, narrow in reversed(levels):
+        entering = _sorted(steps, width, entering).mapInArrow(_spread(span, narrow), f"key {kind}, bucket bigint, entering bigint")
+        width = narrow
+    hits = opening.select("key", since.alias("upto"), since.alias("leave"), "mark")
+    windows = _sorted(hits, width, entering).mapInArrow(_opened(span), f"key {kind}, start bigint, mark {mark}")
+    return windows.withColumn("start", F.col("start") + low)
+
+
+def _within(rows: DataFrame, key: str, at: str, windows: DataFrame, span: int) -> DataFrame:
+    """The rows with ``__window`` (start, mark), the window of their key that their time lies in; null where none is open."""
     width = span * SPANS_PER_BUCKET
-    cut = instants.select("key", "t", "opens", F.floor(F.col("t") / width).cast("bigint").alias("bucket"))
-    function = f"key {kind}, bucket bigint, upto array<bigint>, leave array<bigint>"
-    levels = [written(cut.groupBy("key", "bucket").applyInPandas(_transition(span, width), function))]
-    low, high = levels[0].agg(F.min("bucket"), F.max("bucket")).first()
-    parent = F.floor(F.col("bucket") / FAN).cast("bigint")
-    while low is not None and low != high:
-        low, high, width = low // FAN, high // FAN, width * FAN
-        levels.append(written(levels[-1].groupBy("key", parent.alias("parent")).applyInPandas(_joined(span, width), function)))
-    entering = levels[-1].select("key", "bucket", F.lit(None).cast("bigint").alias("entering"))
-    for level in reversed(levels[:-1]):
-        above = entering.select(F.col("key").alias("__key"), F.col("bucket").alias("__parent"), "entering")
-        below = level.withColumn("parent", parent).join(above, F.expr("key <=> __key AND parent = __parent")).drop("__key", "__parent")
-        entering = below.groupBy("key", "parent").applyInPandas(_spread(span), f"key {kind}, bucket bigint, entering bigint")
-    other = entering.select(F.col("key").alias("__key"), F.col("bucket").alias("__bucket"), "entering")
-    placed = cut.join(other, F.expr("key <=> __key AND bucket = __bucket")).drop("__key", "__bucket")
-    return placed.groupBy("key", "bucket").applyInPandas(_assign(span), f"key {kind}, t bigint, start bigint")
-
-
-def _at(folded: DataFrame, starts: DataFrame) -> DataFrame:
-    """The folded hits with the start of their window; null keys meet null keys."""
-    found = starts.select(F.col("key").alias("__key"), F.col("t").alias("__t"), "start")
-    return folded.join(found, F.expr("key <=> __key AND t = __t")).drop("__key", "__t")
+    reached = F.array_distinct(F.array(_bucket("start", width), F.floor((F.col("start") + (span - 1)) / width).cast("bigint")))
+    near = windows.select(F.col("key").alias("__key"), F.explode(reached).alias("__near"), F.struct("start", "mark").alias("__window"))
+    near = near.groupBy("__key", "__near").agg(F.collect_list("__window").alias("__windows"))
+    found = rows.withColumn("__bucket", _bucket(at, width)).join(near, F.expr(f"`{key}` <=> __key AND __bucket = __near"), "left")
+    open_now = F.filter("__windows", lambda w: (w["start"] <= F.col(at)) & (F.col(at) < w["start"] + span))
+    return found.withColumn("__window", F.get(open_now, F.lit(0))).drop("__key", "__near", "__bucket", "__windows")
 
 
 def _back(rows: DataFrame, key: str, placed: DataFrame) -> DataFrame:
@@ -163,9 +218,10 @@ def rate_limit(hits: DataFrame, key: str, at: str, order: str, span_ms: int = 60
         return hits.select("*", F.lit(True).alias("allowed"), F.lit(None).cast("bigint").alias("remaining"), F.lit(0).cast("bigint").alias("retry_after_ms"))
     timed = hits.withColumn("__t", epoch_millis(at))
     folded = timed.filter(F.col("__t").isNotNull()).groupBy(F.col(key).alias("key"), F.col("__t").alias("t")).agg(F.count("*").alias("n"))
-    starts = anchored_starts(folded.select("key", "t", F.lit(True).alias("opens")), span_ms)
+    windows = anchored_windows(folded.select("key", "t", F.lit(None).cast("bigint").alias("mark")), span_ms)
     before = F.sum("n").over(W.partitionBy("key", "start").orderBy("t").rowsBetween(W.unboundedPreceding, -1))
-    placed = _at(folded, starts).select("key", "t", "start", F.coalesce(before, F.lit(0)).alias("__before"))
+    placed = _within(folded, "key", "t", windows, span_ms).withColumn("start", F.col("__window.start"))
+    placed = placed.select("key", "t", "start", F.coalesce(before, F.lit(0)).alias("__before"))
     # hits of one millisecond are put in order; a window of a key has at most span_ms milliseconds
     rank = F.row_number().over(W.partitionBy(key, "__t").orderBy(order))
     ranked = _back(timed.withColumn("__rank", rank), key, placed)
@@ -187,10 +243,8 @@ def reuse(requests: DataFrame, key: str, at: str, order: str, success: Column, t
     A null key is a key of its own. A request without a time neither hits nor stores.
     """
     timed = requests.withColumn("__t", epoch_millis(at)).withColumn("__ok", F.coalesce(success, F.lit(False)))
-    folded = timed.filter(F.col("__t").isNotNull()).groupBy(F.col(key).alias("key"), F.col("__t").alias("t")).agg(
-        F.bool_or("__ok").alias("opens"), F.min(F.when(F.col("__ok"), F.col(order))).alias("__stored_by"))
-    starts = anchored_starts(folded.select("key", "t", "opens"), ttl_ms + 1)
-    placed = _at(folded, starts).select("key", "t", "start", "__stored_by")
-    stored_now = F.col("start") == F.col("__t")
-    hit = F.col("start").isNotNull() & (~stored_now | (F.col(order) > F.col("__stored_by")))
-    return _back(timed, key, placed).select(*requests.columns, F.coalesce(hit, F.lit(False)).alias("cache_hit"))
+    stored = timed.filter(F.col("__ok") & F.col("__t").isNotNull()).groupBy(F.col(key).alias("key"), F.col("__t").alias("t")).agg(F.min(order).alias("mark"))
+    # a window is open up to and with its last millisecond
+    placed = _within(timed, key, "__t", anchored_windows(stored, ttl_ms + 1), ttl_ms + 1)
+    hit = (F.col("__t") > F.col("__window.start")) | (F.col(order) > F.col("__window.mark"))
+    return placed.select(*requests.columns, F.coalesce(hit, F.lit(False)).alias("cache_hit"))

@@ -1,6 +1,7 @@
 import datetime
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,6 +61,65 @@ def test_reuse_equals_the_sequential_rule(spark, ttl, seed):
     assert got == sequential_reuse(requests, ttl)
 
 
+def test_many_small_groups_share_a_call():
+    calls = []
+
+    def work(rows):
+        calls.append(rows["first"].to_pylist())
+        return rows
+
+    whole = pa.RecordBatch.from_pydict({"first": [i % 3 == 0 and not 900 < i < 45_000 for i in range(90_000)], "n": list(range(90_000))})
+    for size in (700, 90_000):
+        calls.clear()
+        given = [whole.slice(i, size) for i in range(0, 90_000, size)]
+        out = [n for batch in anchored._in_groups(work)(iter(given)) for n in batch["n"].to_pylist()]
+        assert out == list(range(90_000)) and len(calls) <= 5 and all(c[0] for c in calls)
+
+
+@pytest.mark.parametrize("size", [1, 7, 10_000])
+def test_windows_of_many_groups_at_once(size):
+    """Groups of one hit and of many, entered by a window or not, a null key, and years 1 to 9999 in one group."""
+    rng, span = random.Random(size), 100
+    rows, want = [], []
+    for key in [None, *(f"k{i}" for i in range(300))]:
+        enters = rng.choice([None, None, -30, -99, -100])
+        hits = sorted(rng.sample(range(1600), rng.choice([1, 1, 2, 40, 300])))
+        hits = [-62_135_596_800_000, *hits, 253_402_300_799_999] if key == "k7" and enters is None else hits
+        group = ([(key, None, enters, None)] if enters is not None else []) + [(key, t, t, t % 9) for t in hits]
+        rows += [(i == 0, *(r if i == 0 else (None, *r[1:]))) for i, r in enumerate(group)]
+        end = None if enters is None else enters + span
+        for t in hits:
+            if end is None or t >= end:
+                want.append((key, t, t % 9))
+                end = t + span
+    names = ["first", "key", "upto", "leave", "mark"]
+    types = [pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+    out = anchored._opened(span)(whole.slice(i, size) for i in range(0, len(rows), size))
+    assert [tuple(r.values()) for batch in out for r in batch.to_pylist()] == want
+
+
+def test_many_keys_take_no_python_call_each(spark):
+    rng = random.Random(12)
+    requests = [(f"k{rng.randint(0, 200)}", rng.choice([rng.randint(0, 500), rng.randint(0, 400_000)]), i, rng.random() < 0.5) for i in range(3000)]
+    df = spark.createDataFrame([(k, at(t), i, ok) for k, t, i, ok in requests], "k string, ts timestamp_ntz, id bigint, ok boolean")
+    reused, limited = anchored.reuse(df, "k", "ts", "id", F.col("ok"), 99), anchored.rate_limit(df.drop("ok"), "k", "ts", "id", 100, 2)
+    for found in (reused, limited):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroups" not in plan
+    assert {r.id: r.cache_hit for r in reused.collect()} == sequential_reuse(requests, 99)
+    assert {r.id: (r.allowed, r.remaining, r.retry_after_ms) for r in limited.collect()} == sequential_limit([r[:3] for r in requests], 100, 2)
+
+
+def test_windows_on_both_sides_of_1970(spark):
+    """Buckets below zero and from zero on end in one, so the levels come to an end."""
+    schema = "key string, t bigint, mark bigint"
+    hits = [(k, t, t) for k in ("a", None) for t in (-5000, -4991, -3, 6, 7, 900)]
+    windows = anchored.anchored_windows(spark.createDataFrame(hits, schema), 10)
+    assert anchored.anchored_windows(spark.createDataFrame([], schema), 10).count() == 0
+    assert sorted((r.key or "", r.start, r.mark) for r in windows.collect()) == [(k, t, t) for k in ("", "a") for t in (-5000, -3, 7, 900)]
+
+
 def test_limit_of_zero_is_off(spark):
     df = spark.createDataFrame([("a", at(0), 1)], "k string, ts timestamp_ntz, id bigint")
     assert anchored.rate_limit(df, "k", "ts", "id", 100, 0).first()["allowed"]
